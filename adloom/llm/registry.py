@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from adloom.llm import quality_rules
+from adloom.llm import bpe, license_scan, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_license_scan": license_scan.query,
+    "op4_bpe": bpe.query,
 }
 ORACLE: dict[str, str] = {}
