@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from adloom.llm import bpe, license_scan, quality_rules
+from adloom.llm import bpe, license_scan, quality_rules, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
     "op4_bpe": bpe.query,
+    "op10_simhash": simhash.query,
 }
 ORACLE: dict[str, str] = {}
