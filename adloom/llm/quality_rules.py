@@ -45,9 +45,9 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """Statistics and label (bad = 1) of the max_rows labelled documents with the smallest hashes."""
-    chosen = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, use: Column | None = None) -> DataFrame:
+    """Statistics and label (bad = 1) of the max_rows labelled documents with the smallest hashes; `use` tells which labels may serve."""
+    chosen = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if use is None else use))
               .groupBy(F.col("doc_id").alias("_key")).agg((1 - F.min("quality")).alias("_bad"))
               .orderBy(F.xxhash64("_key"), "_key").limit(max_rows))
     found = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_key")
@@ -65,7 +65,7 @@ def _thresholds(sample: DataFrame) -> list[list[float]]:
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_rules: int = 8, max_conditions: int = 3,
           min_precision: float = 0.95, min_bad: int = 5) -> list[Rule]:
     """The ordered rules; a document that any of them covers is rejected."""
-    sample = _sample(docs, labels, max_rows)
+    sample = labelled_sample(docs, labels, max_rows)
     cuts = _thresholds(sample)
     below = lambda f, c: F.size(F.filter(F.array(*map(F.lit, c)), lambda t: t < F.col(f))) if c else F.lit(0)
     bins = F.array(*[below(f, c) for f, c in zip(FEATURES, cuts, strict=True)])
