@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from adloom.llm import bpe, license_scan, quality_rules, simhash
+from adloom.llm import bpe, decontaminate, language_crf, license_scan, quality_rules, quality_trees, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_license_scan": license_scan.query,
     "op4_bpe": bpe.query,
+    "op5_decontaminate": decontaminate.query,
+    "op6_quality_trees": quality_trees.query,
+    "op9_language_crf": language_crf.query,
     "op10_simhash": simhash.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_decontaminate": decontaminate.SQL}
