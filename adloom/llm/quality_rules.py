@@ -22,7 +22,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, written
+from adloom.llm.common import free_name, let, written
 from adloom.llm.textstats import FEATURES, features, statistics
 
 MAX_ROWS = 20_000
@@ -35,8 +35,9 @@ class Condition:
     above: bool  # value > threshold, else value <= threshold
     threshold: float
 
-    def column(self) -> Column:
-        return F.col(self.feature) > self.threshold if self.above else F.col(self.feature) <= self.threshold
+    def column(self, features: Column) -> Column:
+        value = features[self.feature]
+        return value > self.threshold if self.above else value <= self.threshold
 
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
@@ -51,7 +52,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, use: Colu
               .groupBy(F.col("doc_id").alias("_key")).agg((1 - F.min("quality")).alias("_bad"))
               .orderBy(F.xxhash64("_key"), "_key").limit(max_rows))
     found = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_key")
-    return written(found.select("_key", "_bad", statistics(F.col("_text")).alias("_s")).select("_key", "_bad", *features(F.col("_s"))))
+    told = let(statistics(F.col("_text")), lambda s: F.struct(*features(s)))
+    return written(found.select("_key", "_bad", told.alias("_f")).select("_key", "_bad", "_f.*"))
 
 
 def _thresholds(sample: DataFrame) -> list[list[float]]:
@@ -118,28 +120,30 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_rule
     return rules
 
 
-def decision(rules: list[Rule]) -> Column:
-    """The ordered conditional over feature columns: the text of the first rule that fits, else null."""
+def decision(rules: list[Rule], features: Column) -> Column:
+    """The ordered conditional over a struct of features: the text of the first rule that fits, else null."""
     out = F.lit(None).cast("string")
     for rule in reversed(rules):
-        fits = rule[0].column()
+        fits = rule[0].column(features)
         for c in rule[1:]:
-            fits = fits & c.column()
+            fits = fits & c.column(features)
         out = F.when(fits, F.lit(" and ".join(map(str, rule)))).otherwise(out)
     return out
 
 
+def verdict(text: Column, rules: list[Rule]) -> Column:
+    """A struct of one text: stats, base_failed, rule (the first that fits, else null), kept."""
+    def told(s: Column) -> Column:
+        base = (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
+        return let(F.struct(s.alias("stats"), base.alias("base_failed"), let(F.struct(*features(s)), lambda f: decision(rules, f)).alias("rule")),
+                   lambda q: F.struct(q["stats"].alias("stats"), q["base_failed"].alias("base_failed"), q["rule"].alias("rule"), (~q["base_failed"] & q["rule"].isNull()).alias("kept")))
+
+    return let(statistics(text), told)
+
+
 def judge(docs: DataFrame, rules: list[Rule], text_col: str = "text", out: str = "quality") -> DataFrame:
-    """docs with one more struct column `out` (underscores in front if the name is taken): the statistics, base_failed, rule, kept."""
-    s, keep = free_name(docs, "_stats"), [F.col(f"`{c}`") for c in docs.columns]
-    named = {f: free_name(docs, f"_f_{f}") for f in FEATURES}
-    renamed = [tuple(Condition(named[c.feature], c.above, c.threshold) for c in r) for r in rules]
-    stats = docs.select(*keep, statistics(F.col(f"`{text_col}`")).alias(s))
-    wide = stats.select(*keep, s, *[v.alias(named[f]) for f, v in zip(FEATURES, features(F.col(s)), strict=True)])
-    n, rep = F.col(s)["n_words"], F.col(s)["n_repeat_words"]
-    base = (n < MIN_WORDS) | (100 * rep > MAX_REPEAT_PERCENT * n)
-    why = decision(renamed)
-    return wide.select(*keep, F.struct(F.col(s).alias("stats"), base.alias("base_failed"), why.alias("rule"), (~base & why.isNull()).alias("kept")).alias(free_name(docs, out)))
+    """docs with one more struct column `out` (underscores in front if the name is taken): see verdict."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns], verdict(F.col(f"`{text_col}`"), rules).alias(free_name(docs, out)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **learning) -> DataFrame:

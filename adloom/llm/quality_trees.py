@@ -96,6 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, use: Col
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "quality_score") -> DataFrame:
     """docs with one more column `out`: the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
+
     s = free_name(docs, "_stats")
 
     @F.pandas_udf("double")
@@ -105,7 +106,8 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "qua
 
     keep = [F.col(f"`{c}`") for c in docs.columns]
     stats = docs.select(*keep, statistics(F.col(f"`{text_col}`")).alias(s))
-    return stats.select(*keep, probability(*features(F.col(s))).alias(free_name(docs, out)))
+    # marked as not deterministic, it is worked out once, below any filter on the score
+    return stats.select(*keep, probability.asNondeterministic()(*features(F.col(s))).alias(free_name(docs, out)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **training) -> DataFrame:
