@@ -73,10 +73,14 @@ def frontier(sources: DataFrame, max_pages: int) -> DataFrame:
     return sources.select(F.col("id").alias("source_id"), F.explode(pages).alias("p")).select("source_id", "p.page_no", "p.page_url")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the folder of spark.checkpoint.dir: read often, computed once. Where that is unset (local mode), a folder of its own."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; where that is unset (local mode), one of its own."""
     top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="adloom-")
-    path = f"{top}/{uuid.uuid4().hex}.parquet"
+    return f"{top}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: read often, computed once."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
