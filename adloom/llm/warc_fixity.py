@@ -32,22 +32,30 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
                     F.lit("\r\n\r\n"), html, F.lit(END))
 
 
-def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """(file, offset, length, page_id, record): pages dealt to files by record hash, laid out in the order of that hash.
+def records(pages: DataFrame) -> DataFrame:
+    """(page_id, record, hash, length) of pages."""
+    rows = pages.select("page_id", record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    return rows.select("page_id", "record", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("length"))
+
+
+def layout(recs: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """recs (with hash, length and page_id) with file and offset: dealt to files by hash, laid out in the order of the hash.
 
     The number of files follows the bytes, so a file's rows are bounded by file_bytes. Equal records are numbered first,
-    and the number is hashed too, so that copies spread over files.
+    and the number is hashed too, so that copies spread over files. Columns that recs lacks, such as the text, are not moved.
     """
-    rec = record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select("page_id", rec.alias("record")).select("*", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("length"))
-    total = rows.agg(F.sum("length")).first()[0] or 0
+    total = recs.agg(F.sum("length")).first()[0] or 0
     files = total // file_bytes + 1
-    copies = rows.groupBy("page_id", "record", "hash", "length").count()
-    each = copies.select("page_id", "record", "hash", "length", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
-    each = each.withColumn("spread", F.when(F.col("copy") == 1, F.col("hash")).otherwise(F.sha2(F.concat("hash", F.col("copy").cast("string")), 256)))
-    number = F.conv(F.substring("spread", 1, 12), 16, 10).cast("long") % files
-    place = W.partitionBy("file").orderBy("spread", "page_id")
-    return each.withColumn("file", number).select("file", (F.sum("length").over(place) - F.col("length")).alias("offset"), "length", "page_id", "record")
+    each = recs.groupBy(*recs.columns).count().select(*recs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("_copy"))
+    each = each.withColumn("_spread", F.when(F.col("_copy") == 1, F.col("hash")).otherwise(F.sha2(F.concat("hash", F.col("_copy").cast("string")), 256)))
+    number = F.conv(F.substring("_spread", 1, 12), 16, 10).cast("long") % files
+    place = W.partitionBy("file").orderBy("_spread", "page_id")
+    return each.withColumn("file", number).select("file", (F.sum("length").over(place) - F.col("length")).alias("offset"), *recs.columns)
+
+
+def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """(file, offset, page_id, record, hash, length) of pages, ready to be written."""
+    return layout(records(pages), file_bytes)
 
 
 def write_warc(arch: DataFrame, path: str) -> None:
@@ -66,8 +74,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tree(arch: DataFrame, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> list[DataFrame]:
-    """Levels of (file, place, hash), records first (place is the offset), roots last (place is 0)."""
-    levels = [written(arch.select("file", F.col("offset").alias("place"), F.sha2("record", 256).alias("hash")))]
+    """Levels of (file, place, hash) of an archive given as (file, offset, hash), records first (place is the offset), roots last (place is 0)."""
+    levels = [written(arch.select("file", F.col("offset").alias("place"), "hash"))]
     width = range_bytes
     while True:
         below = levels[-1]
@@ -97,16 +105,19 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fa
     return wrong.select("file", F.col("place").alias("offset"), status.alias("status"), "hash", "replica_hash")
 
 
-def damaged(arch: DataFrame) -> DataFrame:
-    """A replica with bit rot: records whose hash starts with 00 have another first byte, those with 01 are lost."""
-    start = F.substring(F.sha2("record", 256), 1, 2)
-    return arch.where(start != "01").withColumn("record", F.when(start == "00", F.concat(F.lit("#"), F.expr("substring(record, 2)"))).otherwise(F.col("record")))
+def damaged(record_col: Column, hash_col: Column) -> Column:
+    """Bit rot of a replica: records whose hash starts with 00 have another first byte, those with 01 are lost (null)."""
+    start = F.substring(hash_col, 1, 2)
+    return F.when(start == "00", F.concat(F.lit("#"), F.substring(record_col, F.lit(2), F.length(record_col)))).when(start != "01", record_col)
 
 
 def query(spark, sf_dir) -> DataFrame:
     """op7: pages as an archive, audited against a replica with damage; one row per record that differs."""
-    arch = written(archive(table(spark, sf_dir, "pages")))
-    found = audit(arch, damaged(arch))
+    rotten = F.sha2(damaged(F.col("record"), F.col("hash")), 256)
+    recs = records(table(spark, sf_dir, "pages")).select("page_id", "hash", "length", rotten.alias("_replica"))
+    arch = written(layout(recs))
+    replica = arch.where(F.col("_replica").isNotNull()).select("file", "offset", F.col("_replica").alias("hash"))
+    found = audit(arch.select("file", "offset", "hash"), replica)
     return found.join(arch.select("file", "offset", "length", "page_id"), ["file", "offset"]).select(
         "file", "offset", "length", "page_id", "status", "hash", "replica_hash")
 
