@@ -106,9 +106,9 @@ def audit(ours: DataFrame, theirs: DataFrame, range_bytes: int = RANGE_BYTES, fa
 
 
 def damaged(record_col: Column, hash_col: Column) -> Column:
-    """Bit rot of a replica: records whose hash starts with 00 have another first byte, those with 01 are lost (null)."""
-    start = F.substring(hash_col, 1, 2)
-    return F.when(start == "00", F.concat(F.lit("#"), F.substring(record_col, F.lit(2), F.length(record_col)))).when(start != "01", record_col)
+    """Bit rot of a replica: records whose hash starts with 0 have another first byte, those with 1 are lost (null)."""
+    start = F.substring(hash_col, 1, 1)
+    return F.when(start == "0", F.concat(F.lit("#"), F.substring(record_col, F.lit(2), F.length(record_col)))).when(start != "1", record_col)
 
 
 def query(spark, sf_dir) -> DataFrame:
@@ -139,7 +139,7 @@ WITH r AS (
 ), a AS (
     SELECT file, CAST(sum(length) OVER (PARTITION BY file ORDER BY spread, page_id) - length AS BIGINT) AS "offset", length, page_id, hash, record FROM f
 )
-SELECT file, "offset", length, page_id, CASE WHEN hash LIKE '01%' THEN 'missing' ELSE 'changed' END AS status, hash,
-    CASE WHEN hash LIKE '00%' THEN sha256('#' || substr(record, 2)) END AS replica_hash
-FROM a WHERE hash LIKE '00%' OR hash LIKE '01%'
+SELECT file, "offset", length, page_id, CASE WHEN hash LIKE '1%' THEN 'missing' ELSE 'changed' END AS status, hash,
+    CASE WHEN hash LIKE '0%' THEN sha256('#' || substr(record, 2)) END AS replica_hash
+FROM a WHERE hash LIKE '0%' OR hash LIKE '1%'
 """
