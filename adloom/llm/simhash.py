@@ -5,11 +5,15 @@ A fingerprint is `lanes` times 64 majority bits over the hashes of word shingles
 two fingerprints whose segments differ in two bits or fewer share such a value. In each table entry the complete distances
 are verified, and links that join its members are told, a spanning tree of them, never all pairs.
 
+Tables are dealt to tasks by segment and the value's upper bits: a fingerprint is sent to its own group of entries and to
+those one upper bit away; flips of the lower bits stay within the group and are made there. The number of upper bits is the
+least that leaves at most `MOST` fingerprints of a group of their own. Where one value alone has more, groups are whole
+values, and larger ones are dealt to pairs of blocks of `BLOCK` members, so that any two members still meet and no task
+gets an unbounded group.
+
 With one lane, segments of four bytes and a limit of 4 (5 at most) no link is lost: one of two halves differs in two bits
 or fewer. With more lanes a pair at the limit is found with the probability that some segment differs that little.
-
-Entries with values met in more than `HOT` fingerprints are dealt to pairs of blocks of `BLOCK` members, so that any two
-members still meet and no task gets an unbounded group. Components are found by alternating stars in Spark tables.
+Components are found by alternating stars in Spark tables.
 
 Cases: null and blank texts have fingerprint zero and link like others; texts with fewer words than a shingle are one
 shingle; repeated rows each get a row; a null doc_id is never a component's id (null if no member has one); an empty table
@@ -28,7 +32,8 @@ from pyspark.sql import functions as F
 from adloom.llm.common import table, written
 from adloom.llm.components import components
 
-SEED, HOT, BLOCK = 42, 512, 2048
+SEED, MOST, BLOCK = 42, 32_768, 2048
+LEAST_UPPER, TOP = 6, 12
 #: Distance of 192-bit fingerprints of five-word shingles taken as a similarity of 0.8 or more: 29 expected at 0.8, 33 with its spread.
 NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE = 3, 33, 5
 CHUNK = 1 << 16
@@ -54,39 +59,74 @@ def fingerprint(text: bytes | None, shingle: int, lanes: int) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
+def node_of(f: np.ndarray) -> np.ndarray:
+    """Numbers of fingerprints given as rows of 64-bit lanes: the lane itself, or a mix of several."""
+    h = f[:, 0].astype(np.uint64)
+    for lane in f.T[1:]:
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) + lane.astype(np.uint64)
+    return h.astype(np.int64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, node, fp) of every row; node is the fingerprint as a number, or a 64-bit hash of it with several lanes."""
-    import xxhash
-
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t, shingle, lanes) for t in b["t"].to_pylist()]
-            nodes = [int.from_bytes(f, "big", signed=True) if lanes == 1 else np.uint64(xxhash.xxh64_intdigest(f)).astype(np.int64).item() for f in fps]
+            nodes = node_of(np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(len(fps), lanes))
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
 
     return kind.mapInArrow(run, "doc_id long, node long, fp binary")
 
 
-def _entries(fps: DataFrame, segment_bytes: int, near: bool) -> DataFrame:
-    """(entry, node, fp): table entries of each fingerprint; near: also those one bit away. An entry is segment number and value."""
+def _values(f: np.ndarray, segment_bytes: int) -> np.ndarray:
+    """(rows, segments) values of the segments of fingerprints given as lanes."""
+    parts = f.astype(">i8").view(np.uint8).reshape(len(f), -1, segment_bytes).astype(np.int64)
+    return (parts << np.arange(segment_bytes - 1, -1, -1) * 8).sum(axis=2)
+
+
+def _lanes(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b["fp"].to_pylist()), ">i8").astype(np.int64).reshape(b.num_rows, -1)
+
+
+def _upper_bits(fps: DataFrame, segment_bytes: int, most: int) -> int:
+    """The least number of upper bits, LEAST_UPPER to TOP, that leaves `most` fingerprints or fewer of each value; all bits if none does."""
     bits = 8 * segment_bytes
-    flips = np.array([0, *(1 << k for k in range(bits))] if near else [0], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                value = _values(_lanes(b), segment_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array(((value >> (bits - TOP)) | (np.arange(value.shape[1]) << TOP)).ravel())], ["v"])
+
+    rows = fps.select("fp").mapInArrow(run, "v long").groupBy("v").count().collect()  # at most segments x 2**TOP rows
+    for upper in range(LEAST_UPPER, TOP + 1):
+        counts: dict[int, int] = {}
+        for r in rows:
+            counts[r["v"] >> (TOP - upper)] = counts.get(r["v"] >> (TOP - upper), 0) + r["count"]
+        if max(counts.values(), default=0) <= most:
+            return upper
+    return bits
+
+
+def _dealt(fps: DataFrame, segment_bytes: int, lanes: int, upper: int) -> DataFrame:
+    """(grp, f0, f1, …): each fingerprint in the groups of its segments' upper bits, as they are and with one of them flipped."""
+    bits = 8 * segment_bytes
+    flips = np.array([0, *(1 << k for k in range(upper))], np.int64)
+    names = [f"f{k}" for k in range(lanes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
-                raw = np.frombuffer(b"".join(b["fp"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                parts = raw.reshape(b.num_rows, -1, segment_bytes).astype(np.int64)
-                value = (parts << np.arange(segment_bytes - 1, -1, -1) * 8).sum(axis=2)
-                keys = (value[:, :, None] ^ flips) | (np.arange(value.shape[1], dtype=np.int64) << bits)[None, :, None]
-                times = np.repeat(np.arange(b.num_rows), keys[0].size)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b["node"].take(pa.array(times)), b["fp"].take(pa.array(times))] if near else [pa.array(keys.ravel())],
-                                                 ["entry", "node", "fp"] if near else ["entry"])
+                f = _lanes(whole.slice(at, 2000))
+                value = _values(f, segment_bytes)
+                keys = ((value >> (bits - upper))[:, :, None] ^ flips) | (np.arange(value.shape[1], dtype=np.int64) << bits)[None, :, None]
+                times = np.repeat(np.arange(len(f)), keys[0].size)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(lane[times]) for lane in f.T]], ["grp", *names])
 
-    return fps.select("node", "fp").mapInArrow(run, "entry long, node long, fp binary" if near else "entry long")
+    return fps.select("fp").mapInArrow(run, "grp long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -104,66 +144,84 @@ def _tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]
     return out
 
 
-def _links(entries: DataFrame, limit: int) -> DataFrame:
-    """Verified links (a, b) among the members of each entry."""
-    def bucket(entry: np.ndarray, node: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        starts = np.flatnonzero(np.append(True, entry[1:] != entry[:-1]))
-        sizes = np.diff(np.append(starts, len(entry)))
-        two = starts[sizes == 2]
-        near = two[np.bitwise_count(fp[two] ^ fp[two + 1]).sum(axis=1) <= limit]
-        yield node[near], node[near + 1]
+def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper: int) -> DataFrame:
+    """Verified links (a, b) of nodes; dealt has (grp, part, f0, …), and members meet within a part of a group."""
+    bits = 8 * segment_bytes
+    lower = bits - upper
+    flips = np.array([0, *(1 << k for k in range(lower))], np.int64)
+
+    def pairs(grp: np.ndarray, part: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of whole parts: rows are entered in the group's table, those of its own under each flip of a lower bit too."""
+        value = _values(f, segment_bytes)[np.arange(len(f)), grp >> bits]
+        own = np.flatnonzero((value >> lower) == (grp & ((1 << bits) - 1)))
+        rest = np.setdiff1d(np.arange(len(f)), own, assume_unique=True)
+        table = np.cumsum(np.append(False, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1]))) << lower
+        low = value & ((1 << lower) - 1)
+        keys = np.concatenate([(table[own, None] | (low[own, None] ^ flips)).ravel(), table[rest] | low[rest]])
+        row = np.concatenate([np.repeat(own, len(flips)), rest])
+        order = np.argsort(keys)
+        keys, row = keys[order], row[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        bit, node = f.astype(np.uint64), node_of(f)
+        a, b = row[starts[sizes == 2]], row[starts[sizes == 2] + 1]
+        near = np.bitwise_count(bit[a] ^ bit[b]).sum(axis=1) <= limit
+        yield node[a[near]], node[b[near]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            if found := _tree(node[s:s + n], fp[s:s + n], limit):
+            members = row[s:s + n]
+            if found := _tree(node[members], bit[members], limit):
                 yield tuple(np.array(found, np.int64).T)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # rows of the last entry, whose other rows may come in the next batch
-
-        def tell(parts: list) -> Iterator[pa.RecordBatch]:
-            entry, node, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-            pairs = [x for x in bucket(entry, node, fp) if len(x[0])]
-            if pairs:
-                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                ab = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
+    def tell(held: list) -> Iterator[pa.RecordBatch]:
+        found = [x for x in pairs(*(np.concatenate(x) for x in zip(*held, strict=True))) if len(x[0])]
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            ab = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # rows of the last part, whose other rows may come in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            entry, node = batch["entry"].to_numpy(), batch["node"].to_numpy()
-            fp = np.frombuffer(b"".join(batch["fp"].to_pylist()), np.uint64).reshape(len(entry), -1)
-            cut = np.searchsorted(entry, entry[-1])
+            grp, part = batch["grp"].to_numpy(), batch["part"].to_numpy()
+            f = np.stack([batch[f"f{k}"].to_numpy() for k in range(lanes)], axis=1)
+            last = np.flatnonzero((grp != grp[-1]) | (part != part[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and (grp[0], part[0]) != (held[0][0][0], held[0][1][0]):
+                yield from tell(held)
+                held = []
             if cut:
-                yield from tell([*held, (entry[:cut], node[:cut], fp[:cut])])
+                yield from tell([*held, (grp[:cut], part[:cut], f[:cut])])
                 held = []
-            held.append((entry[cut:], node[cut:], fp[cut:]))
+            held.append((grp[cut:], part[cut:], f[cut:]))
         if held:
             yield from tell(held)
 
-    return entries.repartition("entry").sortWithinPartitions("entry").mapInArrow(run, "a long, b long")
+    return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
 
 
-def link(fps: DataFrame, limit: int, segment_bytes: int, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def link(fps: DataFrame, limit: int, segment_bytes: int, lanes: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """Links (a, b) of nodes that join whatever distances of `limit` or less join; fps holds distinct (node, fp)."""
-    entries = _entries(fps, segment_bytes, near=True)
-    bits = 8 * segment_bytes
-    often = written(_entries(fps, segment_bytes, near=False).groupBy("entry").count().where(F.col("count") > hot).select("entry"))
-    if often.isEmpty():
-        return _links(entries, limit).distinct()
-    around = often.select(F.explode(F.array(F.col("entry"), *[F.col("entry").bitwiseXOR(F.lit(1 << k)) for k in range(bits)])).alias("entry")).distinct()
-    sized = written(entries.join(around, "entry", "left_semi").groupBy("entry").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
-    b, n = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"), F.col("blocks")
-    pairs = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.xxhash64("entry", F.least(b, j), F.greatest(b, j)))
-    dealt = entries.join(sized, "entry", "left").select(F.explode(F.when(n.isNull(), F.array(F.xxhash64("entry"))).otherwise(pairs)).alias("entry"), "node", "fp")
-    return _links(dealt, limit).distinct()
+    upper = _upper_bits(fps, segment_bytes, most)
+    dealt = _dealt(fps, segment_bytes, lanes, upper)
+    if upper < 8 * segment_bytes:
+        return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, segment_bytes, lanes, upper).distinct()
+    sized = written(dealt.groupBy("grp").count().where(F.col("count") > most).select("grp", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    n = F.coalesce("blocks", F.lit(1))
+    b = F.pmod(F.xxhash64(*[f"f{k}" for k in range(lanes)]), n).cast("long")
+    # any two blocks of a group make a part; each member goes to the parts of its block
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda j: F.least(b, j) * n + F.greatest(b, j))
+    dealt = dealt.join(sized, "grp", "left").select("grp", F.explode(parts).alias("part"), *[f"f{k}" for k in range(lanes)])
+    return _links(dealt, limit, segment_bytes, lanes, upper).distinct()
 
 
 def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: int = 4, segment_bytes: int = 4,
-                    id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block: int = BLOCK) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id that links reach, the row's own included."""
     rows = written(fingerprints(docs, shingle, lanes, id_col, text_col))
     fps = written(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")))
-    joined = written(components(link(fps, limit, segment_bytes, hot, block)))
+    joined = written(components(link(fps, limit, segment_bytes, lanes, most, block)))
     rooted = written(fps.join(joined.withColumnRenamed("a", "node"), "node", "left").select("node", "least_id", F.coalesce("b", "node").alias("root")))
     # only roots that others joined need the least id of their members
     least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
