@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from adloom.llm.common import table
 
-KEEP = 500_000
+KEEP, SLICE = 500_000, 500
 NONE = np.int64(1 << 40)
 
 
@@ -63,8 +63,8 @@ class Vocabulary:
         self.alone = earliest[made] < np.arange(len(pairs))  # merges to be done one place at a time
 
 
-def merge(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
-    """The token ids of each word."""
+def merge(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of all words laid end to end, and how many each has."""
     sizes = np.array([len(w) for w in words])
     flat = np.frombuffer(b"".join(words), np.uint8)
     sym = v.first[flat]
@@ -96,9 +96,7 @@ def merge(words: list[bytes], v: Vocabulary) -> list[np.ndarray]:
             over[places + 1] = True
         sym, word = sym[~over], word[~over]
     sym, word = np.concatenate([np.zeros(0, np.int64), *done_sym]), np.concatenate([np.zeros(0, np.int64), *done_word])
-    sym = sym[np.argsort(word, kind="stable")]
-    counts = np.bincount(word.astype(np.int64), minlength=len(words))
-    return np.split(sym, np.cumsum(counts)[:-1])
+    return sym[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words))
 
 
 #: Unicode white space.
@@ -127,10 +125,11 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[str, bytes] = {}
-        self.shown: dict[str, str] = {}
-        for t, i in self.v.special.items():
-            self.ids["\0" + t], self.shown["\0" + t] = np.array([i], "<u4").tobytes(), t
+        """Forget all pre-tokens but the special ones. `known` numbers them; the ids of number k are flat[start[k]:][:count[k]]."""
+        special = [*self.v.special.items()]
+        self.known = {"\0" + t: k for k, (t, _) in enumerate(special)}
+        self.flat = np.array([i for _, i in special], np.int64)
+        self.start, self.count = np.arange(len(special)), np.ones(len(special), np.int64)
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens; a special token is its string after a NUL."""
@@ -144,21 +143,34 @@ class Encoder:
                 out += (self.full if _ODD.search(part) else _PLAIN).findall(part)
         return out
 
-    def learn(self, unknown: set[str]) -> None:
-        todo = sorted(unknown)
-        if todo:
-            for w, ids in zip(todo, merge([w.encode("utf-8", "surrogatepass") for w in todo], self.v), strict=True):
-                self.ids[w] = ids.astype("<u4").tobytes()
-                self.shown[w] = " ".join([self.v.tokens[i] for i in ids])
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
-        """The ids as little-endian 32-bit integers and the decoded text of each text: tokens as the vocabulary shows them, one space between."""
-        for t in texts:
-            words = self.words(t or "")
-            if len(self.ids) > KEEP:
-                self.reset()
-            self.learn({w for w in set(words) if w not in self.ids})
-            yield b"".join(map(self.ids.__getitem__, words)), " ".join(map(self.shown.__getitem__, words))
+    def learn(self, words: list[str]) -> None:
+        ids, counts = merge([w.encode("utf-8", "surrogatepass") for w in words], self.v)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        words = [self.words(t or "") for t in texts]
+        if len(self.known) > KEEP:
+            self.reset()
+        every = [w for own in words for w in own]
+        at = list(map(self.known.get, every))
+        if None in at:
+            self.learn(list(dict.fromkeys(w for w, k in zip(every, at, strict=True) if k is None)))
+            at = list(map(self.known.__getitem__, every))
+        at = np.array(at, np.int64)
+        count = self.count[at]
+        ends = np.cumsum(count)
+        ids = self.flat[np.repeat(self.start[at] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.append(0, ends)[np.cumsum([len(w) for w in words])]
+        for a, z in zip([0, *stops.tolist()], stops.tolist(), strict=False):
+            yield ids[a:z]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Tokens as the vocabulary shows them, one space between."""
+        return " ".join(map(self.v.tokens.__getitem__, ids.tolist()))
 
 
 def default_path() -> str:
@@ -175,9 +187,10 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         encoder = Encoder(v.value)
         for pdf in batches:
             rows = []
-            for ids, shown in encoder.encode(pdf["_text"].tolist()):
-                n = len(ids) // 4
-                rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()) if digest else (n, np.frombuffer(ids, "<u4").astype(np.int64), shown))
+            for at in range(0, len(pdf), SLICE):
+                for ids in encoder.encode(pdf["_text"].iloc[at:at + SLICE].tolist()):
+                    shown = encoder.decode(ids)
+                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()) if digest else (len(ids), ids, shown))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pd.DataFrame({"_id": pdf["_id"], "n_tokens": pd.Series(n, dtype="int64"), "a": list(a), "b": list(b)})
 
