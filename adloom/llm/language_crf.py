@@ -95,8 +95,8 @@ class Field:
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
-def forward_backward(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Marginals (words, langs) of sequences laid end to end.
+def messages(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Emission factors, forward and backward messages (words, langs; each scaled) of sequences laid end to end.
 
     All sequences take their k-th word at once, in the order of length, so that those still open are the first ones.
     """
@@ -110,11 +110,17 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray)
         at = start[:n] + k
         now = e[at] if k == 0 else e[at] * (forward[at - 1] @ a)
         forward[at] = now / now.sum(axis=1, keepdims=True)
-    backward[start[:open_[0] if len(open_) else 0] + sizes[order][:open_[0] if len(open_) else 0] - 1] = 1
+    backward[(np.cumsum(sizes) - 1)[sizes > 0]] = 1
     for k in range(len(open_) - 2, -1, -1):
         at = start[:open_[k + 1]] + k
         now = (e[at + 1] * backward[at + 1]) @ a.T
         backward[at] = now / now.sum(axis=1, keepdims=True)
+    return e, forward, backward
+
+
+def forward_backward(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Marginals (words, langs) of sequences laid end to end."""
+    _, forward, backward = messages(emission, step, sizes)
     both = forward * backward
     return both / both.sum(axis=1, keepdims=True)
 
@@ -150,15 +156,16 @@ def fit(runs: list[tuple[str, list[bytes]]], rounds: int = 12, batch: int = 200,
             w, y, sizes = np.concatenate(words), np.concatenate(tags), np.array(sizes)
             told = np.stack([np.bincount(who, crf.weight[what, k], len(vocabulary)) for k in range(len(langs))], axis=1)
             emission = told[w]
-            p = forward_backward(emission, crf.step, sizes)
+            e, forward, backward = messages(emission, crf.step, sizes)
+            p = forward * backward
+            p /= p.sum(axis=1, keepdims=True)
             off = p - np.eye(len(langs))[y]
             by_word = np.stack([np.bincount(w, off[:, k], len(vocabulary)) for k in range(len(langs))], axis=1)
             g_weight = np.stack([np.bincount(what, by_word[who, k], BUCKETS) for k in range(len(langs))], axis=1) / len(w) + ridge * crf.weight
             inner = np.ones(len(w), bool)
             inner[np.cumsum(sizes) - 1] = False
             at = np.flatnonzero(inner)
-            # expected steps, from the marginals of both ends given the step weights
-            pair = np.exp(crf.step)[None] * (p[at][:, :, None] * p[at + 1][:, None, :])
+            pair = np.exp(crf.step)[None] * forward[at][:, :, None] * (e[at + 1] * backward[at + 1])[:, None, :]
             pair /= pair.sum(axis=(1, 2), keepdims=True)
             seen = np.zeros_like(crf.step)
             np.add.at(seen, (y[at], y[at + 1]), 1)

@@ -145,6 +145,19 @@ def test_forward_backward_is_exact():
         at += size
 
 
+def test_gradient_of_steps():
+    """The pair marginals that training uses are those of all paths."""
+    rng = np.random.default_rng(3)
+    e, step, sizes, n = rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), np.array([4]), 3
+    factor, forward, backward = language_crf.messages(e, step, sizes)
+    for t in range(3):
+        want = np.zeros((n, n))
+        for path in np.ndindex(n, n, n, n):
+            want[path[t], path[t + 1]] += np.exp(sum(e[i, k] for i, k in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:], strict=False)))
+        got = np.exp(step) * forward[t][:, None] * (factor[t + 1] * backward[t + 1])[None]
+        assert np.allclose(got / got.sum(), want / want.sum())
+
+
 def test_language(spark, docs, make, edge):
     got = {r.doc_id: r for r in language_crf.query(spark, SF).collect()}
     known = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
