@@ -94,10 +94,20 @@ def page_headline(t, spark, sf):
     return _facts(t).select("page_id", "facts.h1", "facts.title")
 
 
-@query()
+_TEXT = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+_PAY_RE = salary.SALARY_TEXT.replace("'", "''")
+
+
+@query(f"""
+WITH x AS (SELECT page_id, url, {_TEXT.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS title, {_TEXT.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article,
+    {_TEXT.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '<!--.*?-->', '', 'g')")} AS body FROM pages),
+d AS (SELECT *, CASE WHEN strlen(article) >= 40 THEN article WHEN strlen(body) >= 40 THEN body ELSE '' END AS description FROM x)
+SELECT page_id, url AS source_url, CASE WHEN title = '' THEN url ELSE title END AS title, '' AS company, 'static' AS adapter, 'detail' AS kind,
+    trim(regexp_replace(coalesce(nullif(regexp_extract(title, '(?i){_PAY_RE}', 0), ''), regexp_extract(description, '(?i){_PAY_RE}', 0)), '\\s+', ' ', 'g')) AS salary, description FROM d""")
 def static_pages(t, spark, sf):
     """Whole ads from pages of unknown sites."""
-    return adapters.parse_pages(t("pages").select("page_id", F.col("url").alias("requested_url"), F.col("url").alias("final_url"), F.col("html").alias("body"))).drop("requested_url")
+    pages = t("pages").select("page_id", F.col("url").alias("requested_url"), F.col("url").alias("final_url"), F.col("html").alias("body"), F.lit("static").alias("adapter"))
+    return adapters.parse_pages(pages).select("page_id", "source_url", "title", "company", "adapter", "kind", "salary", "description")
 
 
 @query()
