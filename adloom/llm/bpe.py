@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from adloom.llm.common import table
 
-KEEP, SLICE = 500_000, 500
+KEEP, SLICE = 250_000, 500
 NONE = np.int64(1 << 40)
 
 
@@ -186,13 +186,13 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(v.value)
         for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), SLICE):
-                for ids in encoder.encode(pdf["_text"].iloc[at:at + SLICE].tolist()):
+            for at in range(0, len(pdf), SLICE):  # told piece by piece: ids and decoded texts are larger than the texts
+                part, rows = pdf.iloc[at:at + SLICE], []
+                for ids in encoder.encode(part["_text"].tolist()):
                     shown = encoder.decode(ids)
                     rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()) if digest else (len(ids), ids, shown))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pd.DataFrame({"_id": pdf["_id"], "n_tokens": pd.Series(n, dtype="int64"), "a": list(a), "b": list(b)})
+                n, a, b = zip(*rows, strict=True)
+                yield pd.DataFrame({"_id": part["_id"].array, "n_tokens": pd.Series(n, dtype="int64"), "a": list(a), "b": list(b)})
 
     kind = dict(docs.dtypes)[id_col]
     out = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInPandas(

@@ -15,6 +15,9 @@ With one lane, segments of four bytes and a limit of 4 (5 at most) no link is lo
 or fewer. With more lanes a pair at the limit is found with the probability that some segment differs that little.
 Components are found by alternating stars in Spark tables.
 
+Where a similarity is asked for, the limit is loose and the tree of each table entry is one of least distances. Each of its
+links is then held against the whole shingle sets of both texts, and goes if their Jaccard similarity is lower.
+
 Cases: null and blank texts have fingerprint zero and link like others; texts with fewer words than a shingle are one
 shingle; repeated rows each get a row; a null doc_id is never a component's id (null if no member has one); an empty table
 gives an empty result; other columns are carried by `keep_one` only.
@@ -34,29 +37,52 @@ from adloom.llm.components import components
 
 SEED, MOST, BLOCK = 42, 32_768, 2048
 LEAST_UPPER, TOP = 6, 12
-#: Distance of 192-bit fingerprints of five-word shingles taken as a similarity of 0.8 or more: 29 expected at 0.8, 33 with its spread.
-NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE = 3, 33, 5
+#: For a similarity of 0.8 or more of five-word shingles: 192 bits, of which 29 are expected to differ at 0.8, and 42 or more in one of 200 such pairs.
+NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE, NEAR = 3, 42, 5, 0.8
+#: Ids that a broadcast may hold (about 16 MB); more are joined by a shuffle of both sides.
+BROADCAST_IDS = 1_000_000
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes | None, shingle: int, lanes: int) -> bytes:
-    """8 * lanes bytes, high bits first."""
+def _lane(h: np.ndarray, lane: int) -> np.ndarray:
+    """Hashes for a lane: the hashes themselves, or a mix of them."""
+    if not lane:
+        return h
+    h = h + np.uint64(lane * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """XXH64 of every shingle in order; none for a text without words."""
     import xxhash
 
     words = (text or b"").lower().split()
     if not words:
-        return bytes(8 * lanes)
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     size = np.fromiter(map(len, words), np.int64, len(words))
     start = np.cumsum(size + 1) - size - 1
     stop = (start + size)[min(shingle, len(words)) - 1:]
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), stop.tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
+    """8 * lanes bytes, high bits first."""
     ones = np.zeros((lanes, 64), np.int64)
-    for at in range(0, n, CHUNK):
-        spans = [joined[a:b] for a, b in zip(start[at:min(n, at + CHUNK)].tolist(), stop[at:at + CHUNK].tolist(), strict=True)]
+    for at in range(0, len(hashes), CHUNK):
         for lane in range(lanes):
-            h = np.fromiter((xxhash.xxh64_intdigest(s, SEED + lane) for s in spans), np.uint64, len(spans))
+            h = _lane(hashes[at:at + CHUNK], lane)
             ones[lane] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
+    return np.packbits(2 * ones > len(hashes)).tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of distinct 64-bit hashes."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared / (len(x) + len(y) - shared) if len(x) or len(y) else 1.0
 
 
 def node_of(f: np.ndarray) -> np.ndarray:
@@ -68,17 +94,19 @@ def node_of(f: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, node, fp) of every row; node is the fingerprint as a number, or a 64-bit hash of it with several lanes."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of it with several lanes."""
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [fingerprint(t, shingle, lanes) for t in b["t"].to_pylist()]
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+            every = [shingle_hashes(t, shingle) for t in b["t"].to_pylist()]
+            fps = [fingerprint(h, lanes) for h in every]
             nodes = node_of(np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(len(fps), lanes))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(nodes, pa.int64()), pa.array(fps, pa.binary())], ["doc_id", "node", "fp"])
+            more = [pa.array([np.unique(h).astype("<u8").tobytes() for h in every], pa.binary())] if sets else []
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), *more], ["doc_id", "node", "fp", "shingles"][:3 + len(more)])
 
-    return kind.mapInArrow(run, "doc_id long, node long, fp binary")
+    return kind.mapInArrow(run, "doc_id long, node long, fp binary" + ", shingles binary" * sets)
 
 
 def _values(f: np.ndarray, segment_bytes: int) -> np.ndarray:
@@ -144,7 +172,23 @@ def _tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]
     return out
 
 
-def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper: int) -> DataFrame:
+def _least_tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """The same with the least distances: the nearest member outside joins next."""
+    out, rest = [], np.arange(1, len(node))
+    gap, by = np.bitwise_count(fp[rest] ^ fp[0]).sum(axis=1, dtype=np.int64), np.zeros(len(rest), np.int64)
+    while len(rest):
+        k = int(gap.argmin())
+        u = rest[k]
+        if gap[k] <= limit:
+            out.append((node[by[k]], node[u]))
+        rest, gap, by = np.delete(rest, k), np.delete(gap, k), np.delete(by, k)
+        own = np.bitwise_count(fp[rest] ^ fp[u]).sum(axis=1, dtype=np.int64)
+        by[own < gap] = u
+        gap = np.minimum(gap, own)
+    return out
+
+
+def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper: int, tree=_tree) -> DataFrame:
     """Verified links (a, b) of nodes; dealt has (grp, part, f0, …), and members meet within a part of a group."""
     bits = 8 * segment_bytes
     lower = bits - upper
@@ -169,7 +213,7 @@ def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper:
         yield node[a[near]], node[b[near]]
         for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             members = row[s:s + n]
-            if found := _tree(node[members], bit[members], limit):
+            if found := tree(node[members], bit[members], limit):
                 yield tuple(np.array(found, np.int64).T)
 
     def tell(held: list) -> Iterator[pa.RecordBatch]:
@@ -201,42 +245,68 @@ def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper:
     return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
 
 
-def link(fps: DataFrame, limit: int, segment_bytes: int, lanes: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
+def link(fps: DataFrame, limit: int, segment_bytes: int, lanes: int, most: int = MOST, block: int = BLOCK, tree=_tree) -> DataFrame:
     """Links (a, b) of nodes that join whatever distances of `limit` or less join; fps holds distinct (node, fp)."""
     upper = _upper_bits(fps, segment_bytes, most)
     dealt = _dealt(fps, segment_bytes, lanes, upper)
     if upper < 8 * segment_bytes:
-        return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, segment_bytes, lanes, upper).distinct()
+        return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, segment_bytes, lanes, upper, tree).distinct()
     sized = written(dealt.groupBy("grp").count().where(F.col("count") > most).select("grp", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     n = F.coalesce("blocks", F.lit(1))
     b = F.pmod(F.xxhash64(*[f"f{k}" for k in range(lanes)]), n).cast("long")
     # any two blocks of a group make a part; each member goes to the parts of its block
     parts = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda j: F.least(b, j) * n + F.greatest(b, j))
     dealt = dealt.join(sized, "grp", "left").select("grp", F.explode(parts).alias("part"), *[f"f{k}" for k in range(lanes)])
-    return _links(dealt, limit, segment_bytes, lanes, upper).distinct()
+    return _links(dealt, limit, segment_bytes, lanes, upper, tree).distinct()
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """ids marked for a broadcast if there are BROADCAST_IDS or fewer."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _similar(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, lanes: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) whose texts have that similarity or more. A node's text is that of its least doc_id; nodes of rows without one take no part."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = written(fps.join(ends, "node", "left_semi").select("least_id").distinct())
+    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(_few(ids), F.col("doc_id") == F.col("least_id"), "left_semi")
+    sets = written(fingerprints(texts, shingle, lanes, sets=True).join(fps.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [similarity(x, y) >= least for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: int = 4, segment_bytes: int = 4,
+def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: int = 4, segment_bytes: int = 4, least_similarity: float | None = None,
                     id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id that links reach, the row's own included."""
     rows = written(fingerprints(docs, shingle, lanes, id_col, text_col))
     fps = written(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")))
-    joined = written(components(link(fps, limit, segment_bytes, lanes, most, block)))
+    if least_similarity is None:
+        links = link(fps, limit, segment_bytes, lanes, most, block)
+    else:
+        near = written(link(fps, limit, segment_bytes, lanes, most, block, _least_tree))
+        links = _similar(near, fps, docs, shingle, lanes, least_similarity, id_col, text_col)
+    joined = written(components(links))
     rooted = written(fps.join(joined.withColumnRenamed("a", "node"), "node", "left").select("node", "least_id", F.coalesce("b", "node").alias("root")))
-    # only roots that others joined need the least id of their members
     least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
     named = written(rooted.join(least, "root", "left").select("node", "component_id"))
     return rows.join(named, "node", "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, limit: int = NEAR_LIMIT, segment_bytes: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, limit: int = NEAR_LIMIT, segment_bytes: int = 3, least_similarity: float | None = NEAR) -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest doc_id; columns as in docs.
 
     Rows without a doc_id stay. Of rows that repeat a kept doc_id one stays.
     """
-    groups = written(near_components(docs, shingle, lanes, limit, segment_bytes))
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    groups = written(near_components(docs, shingle, lanes, limit, segment_bytes, least_similarity))
+    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     twice = written(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if twice.isEmpty():
         return kept
