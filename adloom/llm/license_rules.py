@@ -11,7 +11,6 @@ from dataclasses import dataclass
 #: The contract's own phrases; they are never suppressed.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-_V = r"(?: ?,? ?(?:version|v) )?"
 FAMILIES = (
     ("mit", r"(?:mit|expat) licen[sc]e", r"mit(?: 0| cmu| modern variant)?", r"opensource org licenses? mit"),
     ("apache-2.0", r"apache (?:software )?licen[sc]e (?:version |v )?2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0"),
