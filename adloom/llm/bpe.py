@@ -19,7 +19,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,19 +183,24 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """id, n_tokens, token ids and decoded text of every whole text; with digest the last two as SHA-256 instead."""
     v = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(v.value)
-        for pdf in batches:
-            for at in range(0, len(pdf), SLICE):  # told piece by piece: ids and decoded texts are larger than the texts
-                part, rows = pdf.iloc[at:at + SLICE], []
-                for ids in encoder.encode(part["_text"].tolist()):
-                    shown = encoder.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest()) if digest else (len(ids), ids, shown))
-                n, a, b = zip(*rows, strict=True)
-                yield pd.DataFrame({"_id": part["_id"].array, "n_tokens": pd.Series(n, dtype="int64"), "a": list(a), "b": list(b)})
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):  # piece by piece: ids and decoded texts are larger than the texts
+                part = whole.slice(at, SLICE)
+                ids = list(encoder.encode(part["_text"].to_pylist()))
+                shown = [encoder.decode(i) for i in ids]
+                counts = np.fromiter(map(len, ids), np.int64, len(ids))
+                if digest:
+                    a = pa.array([hashlib.sha256(i.astype("<u4").tobytes()).hexdigest() for i in ids], pa.string())
+                    b = pa.array([hashlib.sha256(x.encode()).hexdigest() for x in shown], pa.string())
+                else:
+                    a = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), np.concatenate(ids))
+                    b = pa.array(shown, pa.string())
+                yield pa.RecordBatch.from_arrays([part["_id"], pa.array(counts), a, b], ["_id", "n_tokens", "a", "b"])
 
     kind = dict(docs.dtypes)[id_col]
-    out = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInPandas(
+    out = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).mapInArrow(
         run, f"_id {kind}, n_tokens bigint, a {'string' if digest else 'array<bigint>'}, b string")
     return out.select(F.col("_id").alias(id_col), "n_tokens", F.col("a").alias("ids_sha256" if digest else "ids"), F.col("b").alias("decoded_sha256" if digest else "decoded"))
 
