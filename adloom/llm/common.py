@@ -30,6 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of whole texts hold `rows` rows at most from now on, unless the session has set a number itself: ten thousand texts are much for a task's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, with no lineage, safe against lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, table
+from adloom.llm.common import free_name, small_batches, table
 
 SIZE, BLOCK_WORDS = 10, 2_000_000
 #: Bytes that separate words, as spaces: all ASCII but digits and lower-case letters.
@@ -99,6 +99,7 @@ _HITS = "n_words long, spans array<struct<start:int,stop:int>>, items array<stri
 
 def mark(docs: DataFrame, bench: DataFrame, size: int = SIZE, text_col: str = "text", out: str = "hits", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with one more struct column `out`: n_words, spans of hit words [start, stop), items with occurring windows (sorted)."""
+    small_batches(docs.sparkSession)
     out, kind = free_name(docs, out), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
     keep = [F.col(f"`{c}`") for c in docs.columns]
     at = docs.columns.index(text_col)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, table
+from adloom.llm.common import free_name, small_batches, table
 
 MAX_DOCS, WINDOWS, RUN, LENGTH = 400, 4, 40, 60
 BUCKETS = 1 << 16
@@ -213,6 +213,7 @@ def label(texts: list[str | None], crf: Field) -> list[tuple[str, float]]:
 
 def predict(docs: DataFrame, crf: Field, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with one more struct column `out`: lang and score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weight.astype(np.float32), crf.step))
 
     @F.pandas_udf("lang string, score double")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import table, written
+from adloom.llm.common import small_batches, table, written
 from adloom.llm.components import components
 
 SEED, MOST, BLOCK = 42, 32_768, 2048
@@ -96,6 +96,7 @@ def node_of(f: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
     """(doc_id, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of it with several lanes."""
+    small_batches(docs.sparkSession)
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
