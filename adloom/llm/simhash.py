@@ -16,7 +16,9 @@ or fewer. With more lanes a pair at the limit is found with the probability that
 Components are found by alternating stars in Spark tables.
 
 Where a similarity is asked for, the limit is loose and the tree of each table entry is one of least distances. Each of its
-links is then held against the whole shingle sets of both texts, and goes if their Jaccard similarity is lower.
+links is then held against the whole shingle sets of both texts, and goes if their Jaccard similarity is lower. Where that
+leaves what loose links join in several components, its members meet again, in pairs of blocks, and any two of them that no
+link joins are held against each other; so the tree's choice of links decides nothing.
 
 Cases: null and blank texts have fingerprint zero and link like others; texts with fewer words than a shingle are one
 shingle; repeated rows each get a row; a null doc_id is never a component's id (null if no member has one); an empty table
@@ -41,6 +43,8 @@ LEAST_UPPER, TOP = 6, 12
 NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE, NEAR = 3, 42, 5, 0.8
 #: Ids that a broadcast may hold (about 16 MB); more are joined by a shuffle of both sides.
 BROADCAST_IDS = 1_000_000
+#: Bytes of shingle sets in a block of a loosely joined group.
+SETS = 4 << 20
 CHUNK = 1 << 16
 
 
@@ -266,13 +270,16 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _similar(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, lanes: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) whose texts have that similarity or more. A node's text is that of its least doc_id; nodes of rows without one take no part."""
+def _sets(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the ends of links. A node's text is that of its least doc_id; nodes of rows without one take no part."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = written(fps.join(ends, "node", "left_semi").select("least_id").distinct())
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(_few(ids), F.col("doc_id") == F.col("least_id"), "left_semi")
-    sets = written(fingerprints(texts, shingle, lanes, sets=True).join(fps.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
+    return written(fingerprints(texts, shingle, lanes, sets=True).join(fps.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
 
+
+def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) whose texts have that similarity or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [similarity(x, y) >= least for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True)]
@@ -283,8 +290,72 @@ def _similar(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, la
     return links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def joining(sets: list[np.ndarray], root: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between sets that join all which similarities of `least` or more join; those of one root are joined already. Any two of different roots are held against each other."""
+    n, size, root, out = len(sets), np.array([len(x) for x in sets], np.int64), root.copy(), []
+    stop = np.cumsum(size)
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    first = np.append(0, np.cumsum(np.bincount(codes)))  # owners[first[c]:first[c + 1]] hold code c
+    owners = np.repeat(np.arange(n), size)[np.argsort(codes, kind="stable")]
+    for i in range(n - 1):
+        apart = root != root[i]
+        apart[:i] = False  # met at their own turn
+        if not apart.any():
+            continue
+        c = codes[stop[i] - size[i]:stop[i]]
+        many = first[c + 1] - first[c]
+        at = np.arange(many.sum()) + np.repeat(first[c] - np.cumsum(many) + many, many)
+        shared = np.bincount(owners[at], minlength=n)
+        either = size[i] + size - shared
+        for j in np.flatnonzero(apart & (np.where(either > 0, shared / np.maximum(either, 1), 1.0) >= least)).tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _untested(loose: DataFrame, joined: DataFrame, sets: DataFrame, least: float, block: int, set_bytes: int) -> DataFrame:
+    """Links (a, b) of that similarity between what `joined` leaves apart of `loose`, both with (a, b) of components."""
+    members = sets.select("node", F.octet_length("shingles").alias("bytes"))
+    for found, name in ((loose, "grp"), (joined, "root")):
+        members = members.join(found.select(F.col("a").alias("node"), F.col("b").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
+    members = written(members)
+    apart = members.groupBy("grp").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    apart = written(apart.select("grp", F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("bytes") / set_bytes)).cast("long").alias("n")))
+    b = F.pmod(F.xxhash64("node"), F.greatest("n", F.lit(1)))
+    # any two blocks of a group make a part; each member goes to the parts of its block
+    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("n", F.lit(1)) - 1), lambda j: F.least(b, j) * F.col("n") + F.greatest(b, j))
+    dealt = members.join(apart, "grp").join(sets, "node").select("grp", F.explode(parts).alias("part"), "node", "root", "shingles")
+
+    def tell(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, root = (np.concatenate([x[name].to_numpy() for x in held]) for name in ("node", "root"))
+        if (root == root[0]).all():
+            return
+        if found := joining([np.frombuffer(x, "<u8") for b in held for x in b["shingles"].to_pylist()], root, least):
+            i, j = np.array(found, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None  # rows of the last part, whose other rows may come in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grp, part = batch["grp"].to_numpy(), batch["part"].to_numpy()
+            starts = [0, *(np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(grp)]
+            for s, e in zip(starts, starts[1:]):
+                if held and key != (grp[s], part[s]):
+                    yield from tell(held)
+                    held = []
+                key = (grp[s], part[s])
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from tell(held)
+
+    return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
+
+
 def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: int = 4, segment_bytes: int = 4, least_similarity: float | None = None,
-                    id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK) -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK, set_bytes: int = SETS) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id that links reach, the row's own included."""
     rows = written(fingerprints(docs, shingle, lanes, id_col, text_col))
     fps = written(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")))
@@ -292,7 +363,9 @@ def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: in
         links = link(fps, limit, segment_bytes, lanes, most, block)
     else:
         near = written(link(fps, limit, segment_bytes, lanes, most, block, _least_tree))
-        links = _similar(near, fps, docs, shingle, lanes, least_similarity, id_col, text_col)
+        sets = _sets(near, fps, docs, shingle, lanes, id_col, text_col)
+        links = written(_similar(near, sets, least_similarity))
+        links = links.unionByName(_untested(written(components(near)), written(components(links)), sets, least_similarity, block, set_bytes))
     joined = written(components(links))
     rooted = written(fps.join(joined.withColumnRenamed("a", "node"), "node", "left").select("node", "least_id", F.coalesce("b", "node").alias("root")))
     least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))

@@ -87,6 +87,40 @@ def test_keep_one(spark, make):
     assert len({r.doc_id // 12 for r in many}) == 6 and len(many) == 6
 
 
+def shingle_jaccard(a, b):
+    x, y = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("cut", [{}, {"block": 1}])
+def test_no_pair_of_a_group_untested(spark, make, monkeypatch, cut):
+    """Where every link of a group's tree fails, a pair beside the tree is held against each other all the same."""
+    def edited(*at):
+        return " ".join(f"e{k}" if k in at else f"w{k}" for k in range(240))
+
+    texts = [edited(10, 30), edited(50, 70, 90, 110), edited(130, 150, 170), edited(190, 210, 225, 50)]
+    assert [shingle_jaccard(texts[i], texts[j]) >= 0.8 for i, j in ((0, 1), (1, 2), (1, 3), (0, 2), (2, 3), (0, 3))] == [False, False, False, True, False, False]
+
+    def star(fps, *more):
+        node = {r.least_id: r.node for r in fps.collect()}
+        return spark.createDataFrame([(node[1], node[k]) for k in (0, 2, 3)], "a long, b long")
+
+    monkeypatch.setattr(simhash, "link", star)
+    got = simhash.near_components(make(list(enumerate(texts))), 5, 3, 60, 3, 0.8, **cut).collect()
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 0, 3: 3}
+
+
+def test_joining():
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(0, 30))).astype("<u8") for _ in range(40)]
+        root = rng.integers(0, 30, 40)
+        known = [(i, j) for i in range(40) for j in range(i) if root[i] == root[j]]
+        near = [(i, j) for i in range(40) for j in range(i) if simhash.similarity(sets[i].tobytes(), sets[j].tobytes()) >= 0.5]
+        found = simhash.joining(sets, root, 0.5)
+        assert groups(range(40), known + found) == groups(range(40), known + near) and len(found) < 40
+
+
 @pytest.mark.parametrize(("bits", "n"), [(2, 2), (3, 3), (4, 1)])
 def test_curve(bits, n):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
