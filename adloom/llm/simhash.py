@@ -11,11 +11,14 @@ least that leaves at most `MOST` fingerprints of a group of their own. Where one
 values, and larger ones are dealt to pairs of blocks of `BLOCK` members, so that any two members still meet and no task
 gets an unbounded group.
 
+All lanes give segments, but only the first `HELD` are dealt and have their distances counted; rows that agree in those are
+one node.
+
 With one lane, segments of four bytes and a limit of 4 (5 at most) no link is lost: one of two halves differs in two bits
 or fewer. With more lanes a pair at the limit is found with the probability that some segment differs that little.
 Components are found by alternating stars in Spark tables.
 
-Where a similarity is asked for, the limit is loose and the tree of each table entry is one of least distances. Each of its
+Where a similarity is asked for, fingerprints are of the distinct shingles, as the similarity is, the limit is loose and the tree of each table entry is one of least distances. Each of its
 links is then held against the whole shingle sets of both texts, and goes if their Jaccard similarity is lower. Where that
 leaves what loose links join in several components, its members meet again, in pairs of blocks, and any two of them that no
 link joins are held against each other; so the tree's choice of links decides nothing.
@@ -39,8 +42,10 @@ from adloom.llm.components import components
 
 SEED, MOST, BLOCK = 42, 32_768, 2048
 LEAST_UPPER, TOP = 6, 12
-#: For a similarity of 0.8 or more of five-word shingles: 192 bits, of which 29 are expected to differ at 0.8, and 42 or more in one of 200 such pairs.
-NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE, NEAR = 3, 42, 5, 0.8
+#: Lanes whose distances are counted.
+HELD = 3
+#: For a similarity of 0.8 or more of five-word shingles: 24 segments, and 192 bits held, of which 29 are expected to differ at 0.8, and more than 48 in one of 10,000 such pairs.
+NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE, NEAR = 9, 48, 5, 0.8
 #: Ids that a broadcast may hold (about 16 MB); more are joined by a shuffle of both sides.
 BROADCAST_IDS = 1_000_000
 #: Bytes of shingle sets in a block of a loosely joined group.
@@ -98,17 +103,19 @@ def node_of(f: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of it with several lanes."""
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, distinct: bool = False) -> DataFrame:
+    """(doc_id, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of its first HELD lanes with several lanes. With distinct a repeated shingle counts once."""
     small_batches(docs.sparkSession)
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             every = [shingle_hashes(t, shingle) for t in b["t"].to_pylist()]
-            fps = [fingerprint(h, lanes) for h in every]
-            nodes = node_of(np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(len(fps), lanes))
-            more = [pa.array([np.unique(h).astype("<u8").tobytes() for h in every], pa.binary())] if sets else []
+            if distinct or sets:
+                once = [np.unique(h) for h in every]
+            fps = [fingerprint(h, lanes) for h in (once if distinct else every)]
+            nodes = node_of(np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(len(fps), lanes)[:, :HELD])
+            more = [pa.array([h.astype("<u8").tobytes() for h in once], pa.binary())] if sets else []
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), *more], ["doc_id", "node", "fp", "shingles"][:3 + len(more)])
 
     return kind.mapInArrow(run, "doc_id long, node long, fp binary" + ", shingles binary" * sets)
@@ -145,19 +152,21 @@ def _upper_bits(fps: DataFrame, segment_bytes: int, most: int) -> int:
 
 
 def _dealt(fps: DataFrame, segment_bytes: int, lanes: int, upper: int) -> DataFrame:
-    """(grp, f0, f1, …): each fingerprint in the groups of its segments' upper bits, as they are and with one of them flipped."""
+    """(grp, value, f0, f1, …): the first HELD lanes of each fingerprint in the groups of its segments' upper bits, as they are and with one of them flipped; value, the segment's own, only with more lanes."""
     bits = 8 * segment_bytes
     flips = np.array([0, *(1 << k for k in range(upper))], np.int64)
-    names = [f"f{k}" for k in range(lanes)]
+    names = [*["value"] * (lanes > HELD), *[f"f{k}" for k in range(min(lanes, HELD))]]
+    rows = 16_000 // max(8, 8 * lanes // segment_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                f = _lanes(whole.slice(at, 2000))
+            for at in range(0, whole.num_rows, rows):
+                f = _lanes(whole.slice(at, rows))
                 value = _values(f, segment_bytes)
                 keys = ((value >> (bits - upper))[:, :, None] ^ flips) | (np.arange(value.shape[1], dtype=np.int64) << bits)[None, :, None]
                 times = np.repeat(np.arange(len(f)), keys[0].size)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *[pa.array(lane[times]) for lane in f.T]], ["grp", *names])
+                own = [pa.array(np.repeat(value.ravel(), len(flips)))] if lanes > HELD else []
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *own, *[pa.array(lane[times]) for lane in f.T[:HELD]]], ["grp", *names])
 
     return fps.select("fp").mapInArrow(run, "grp long, " + ", ".join(f"{n} long" for n in names))
 
@@ -194,14 +203,13 @@ def _least_tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int,
 
 
 def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper: int, tree=_tree) -> DataFrame:
-    """Verified links (a, b) of nodes; dealt has (grp, part, f0, …), and members meet within a part of a group."""
+    """Verified links (a, b) of nodes; dealt has (grp, part, value, f0, …), and members meet within a part of a group."""
     bits = 8 * segment_bytes
     lower = bits - upper
     flips = np.array([0, *(1 << k for k in range(lower))], np.int64)
 
-    def pairs(grp: np.ndarray, part: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(grp: np.ndarray, part: np.ndarray, value: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of whole parts: rows are entered in the group's table, those of its own under each flip of a lower bit too."""
-        value = _values(f, segment_bytes)[np.arange(len(f)), grp >> bits]
         own = np.flatnonzero((value >> lower) == (grp & ((1 << bits) - 1)))
         rest = np.setdiff1d(np.arange(len(f)), own, assume_unique=True)
         table = np.cumsum(np.append(False, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1]))) << lower
@@ -234,16 +242,17 @@ def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper:
             if not batch.num_rows:
                 continue
             grp, part = batch["grp"].to_numpy(), batch["part"].to_numpy()
-            f = np.stack([batch[f"f{k}"].to_numpy() for k in range(lanes)], axis=1)
+            f = np.stack([batch[f"f{k}"].to_numpy() for k in range(min(lanes, HELD))], axis=1)
+            value = batch["value"].to_numpy() if lanes > HELD else _values(f, segment_bytes)[np.arange(len(f)), grp >> bits]
             last = np.flatnonzero((grp != grp[-1]) | (part != part[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if held and (grp[0], part[0]) != (held[0][0][0], held[0][1][0]):
                 yield from tell(held)
                 held = []
             if cut:
-                yield from tell([*held, (grp[:cut], part[:cut], f[:cut])])
+                yield from tell([*held, (grp[:cut], part[:cut], value[:cut], f[:cut])])
                 held = []
-            held.append((grp[cut:], part[cut:], f[cut:]))
+            held.append((grp[cut:], part[cut:], value[cut:], f[cut:]))
         if held:
             yield from tell(held)
 
@@ -258,10 +267,11 @@ def link(fps: DataFrame, limit: int, segment_bytes: int, lanes: int, most: int =
         return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, segment_bytes, lanes, upper, tree).distinct()
     sized = written(dealt.groupBy("grp").count().where(F.col("count") > most).select("grp", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
     n = F.coalesce("blocks", F.lit(1))
-    b = F.pmod(F.xxhash64(*[f"f{k}" for k in range(lanes)]), n).cast("long")
+    names = [f"f{k}" for k in range(min(lanes, HELD))]
+    b = F.pmod(F.xxhash64(*names), n).cast("long")
     # any two blocks of a group make a part; each member goes to the parts of its block
     parts = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda j: F.least(b, j) * n + F.greatest(b, j))
-    dealt = dealt.join(sized, "grp", "left").select("grp", F.explode(parts).alias("part"), *[f"f{k}" for k in range(lanes)])
+    dealt = dealt.join(sized, "grp", "left").select("grp", F.explode(parts).alias("part"), *["value"] * (lanes > HELD), *names)
     return _links(dealt, limit, segment_bytes, lanes, upper, tree).distinct()
 
 
@@ -275,7 +285,7 @@ def _sets(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, lanes
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ids = written(fps.join(ends, "node", "left_semi").select("least_id").distinct())
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(_few(ids), F.col("doc_id") == F.col("least_id"), "left_semi")
-    return written(fingerprints(texts, shingle, lanes, sets=True).join(fps.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
+    return written(fingerprints(texts, shingle, lanes, sets=True, distinct=True).join(fps.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
 
 
 def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -357,8 +367,8 @@ def _untested(loose: DataFrame, joined: DataFrame, sets: DataFrame, least: float
 def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: int = 4, segment_bytes: int = 4, least_similarity: float | None = None,
                     id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK, set_bytes: int = SETS) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id that links reach, the row's own included."""
-    rows = written(fingerprints(docs, shingle, lanes, id_col, text_col))
-    fps = written(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")))
+    rows = written(fingerprints(docs, shingle, lanes, id_col, text_col, distinct=least_similarity is not None))
+    fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least_id")))
     if least_similarity is None:
         links = link(fps, limit, segment_bytes, lanes, most, block)
     else:

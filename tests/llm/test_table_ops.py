@@ -110,6 +110,23 @@ def test_no_pair_of_a_group_untested(spark, make, monkeypatch, cut):
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 0, 3: 3}
 
 
+def test_recall_at_the_threshold(make):
+    """Links held against brute force: isolated pairs little above the similarity, and equal shingle sets with other repetition."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(300):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 240)]
+        other = list(base)
+        for at in (30, 75, 120, 165, 210):
+            other[at] = f"e{rng.integers(0, 10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    loop, rest = [f"a{k}" for k in range(40)], [f"b{k}" for k in range(200)]
+    texts += [" ".join(loop * 2 + rest), " ".join(loop * 60 + rest)]
+    assert all(0.8 <= shingle_jaccard(texts[i], texts[i + 1]) < (0.82 if i < 600 else 1.01) for i in range(0, len(texts), 2))
+    kept = {r.doc_id for r in simhash.keep_one(make(list(enumerate(texts)))).collect()}
+    assert 601 not in kept and sum(k % 2 for k in kept) <= 3 and kept >= set(range(0, len(texts), 2))
+
+
 def test_joining():
     rng = np.random.default_rng(7)
     for _ in range(30):
