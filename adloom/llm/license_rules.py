@@ -149,6 +149,22 @@ def _literal(pattern: str) -> str:
     return max([*runs, run], key=len).strip()
 
 
+def _keywords(pattern: str) -> list[str]:
+    """Keywords of which any match of a pattern holds one: its literal, or where all of it lies in groups, that of each alternative of the first."""
+    if found := _literal(pattern):
+        return [found]
+    alternatives, depth = [""], 0
+    for c in pattern[len("(?:"):]:
+        depth += (c == "(") - (c == ")")
+        if depth < 0:
+            break
+        if c == "|" and not depth:
+            alternatives.append("")
+        else:
+            alternatives[-1] += c
+    return [_literal(a) for a in alternatives]
+
+
 def signatures() -> list[Signature]:
     """All rules in order: base phrases, licence texts, tags, addresses, grants, names.
 
@@ -161,5 +177,5 @@ def signatures() -> list[Signature]:
         out.append(Signature(label, 3, _literal(address), address, 0.9))
         grant = rf"(?:licen[sc]ed|released|distributed|available|provided) under (?:the |a |an )?(?:terms of (?:the )?)?{name}"
         out.append(Signature(label, 3, _literal(name) or "under", grant, 0.95))
-        out.append(Signature(label, 2, _literal(name) or "under", name, 0.6))
+        out += [Signature(label, 2, keyword, name, 0.6) for keyword in _keywords(name)]  # equal places of one label count once
     return out

@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -52,6 +53,41 @@ def test_license_labels_and_suppression(make):
     assert license_scan.scan(make([(1, "a", 2)], "licenses int")).columns[-1] == "_licenses" and license_scan.scan(make([])).count() == 0
 
 
+def matching(pattern, rng):
+    """A random text that a pattern matches."""
+    def one(op, arg):
+        name = str(op)
+        if name == "LITERAL":
+            return chr(arg)
+        if name == "ANY":
+            return "x"
+        if name == "IN":
+            return one(*rng.choice(arg))
+        if name == "SUBPATTERN":
+            return every(arg[3])
+        if name == "BRANCH":
+            return every(rng.choice(arg[1]))
+        assert name == "MAX_REPEAT", name
+        return "".join(every(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 2))))
+
+    def every(ops):
+        return "".join(one(*x) for x in ops)
+
+    return every(re._parser.parse(pattern))
+
+
+def test_license_keywords_drop_nothing(make, monkeypatch):
+    rng = random.Random(3)
+    texts = ["License: CC BY 4.0", "CC BY-SA 4.0", "CC0 1.0", "Creative Commons Attribution 4.0", "cc-by-nc-nd", "Creative Commons Zero"]
+    texts += ["x " + matching(r.pattern, rng) + " y" for r in signatures() for _ in range(2 if r.priority == 2 else 1)]
+    df = make(texts).coalesce(2)
+    got = {r.doc_id: r.licenses for r in license_scan.scan(df).collect()}
+    monkeypatch.setattr(license_scan, "GATE", ("",))
+    want = {r.doc_id: r.licenses for r in license_scan.scan(df, [replace(r, keyword=" ") for r in signatures()]).collect()}
+    assert [{d.label for d in got[k].found} for k in range(6)] == [{"cc-by-4.0"}, {"cc-by-sa-4.0"}, {"cc0-1.0"}, {"cc-by-4.0"}, {"cc-by-nc", "cc-by-nc-nd-4.0"}, {"cc0-1.0"}]
+    assert [texts[k] for k in got if got[k] != want[k]] == [] and all(x.found for x in got.values())
+
+
 @pytest.fixture(scope="module")
 def reference_tokenizer():
     return pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.default_path())
