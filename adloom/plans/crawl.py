@@ -16,6 +16,13 @@ from adloom.streaming.updates import message_links, wanted_messages
 _FIELDS = ("source_url", "title", "company", "salary", "description")
 
 
+def _single_rows(single: DataFrame) -> DataFrame:
+    """Rows of sources without a walk: the first 100 links of a glints listing, all of the others."""
+    capped = F.coalesce((F.col("adapter") == "glints") & (F.col("kind") == "listing"), F.lit(False))
+    seen = listing.first_seen(single.where(capped), ["source_id"], ["source_url"], ["page_no", "pos"])
+    return single.where(~capped).unionByName(listing.cap_per(seen, ["source_id"], ["page_no", "pos"], 100))
+
+
 def crawl(sources: DataFrame, pages: DataFrame, api_pages: DataFrame, details: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
     """new, skipped, errors and summary of a run.
 
@@ -29,7 +36,7 @@ def crawl(sources: DataFrame, pages: DataFrame, api_pages: DataFrame, details: D
     ends = parsed.groupBy("source_id", "adapter", "page_no").agg(F.max(F.col("next_url").isNotNull()).alias("has_next"), F.max("kind").alias("kind"))
     single = cards.where((F.col("kind") == "detail") | F.col("adapter").isin("static", "glints", "threads"))
     seek = (F.col("adapter") == "jobstreet") & (F.col("kind") == "listing")
-    rows = [listing.cap_per(single, ["source_id"], ["page_no", "pos"], 100).drop("adapter", "kind"),
+    rows = [_single_rows(single).drop("adapter", "kind"),
             listing.listing_prefix(cards.where(seek).drop("adapter", "kind"), ends.where(seek), "link")]
     api = api_pages.join(active, "source_id")
     exploded = lambda df: df.select("source_id", "page_no", F.posexplode("ads").alias("pos", "ad"))

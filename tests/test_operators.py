@@ -161,3 +161,12 @@ def test_tables(spark, tmp_path, ads):
     f = {(r.source_id, r.page_no): r.page_url for r in tables.frontier(s, 3).collect()}
     assert len(f) == 7 and "page=3&published=true&search=a+b" in f[2, 3] and f[1, 2].endswith("offset=15&text=x") and f[3, 1] == "http://s"
     assert [r.id for r in tables.list_sources(s, True).collect()] == [1, 2]
+
+
+def test_only_glints_listings_are_capped(spark):
+    from adloom.plans.crawl import _single_rows
+
+    rows = [(1, "static", "listing", 1, k, f"s{k}") for k in range(130)] + [(2, "glints", "listing", 1 + k // 90, k % 90, f"g{k % 60 if k < 90 else k}") for k in range(180)]
+    out = _single_rows(spark.createDataFrame(rows, "source_id long, adapter string, kind string, page_no int, pos int, source_url string")).collect()
+    assert {r.source_url for r in out if r.source_id == 1} == {f"s{k}" for k in range(130)}
+    assert sorted(r.source_url for r in out if r.source_id == 2) == sorted([f"g{k}" for k in range(60)] + [f"g{k}" for k in range(90, 130)])
