@@ -20,7 +20,7 @@ def first_seen(df: DataFrame, scope: list[str], key: list[str], order: list[str]
 
 
 def cap_per(df: DataFrame, key: list[str], order: list[str], n: int = 100) -> DataFrame:
-    """The first n rows of each key."""
+    """The first n rows of each key; `order` must tell rows apart, or which of equal ones stay is open."""
     rank = F.row_number().over(W.partitionBy(*key).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
@@ -51,7 +51,7 @@ def listing_prefix(cards: DataFrame, pages: DataFrame, mode: str = "link", cap:
     ended = F.max(F.col("_last").cast("int")).over(by_source.rowsBetween(W.unboundedPreceding, -1))
     bad = F.max((~F.col("_good")).cast("int")).over(by_source.rowsBetween(W.unboundedPreceding, W.currentRow))
     kept = walk.withColumn("_stop", F.greatest(F.coalesce(ended, F.lit(0)), bad)).where("_stop = 0").select("source_id", "page_no")
-    return cap_per(new.join(kept, ["source_id", "page_no"], "left_semi"), ["source_id"], ["page_no", "pos"], cap)
+    return cap_per(new.join(kept, ["source_id", "page_no"], "left_semi"), ["source_id"], ["page_no", "pos", "source_url"], cap)
 
 
 def listing_errors(sources: DataFrame, kept: DataFrame) -> DataFrame:

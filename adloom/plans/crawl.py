@@ -20,7 +20,7 @@ def _single_rows(single: DataFrame) -> DataFrame:
     """Rows of sources without a walk: the first 100 links of a glints listing, all of the others."""
     capped = F.coalesce((F.col("adapter") == "glints") & (F.col("kind") == "listing"), F.lit(False))
     seen = listing.first_seen(single.where(capped), ["source_id"], ["source_url"], ["page_no", "pos"])
-    return single.where(~capped).unionByName(listing.cap_per(seen, ["source_id"], ["page_no", "pos"], 100))
+    return single.where(~capped).unionByName(listing.cap_per(seen, ["source_id"], ["page_no", "pos", "source_url"], 100))
 
 
 def crawl(sources: DataFrame, pages: DataFrame, api_pages: DataFrame, details: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:

@@ -86,7 +86,7 @@ def page_kind(t, spark, sf):
     return _facts(t).select("page_id", n.alias("links")).select("page_id", "links", F.when(F.col("links") < 3, "detail").otherwise("listing").alias("kind"))
 
 
-_STRIP = r"replace(replace(replace(regexp_replace(trim(regexp_replace({}, '<[^>]*>', '', 'g')), '\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_STRIP = r"trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
 
 
 @query(f"""SELECT page_id, {_STRIP.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS h1, {_STRIP.format("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS title FROM pages""")
@@ -94,13 +94,12 @@ def page_headline(t, spark, sf):
     return _facts(t).select("page_id", "facts.h1", "facts.title")
 
 
-_TEXT = r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
 _PAY_RE = salary.SALARY_TEXT.replace("'", "''")
 
 
 @query(f"""
-WITH x AS (SELECT page_id, url, {_TEXT.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS title, {_TEXT.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article,
-    {_TEXT.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)</body>', 1), '<!--.*?-->', '', 'g')")} AS body FROM pages),
+WITH x AS (SELECT page_id, url, {_STRIP.format("regexp_extract(html, '<h1>(.*?)</h1>', 1)")} AS title, {_STRIP.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")} AS article,
+    {_STRIP.format("regexp_replace(regexp_extract(html, '(?s)<body>(.*)', 1), '<!--.*?-->', '', 'g')")} AS body FROM pages),
 d AS (SELECT *, CASE WHEN strlen(article) >= 40 THEN article WHEN strlen(body) >= 40 THEN body ELSE '' END AS description FROM x)
 SELECT page_id, url AS source_url, CASE WHEN title = '' THEN url ELSE title END AS title, '' AS company, 'static' AS adapter, 'detail' AS kind,
     trim(regexp_replace(coalesce(nullif(regexp_extract(title, '(?i){_PAY_RE}', 0), ''), regexp_extract(description, '(?i){_PAY_RE}', 0)), '\\s+', ' ', 'g')) AS salary, description FROM d""")
@@ -131,7 +130,7 @@ p AS (SELECT e.*, row_number() OVER (PARTITION BY source_id ORDER BY page_no) AS
     (SELECT count(*) FROM n WHERE n.source_id = e.source_id AND n.page_no = e.page_no) AS added FROM e),
 w AS (SELECT *, CASE WHEN NOT ({good}) OR added = 0 THEN 1 ELSE 0 END AS bad, CASE WHEN {last} THEN 1 ELSE 0 END AS last FROM p),
 s AS (SELECT *, max(bad) OVER (PARTITION BY source_id ORDER BY page_no) AS stopped, coalesce(max(last) OVER (PARTITION BY source_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM w),
-r AS (SELECT n.source_id, n.page_no, n.pos, n.source_url, row_number() OVER (PARTITION BY n.source_id ORDER BY n.page_no, n.pos) AS k FROM n JOIN s USING (source_id, page_no) WHERE stopped = 0 AND ended = 0)
+r AS (SELECT n.source_id, n.page_no, n.pos, n.source_url, row_number() OVER (PARTITION BY n.source_id ORDER BY n.page_no, n.pos, n.source_url) AS k FROM n JOIN s USING (source_id, page_no) WHERE stopped = 0 AND ended = 0)
 SELECT source_id, page_no, pos, source_url FROM r WHERE k <= 100"""
 
 
