@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import small_batches, table
+from adloom.llm.common import table
 
 KEEP, SLICE = 250_000, 500
 NONE = np.int64(1 << 40)
@@ -180,8 +180,7 @@ def default_path() -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """id, n_tokens, token ids and decoded text of every whole text; with digest the last two as SHA-256 instead."""
-    small_batches(docs.sparkSession)
+    """id, n_tokens, token ids and decoded text of every whole text; with digest the last two as SHA-256 instead. Other columns of docs do not come along."""
     v = docs.sparkSession.sparkContext.broadcast(Vocabulary(path or default_path()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of whole texts in an Arrow batch.
+TEXT_ROWS = 2000
 #: ASCII white space, the separators of `[^\x20\x09-\x0D]+` words.
 ASCII_SPACE = r"[\x20\x09-\x0D]+"
 
@@ -19,28 +22,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or an own one where that is unset (local mode)."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or in local mode, where that is unset, an own one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="adloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole texts hold `rows` rows at most from now on, unless the session has set a number itself: ten thousand texts are much for a task's memory."""
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Arrow batches hold `rows` rows within this block, unless the session has a number of its own: ten thousand whole texts are much for a task's memory."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
+    own = rows is not None and spark.conf.get(name) == "10000"
+    if own:
         spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(name)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: computed once, with no lineage, safe against lost executors."""
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: computed once, with no lineage, safe against lost executors. rows: see batch_rows."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    with batch_rows(df.sparkSession, rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

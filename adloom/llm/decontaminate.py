@@ -5,10 +5,11 @@ has fewer. Item words get numbers; a window of numbers has a 64-bit rolling hash
 window length. A batch of documents is turned to numbers at once, windows of known words are hashed and looked up, and
 each match is verified word by word.
 
-The set holds at most `BLOCK_WORDS` item words. A larger benchmark is split by item into blocks of that size, and the
-documents are scanned once per block, so that no broadcast grows with the benchmark.
+The set holds about `BLOCK_WORDS` item words. A larger benchmark is split by item into blocks of that size. One block after
+another is collected, broadcast, scanned, its hits written as a table, and its broadcast destroyed, so that driver and
+executors hold one block at a time; the hits of all blocks meet on a row number.
 
-Cases: null texts and items have no words; a null item_id counts for hit words but is not listed; repeated items count
+Cases: null texts and items have no words; of items equal in id and text one is read; a null item_id counts for hit words but is not listed; repeated items count
 once by item_id; a null doc_id keeps its row; an empty benchmark hits nothing; an empty table gives an empty result.
 """
 
@@ -19,10 +20,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, small_batches, table
+from adloom.llm.common import free_name, let, table, written
 
 SIZE, BLOCK_WORDS = 10, 2_000_000
 #: Bytes that separate words, as spaces: all ASCII but digits and lower-case letters.
@@ -86,71 +87,104 @@ class Windows:
         return start, np.cumsum(edge)[:-1] > 0, names
 
 
-def _blocks(bench: DataFrame, size: int, most: int) -> list[list[tuple[str | None, bytes | None]]]:
-    """Items in blocks of about `most` words; each block is bounded, and so is what the driver holds of it."""
-    items = bench.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
-    n = -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // (6 * most)) or 1
-    part = F.pmod(F.xxhash64("i", "t"), F.lit(n))
-    return [Windows([(r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in items.where(part == k).collect()], size) for k in range(n)]
+def _items(bench: DataFrame) -> DataFrame:
+    """Distinct (i, t) of item ids and texts."""
+    return bench.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t")).distinct()
+
+
+def _n_blocks(items: DataFrame, most: int) -> int:
+    return -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // (6 * most)) or 1
+
+
+def _block(items: DataFrame, k: int, n: int, size: int) -> Windows:
+    """The windows of the k-th of n blocks, of about BLOCK_WORDS item words: a bounded collect."""
+    rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+    return Windows([(r["i"], bytes(r["t"]) if r["t"] is not None else None) for r in rows], size)
 
 
 _HITS = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
+def _scan(df: DataFrame, at: int, shared, hit_only: bool = False) -> DataFrame:
+    """df (with plain column names) and _HITS of its at-th column, the text, which with hit_only goes, as do rows without a hit."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    names = [n for k, n in enumerate(df.columns) if not (hit_only and k == at)]
+    fields = ", ".join(f"{n} {t}" for n, t in df.dtypes if n in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for cut in range(0, whole.num_rows, 500):
+                b = whole.slice(cut, 500)
+                texts = [words_of(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
+                start, hit, found = shared.value.scan(texts)
+                spans, items = [[] for _ in texts], [set() for _ in texts]
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+                for a, z in edges.reshape(-1, 2).tolist():
+                    t = int(np.searchsorted(start, a, side="right")) - 1
+                    spans[t].append({"start": a - int(start[t]), "stop": z - int(start[t])})
+                for t, x in found:
+                    items[t].add(x)
+                out = pa.RecordBatch.from_arrays([*[b.column(n) for n in names], pa.array([len(w) for w in texts], pa.int64()), pa.array(spans, kind),
+                                                  pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
+                yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hit_only else out
+
+    return df.mapInArrow(run, f"{fields}, {_HITS}")
+
+
+def _passes(keyed: DataFrame, items: DataFrame, n: int, size: int) -> DataFrame:
+    """(_row, spans, items) of the rows of keyed (_row, text) that any block hits; a pass a block."""
+    parts = []
+    for k in range(n):
+        shared = keyed.sparkSession.sparkContext.broadcast(_block(items, k, n, size))
+        parts.append(written(_scan(keyed, 1, shared, hit_only=True).select("_row", "spans", "items")))
+        shared.destroy()
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    hits = hits.groupBy("_row").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return hits.select("_row", joined("spans").alias("spans"), "items")
+
+
 def mark(docs: DataFrame, bench: DataFrame, size: int = SIZE, text_col: str = "text", out: str = "hits", block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with one more struct column `out`: n_words, spans of hit words [start, stop), items with occurring windows (sorted)."""
-    small_batches(docs.sparkSession)
-    out, kind = free_name(docs, out), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    out = free_name(docs, out)
     at = docs.columns.index(text_col)
     names = [f"c{k}" for k in range(len(docs.columns))]
-    fields = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, docs.dtypes, strict=True))
-    df = docs.toDF(*names)
-    for number, block in enumerate(_blocks(bench, size, block_words)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=number == 0) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for cut in range(0, whole.num_rows, 500):
-                    b = whole.slice(cut, 500)
-                    texts = [words_of(t) for t in b.column(at).cast(pa.binary()).to_pylist()]
-                    start, hit, found = shared.value.scan(texts)
-                    spans, items = [[] for _ in texts], [set() for _ in texts]
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
-                    for a, z in edges.reshape(-1, 2).tolist():
-                        t = int(np.searchsorted(start, a, side="right")) - 1
-                        spans[t].append((a - int(start[t]), z - int(start[t])))
-                    for t, x in found:
-                        items[t].add(x)
-                    if not first:
-                        for t, (s, i) in enumerate(zip(b["spans"].to_pylist(), b["items"].to_pylist(), strict=True)):
-                            spans[t], items[t] = joined([*spans[t], *[(x["start"], x["stop"]) for x in s]]), items[t] | set(i)
-                    yield pa.RecordBatch.from_arrays([*b.columns[:len(names)], pa.array([len(w) for w in texts], pa.int64()),
-                        pa.array([[{"start": a, "stop": z} for a, z in s] for s in spans], kind), pa.array([sorted(i) for i in items], pa.list_(pa.string()))], [*names, "n_words", "spans", "items"])
-
-        df = df.mapInArrow(run, f"{fields}, {_HITS}")
+    df, items = docs.toDF(*names), _items(bench)
+    n = _n_blocks(items, block_words)
+    if n == 1:
+        df = _scan(df, at, docs.sparkSession.sparkContext.broadcast(_block(items, 0, 1, size)))
+    else:
+        df = written(df.withColumn("_row", F.monotonically_increasing_id()))
+        hits = _passes(df.select("_row", names[at]), items, n, size)
+        words = F.array_remove(F.split(F.coalesce(names[at], F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
+        none = lambda c, t: F.coalesce(c, F.array().cast(t)).alias(c)
+        df = df.join(hits, "_row", "left").select(*names, F.size(words).cast("long").alias("n_words"), none("spans", "array<struct<start:int,stop:int>>"), none("items", "array<string>"))
     return df.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)], F.struct("n_words", "spans", "items").alias(out))
 
 
-def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def joined(spans: Column | str) -> Column:
     """Sorted spans, with those that meet made one."""
-    out: list[tuple[int, int]] = []
-    for a, z in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(z, out[-1][1]))
-        else:
-            out.append((a, z))
-    return out
+    def step(out: Column, s: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when(last["stop"] >= s["start"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,stop:int>>"), step)
+
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """The text less the words of joined spans and what stands between them."""
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text less the hit words and what stands between them."""
-    import re
+    def cut(p: Column) -> Column:
+        gone = lambda k: F.exists(spans, lambda s: (s["start"] <= k) & (k < s["stop"]))
+        hit = let(F.transform(p["gaps"], lambda g, k: gone(k)), lambda h: F.array_join(F.transform(p["gaps"], lambda g, k: F.concat(
+            F.when(F.get(h, k) & (k > 0) & F.coalesce(F.get(h, k - 1), F.lit(False)), "").otherwise(g),
+            F.when(F.get(h, k), "").otherwise(F.coalesce(F.get(p["words"], k), F.lit(""))))), ""))
+        return hit
 
-    found = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
-    for a, z in reversed(spans):
-        text = text[:found[a][0]] + text[found[z - 1][1]:]
-    return text
+    return let(F.struct(F.split(text, word, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words")), cut)
 
 
 def remove(docs: DataFrame, bench: DataFrame, how: str = "documents", size: int = SIZE) -> DataFrame:
@@ -159,8 +193,7 @@ def remove(docs: DataFrame, bench: DataFrame, how: str = "documents", size: int
     marked = mark(docs, bench, size)
     if how == "documents":
         return marked.where(F.size(F.col(out)["spans"]) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    cut = F.pandas_udf(lambda t, s: t.combine(s, lambda x, y: without_spans(x, [(z["start"], z["stop"]) for z in y]) if x is not None else x), "string")
-    text = F.when(F.size(F.col(out)["spans"]) > 0, cut("text", F.col(out)["spans"])).otherwise(F.col("text"))
+    text = F.when(F.size(F.col(out)["spans"]) > 0, without_spans(F.col("text"), F.col(out)["spans"])).otherwise(F.col("text"))
     df = marked.withColumn("text", text)
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.size(F.col(out)["spans"]) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

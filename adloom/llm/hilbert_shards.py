@@ -6,8 +6,8 @@ row's rank is its place in its partition plus the rows of the partitions before.
 ceil(s * rows / n) on, so that counts differ by one at most, and each shard's files span few values of every dimension.
 
 Cases: null text has size 1 and CRC 0; null dimensions lie in the first cell; rows equal in every key are dealt in either
-order, which no output shows but their ids; fewer rows than shards leave shards empty; an empty table gives an empty
-result.
+order, which no output shows but their ids; null and repeated ids keep their rows, also in written shards; fewer rows than
+shards leave shards empty; an empty table gives an empty result; other columns are carried by `write_shards` only.
 """
 
 from __future__ import annotations
@@ -50,6 +50,11 @@ def curve_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
+def cells(values: pd.Series, cuts: np.ndarray, bits: int) -> np.ndarray:
+    """The cell of each value between sorted cuts. Fewer cells than the curve has are spread over all of it, so that a dimension of few values counts as much as others."""
+    return np.searchsorted(cuts, values.fillna(-np.inf).to_numpy(), side="right") * ((1 << bits) - 1) // len(cuts)
+
+
 def _shared_prefix(a: str, b: str) -> int:
     return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
@@ -80,8 +85,7 @@ def shard(docs: DataFrame, dimensions: dict[str, Column], shards: int = SHARDS,
 
     @F.pandas_udf("bigint")
     def curve(*parts: pd.Series) -> pd.Series:
-        cells = [np.searchsorted(np.unique(c or [0.0]), p.fillna(-np.inf).to_numpy(), side="right") for p, c in zip(parts, cuts, strict=True)]
-        return pd.Series(curve_index(np.stack(cells, axis=1), bits))
+        return pd.Series(curve_index(np.stack([cells(p, np.unique(c or [0.0]), bits) for p, c in zip(parts, cuts, strict=True)], axis=1), bits))
 
     keyed = rows.select("doc_id", "size", "text_crc32", "_hash", curve(*[F.col(f"_d{k}") for k in range(len(numbers))]).alias("curve"))
     order = ["curve", "_hash", "doc_id"]
@@ -95,12 +99,16 @@ def shard(docs: DataFrame, dimensions: dict[str, Column], shards: int = SHARDS,
     return ranked.select("doc_id", "size", "text_crc32", "curve", exact.cast("int").alias("shard"), (F.col("_rank") - first).alias("slot"))
 
 
-def write_shards(docs: DataFrame, dimensions: dict[str, Column], path: str, shards: int = SHARDS) -> None:
-    """docs as Parquet under path, a folder a shard, rows of a shard in the order of their slots; doc_id must be unique."""
-    places = shard(docs, dimensions, shards).select("doc_id", "shard", "slot")
-    clash = {c: free_name(docs, c) for c in ("shard", "slot")}
-    out = docs.join(places.withColumnsRenamed(clash), "doc_id")
-    out.repartitionByRange(clash["shard"], clash["slot"]).sortWithinPartitions(clash["shard"], clash["slot"]).write.partitionBy(clash["shard"]).parquet(path)
+def write_shards(docs: DataFrame, dimensions: dict[str, Column], path: str, shards: int = SHARDS, text_col: str = "text") -> None:
+    """docs as Parquet under path, a folder a shard, rows of a shard in the order of their slots.
+
+    Every row is written, whatever its id: rows get numbers of their own when they are staged, and meet their places by those.
+    """
+    row, taken = free_name(docs, "_row"), {c: free_name(docs, c) for c in ("shard", "slot")}
+    staged = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    places = shard(staged, dimensions, shards, id_col=row, text_col=text_col).select(F.col("doc_id").alias(row), *[F.col(c).alias(t) for c, t in taken.items()])
+    out = staged.join(places, row).drop(row)
+    out.repartitionByRange(taken["shard"], taken["slot"]).sortWithinPartitions(taken["shard"], taken["slot"]).write.partitionBy(taken["shard"]).parquet(path)
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -1,12 +1,15 @@
 """Language identification by a linear-chain conditional random field over the words of code-switched text.
 
-Each word has hashed affix, byte n-gram and lexicon features; a weight per feature and language and a weight per pair of
-neighbouring languages are learned together by gradient steps on the log likelihood of code-switched training sequences,
-with the marginals that forward-backward gives. The same forward-backward labels the words of a text; a document's
-language is that with the largest share of its words.
+Each word has hashed affix and byte n-gram features, and lexicon features: the share of each language among the word's
+occurrences in the training documents, and whether it has none. A weight per feature and language and a weight per pair
+of neighbouring languages are learned together by gradient steps on the log likelihood of code-switched training
+sequences, with the marginals that forward-backward gives. The same forward-backward labels the words of a text; a
+document's language is that with the largest share of its words.
 
 Training takes about `max_docs` documents of each language (chosen by hash, at a rate set from the counts of all
-documents), and `WINDOWS` runs of `RUN` words of each. Sequences are strung together from runs of several languages.
+documents), and `WINDOWS` runs of `RUN` words of each. Sequences are strung together from runs of several languages. The
+lexicon counts all words of those documents in Spark and holds the `lexicon` most frequent; while the weights are
+learned each word counts as unknown half of the time, so that the other features learn to do without it.
 
 Cases: null text and text without a letter are `und` with score 0; a null doc_id is neither learned from nor held out;
 null lang is not learned; repeated rows each get a row; with nothing to learn all are `und`; an empty table gives an empty
@@ -15,7 +18,6 @@ result; other columns are carried by `predict` only.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,9 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, small_batches, table
+from adloom.llm.common import free_name, table
 
-MAX_DOCS, WINDOWS, RUN, LENGTH = 400, 4, 40, 60
+MAX_DOCS, WINDOWS, RUN, LENGTH, LEXICON = 400, 4, 40, 60, 20_000
 BUCKETS = 1 << 16
 KEEP = 300_000
 UNKNOWN = "und"
@@ -44,15 +46,15 @@ def _mix(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word number, bucket) of every feature: the word, its first and last 1 to 3 bytes, and its 3-byte grams with its ends marked."""
+    """(word number, bucket) of every hashed feature: the first and last 1 to 3 bytes of a word, and its 3-byte grams with its ends marked."""
     n = len(words)
     flat = np.frombuffer(b"".join(b"^" + w + b"$" for w in words), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, words), np.int64, n) + 2
     stop = np.cumsum(size)
-    start, every = stop - size, np.arange(n)
-    who, what = [every], [_mix(np.fromiter(map(zlib.crc32, words), np.uint64, n), 1)]
+    start = stop - size
+    who, what = [], []
     gram = flat[:-2] | flat[1:-1] << np.uint64(8) | flat[2:] << np.uint64(16)
-    owner = np.repeat(every, size)
+    owner = np.repeat(np.arange(n), size)
     inside = np.flatnonzero(owner[:-2] == owner[2:])
     who.append(owner[inside])
     what.append(_mix(gram[inside], 2))
@@ -67,20 +69,49 @@ def features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(who), np.concatenate(what)
 
 
+@dataclass
+class Lexicon:
+    """Languages' shares of words: share is (words, langs); a word without an entry has only the last feature."""
+
+    words: dict[bytes, int] = field(default_factory=dict)
+    share: np.ndarray | None = None
+
+    def features(self, words: list[bytes], n: int) -> np.ndarray:
+        """(words, n + 1): shares of n languages less their mean, then 1 for words that are not there."""
+        out = np.zeros((len(words), n + 1))
+        at = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out[:, n] = at < 0
+        if self.share is not None:
+            out[at >= 0, :n] = self.share[at[at >= 0]] - 1 / n
+        return out
+
+
+def lexicon_of(counts: dict[bytes, dict[str, int]], langs: list[str]) -> Lexicon:
+    """From occurrences of words in each language; each language's counts are taken relative to all of its own."""
+    if not counts:
+        return Lexicon()
+    told = np.array([[c.get(k, 0) for k in langs] for c in counts.values()], float)
+    relative = told / np.maximum(1, told.sum(axis=0))
+    return Lexicon({w: k for k, w in enumerate(counts)}, relative / np.maximum(1e-300, relative.sum(axis=1, keepdims=True)))
+
+
 @dataclass
 class Field:
-    """langs; weight: (BUCKETS, langs) of features; step: (langs, langs) from one word's language to the next one's."""
+    """langs; weight: (BUCKETS, langs) of hashed features; step: (langs, langs) from one word's language to the next one's; entry: (langs + 1, langs) of lexicon features."""
 
     langs: list[str]
     weight: np.ndarray
     step: np.ndarray
+    entry: np.ndarray
+    lexicon: Lexicon
     known: dict[bytes, int] = field(default_factory=dict)
     told: np.ndarray | None = None
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Scores (words, langs): sums of feature weights."""
         who, what = features(words)
-        return np.stack([np.bincount(who, self.weight[what, k], len(words)) for k in range(len(self.langs))], axis=1)
+        hashed = np.stack([np.bincount(who, self.weight[what, k], len(words)) for k in range(len(self.langs))], axis=1)
+        return hashed + self.lexicon.features(words, len(self.langs)) @ self.entry
 
     def numbered(self, words: list[bytes]) -> np.ndarray:
         """Rows of `told` for words; new words are scored together, and all are forgotten when there are too many."""
@@ -125,11 +156,11 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray)
     return both / both.sum(axis=1, keepdims=True)
 
 
-def fit(runs: list[tuple[str, list[bytes]]], rounds: int = 12, batch: int = 200, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Field:
-    """A field from (language, words) runs."""
+def fit(runs: list[tuple[str, list[bytes]]], counts: dict[bytes, dict[str, int]] | None = None, rounds: int = 12, batch: int = 200, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Field:
+    """A field from (language, words) runs, and the occurrences of words by language for its lexicon."""
     runs = [(lang, w) for lang, w in runs if w]
     langs = sorted({lang for lang, _ in runs})
-    crf = Field(langs, np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs))))
+    crf = Field(langs, np.zeros((BUCKETS, len(langs))), np.zeros((len(langs), len(langs))), np.zeros((len(langs) + 1, len(langs))), lexicon_of(counts or {}, langs))
     if len(langs) < 2:
         return crf
     rng = np.random.default_rng(seed)
@@ -137,7 +168,9 @@ def fit(runs: list[tuple[str, list[bytes]]], rounds: int = 12, batch: int = 200,
     coded = [(langs.index(lang), np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w])) for lang, w in runs]
     by_lang = [[w for k, w in coded if k == n] for n in range(len(langs))]
     who, what = features(list(vocabulary))
-    moments = [np.zeros_like(crf.weight), np.zeros_like(crf.weight), np.zeros_like(crf.step), np.zeros_like(crf.step)]
+    entries, unknown = crf.lexicon.features(list(vocabulary), len(langs)), np.append(np.zeros(len(langs)), 1.0)
+    learned = (crf.weight, crf.step, crf.entry)
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in learned]
     t = 0
     for _ in range(rounds):
         for _ in range(max(1, len(coded) // batch)):
@@ -155,6 +188,8 @@ def fit(runs: list[tuple[str, list[bytes]]], rounds: int = 12, batch: int = 200,
                 sizes.append(n)
             w, y, sizes = np.concatenate(words), np.concatenate(tags), np.array(sizes)
             told = np.stack([np.bincount(who, crf.weight[what, k], len(vocabulary)) for k in range(len(langs))], axis=1)
+            entry = np.where(rng.random((len(vocabulary), 1)) < 0.5, entries, unknown)
+            told += entry @ crf.entry
             emission = told[w]
             e, forward, backward = messages(emission, crf.step, sizes)
             p = forward * backward
@@ -170,15 +205,16 @@ def fit(runs: list[tuple[str, list[bytes]]], rounds: int = 12, batch: int = 200,
             seen = np.zeros_like(crf.step)
             np.add.at(seen, (y[at], y[at + 1]), 1)
             g_step = (pair.sum(axis=0) - seen) / len(w) + ridge * crf.step
+            g_entry = entry.T @ by_word / len(w) + ridge * crf.entry
             t += 1
-            for value, g, m, v in ((crf.weight, g_weight, *moments[:2]), (crf.step, g_step, *moments[2:])):
+            for value, g, (m, v) in zip(learned, (g_weight, g_step, g_entry), moments, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 value -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return crf
 
 
-def train(docs: DataFrame, use: Column | None = None, max_docs: int = MAX_DOCS, **shape) -> Field:
+def train(docs: DataFrame, use: Column | None = None, max_docs: int = MAX_DOCS, lexicon: int = LEXICON, **shape) -> Field:
     """A field learned from text and lang of the documents that `use` admits."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if use is None else use))
     counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
@@ -189,9 +225,14 @@ def train(docs: DataFrame, use: Column | None = None, max_docs: int = MAX_DOCS,
     words = F.array_remove(F.split(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+"), "")
     last = F.greatest(F.size("w") - RUN, F.lit(0)) + 1
     runs = F.array(*[F.slice("w", F.pmod(F.xxhash64("doc_id", F.lit(k)), last).cast("int") + 1, RUN) for k in range(WINDOWS)])
-    rows = chosen.select("doc_id", "lang", words.alias("w")).where(F.size("w") > 0).select("doc_id", "lang", F.explode(runs).alias("run")).toPandas()
+    told = chosen.select("doc_id", "lang", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.struct("lang", runs.alias("runs")).alias("r"))
+    once = told.groupBy("doc_id").agg(F.min("r").alias("r"))  # a row a doc_id, however often it is repeated
+    rows = once.select("doc_id", "r.lang", F.explode("r.runs").alias("run")).toPandas()
     rows = rows.sort_values(["doc_id", "lang"], kind="stable")
-    return fit([(lang, [x.encode() for x in run]) for lang, run in zip(rows["lang"], rows["run"], strict=True)], **shape)
+    seen = chosen.select("lang", F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == k).alias(f"n{i}") for i, k in enumerate(counts)])
+    often = seen.orderBy(F.desc("n"), "word").limit(lexicon).collect()
+    told = {r["word"].encode(): {k: r[f"n{i}"] for i, k in enumerate(counts)} for r in often}
+    return fit([(lang, [x.encode() for x in run]) for lang, run in zip(rows["lang"], rows["run"], strict=True)], told, **shape)
 
 
 def label(texts: list[str | None], crf: Field) -> list[tuple[str, float]]:
@@ -213,8 +254,7 @@ def label(texts: list[str | None], crf: Field) -> list[tuple[str, float]]:
 
 def predict(docs: DataFrame, crf: Field, text_col: str = "text", out: str = "language") -> DataFrame:
     """docs with one more struct column `out`: lang and score."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weight.astype(np.float32), crf.step))
+    shared = docs.sparkSession.sparkContext.broadcast((crf.langs, crf.weight.astype(np.float32), crf.step, crf.entry, crf.lexicon))
 
     @F.pandas_udf("lang string, score double")
     def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

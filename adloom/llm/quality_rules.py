@@ -47,13 +47,17 @@ Rule = tuple[Condition, ...]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_rows: int, use: Column | None = None) -> DataFrame:
-    """Statistics and label (bad = 1) of the max_rows labelled documents with the smallest hashes; `use` tells which labels may serve."""
+    """Statistics and label (bad = 1) of the max_rows labelled documents with the smallest hashes, a row a doc_id; `use` tells which labels may serve.
+
+    Of rows that repeat a doc_id the one with the least statistics counts; maps combine them, so that a repeated id stays one row.
+    """
     chosen = (labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if use is None else use))
               .groupBy(F.col("doc_id").alias("_key")).agg((1 - F.min("quality")).alias("_bad"))
               .orderBy(F.xxhash64("_key"), "_key").limit(max_rows))
     found = docs.select(F.col("doc_id").alias("_key"), F.col("text").alias("_text")).join(F.broadcast(chosen), "_key")
     told = let(statistics(F.col("_text")), lambda s: F.struct(*features(s)))
-    return written(found.select("_key", "_bad", told.alias("_f")).select("_key", "_bad", "_f.*"))
+    once = found.select("_key", "_bad", told.alias("_f")).groupBy("_key").agg(F.min("_bad").alias("_bad"), F.min("_f").alias("_f"))
+    return written(once.select("_key", "_bad", "_f.*"))
 
 
 def _thresholds(sample: DataFrame) -> list[list[float]]:

@@ -110,10 +110,15 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", out: str = "qua
     return stats.select(*keep, probability.asNondeterministic()(*features(F.col(s))).alias(free_name(docs, out)))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **training) -> DataFrame:
-    """The documents that score the threshold or more; columns as in docs."""
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, learn_from: DataFrame | None = None, **training) -> DataFrame:
+    """The documents that score the threshold or more; columns as in docs.
+
+    The trees are learned from `learn_from` (docs itself if none is given): after a stage that rejects bad documents too few
+    of those are left to learn what they look like.
+    """
     out = free_name(docs, "quality_score")
-    return score(docs, train(docs, labels, **training)).where(F.col(out) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    trees = train(docs if learn_from is None else learn_from, labels, **training)
+    return score(docs, trees).where(F.col(out) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -1,27 +1,29 @@
 """SimHash near-dedup with multi-index hashing.
 
-A fingerprint is `lanes` times 64 majority bits over the hashes of word shingles. It is cut into segments of
-`segment_bytes`. Every distinct fingerprint is entered in a table under each value within one bit of each of its segments;
-two fingerprints whose segments differ in two bits or fewer share such a value. In each table entry the complete distances
-are verified, and links that join its members are told, a spanning tree of them, never all pairs.
-
-Tables are dealt to tasks by segment and the value's upper bits: a fingerprint is sent to its own group of entries and to
-those one upper bit away; flips of the lower bits stay within the group and are made there. The number of upper bits is the
-least that leaves at most `MOST` fingerprints of a group of their own. Where one value alone has more, groups are whole
-values, and larger ones are dealt to pairs of blocks of `BLOCK` members, so that any two members still meet and no task
-gets an unbounded group.
-
-All lanes give segments, but only the first `HELD` are dealt and have their distances counted; rows that agree in those are
-one node.
-
-With one lane, segments of four bytes and a limit of 4 (5 at most) no link is lost: one of two halves differs in two bits
-or fewer. With more lanes a pair at the limit is found with the probability that some segment differs that little.
-Components are found by alternating stars in Spark tables.
+A fingerprint has majority bits over the hashes of word shingles, 64 a lane, and is cut into segments. A segment's values
+are looked up in a table of their own: every distinct fingerprint is entered under each value within one bit of its own, so
+that two fingerprints whose segments differ in two bits or fewer share an entry. Members of an entry have their complete
+distances verified, and links that join them are told: a forest of least distances, never all pairs.
+
+Tables are dealt to tasks by segment and the upper bits of the value (a group); flips of the lower bits are made in the task.
+
+Two searches use this:
+
+* `near_components`: 64 bits, two segments of 32 and a limit of 4. One of two halves differs in two bits or fewer, so no link
+  is lost; for that, fingerprints go to the groups one upper bit away too.
+* `similar_components`: pairs of a Jaccard similarity of shingle sets. Fingerprints are of distinct shingles, as the
+  similarity is. Upper bits must agree; `LOWER` bits below them make up the rest of a segment, so that an entry stays as
+  small as the corpus grows. The upper bits follow from the number of rows, and the number of segments from those, so that
+  a pair at the threshold is found with the probability `RECALL` at every size. The first `HELD` lanes have their
+  distances counted against a loose limit. Each node's nearest links are then held against the whole shingle sets of both
+  texts and go if the similarity is lower. Where that leaves what loose links join in several components, members of different components meet
+  again and are held against each other; so the choice of links decides nothing.
 
-Where a similarity is asked for, fingerprints are of the distinct shingles, as the similarity is, the limit is loose and the tree of each table entry is one of least distances. Each of its
-links is then held against the whole shingle sets of both texts, and goes if their Jaccard similarity is lower. Where that
-leaves what loose links join in several components, its members meet again, in pairs of blocks, and any two of them that no
-link joins are held against each other; so the tree's choice of links decides nothing.
+A group beyond `most` fingerprints is dealt finer, by entry: each member goes to the 1 + lower entries it belongs to. An
+entry beyond `block` members is dealt to pairs of blocks where no link may be lost; where links need only join what is
+alike, it is cut to blocks that all hold the same few hundred members drawn by hash, so that the work stays in proportion.
+
+Components are found by alternating stars in Spark tables.
 
 Cases: null and blank texts have fingerprint zero and link like others; texts with fewer words than a shingle are one
 shingle; repeated rows each get a row; a null doc_id is never a component's id (null if no member has one); an empty table
@@ -31,26 +33,33 @@ gives an empty result; other columns are carried by `keep_one` only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import small_batches, table, written
+from adloom.llm.common import TEXT_ROWS, table, written
 from adloom.llm.components import components
 
 SEED, MOST, BLOCK = 42, 32_768, 2048
+#: Upper bits: least and most.
 LEAST_UPPER, TOP = 6, 12
+LOWER, MOST_UPPER, RECALL = 16, 16, 0.998
 #: Lanes whose distances are counted.
 HELD = 3
-#: For a similarity of 0.8 or more of five-word shingles: 24 segments, and 192 bits held, of which 29 are expected to differ at 0.8, and more than 48 in one of 10,000 such pairs.
-NEAR_LANES, NEAR_LIMIT, NEAR_SHINGLE, NEAR = 9, 48, 5, 0.8
+NEAR_SHINGLE, NEAR = 5, 0.8
+#: Entries up to this size have all their pairs compared at once.
+SMALL = 24
+#: Members of an entry that each of its blocks holds, about.
+PIVOTS = 256
 #: Ids that a broadcast may hold (about 16 MB); more are joined by a shuffle of both sides.
 BROADCAST_IDS = 1_000_000
 #: Bytes of shingle sets in a block of a loosely joined group.
 SETS = 4 << 20
-CHUNK = 1 << 16
+#: The bits of a byte, high first, one to a byte of a 64-bit number; sums of up to 255 such numbers are eight counts.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
 
 def _lane(h: np.ndarray, lane: int) -> np.ndarray:
@@ -77,14 +86,23 @@ def shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(start[:n].tolist(), stop.tolist(), strict=True)), np.uint64, n)
 
 
-def fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
-    """8 * lanes bytes, high bits first."""
-    ones = np.zeros((lanes, 64), np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        for lane in range(lanes):
-            h = _lane(hashes[at:at + CHUNK], lane)
-            ones[lane] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(hashes)).tobytes()
+def fingerprints_of(hashes: list[np.ndarray], lanes: int) -> np.ndarray:
+    """(texts, 8 * lanes) bytes, high bits first."""
+    size = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    out, some = np.zeros((len(hashes), 8 * lanes), np.uint8), np.flatnonzero(size)
+    if not len(some):
+        return out
+    h, n = np.concatenate(hashes), size[some]
+    pieces = -(-n // 255)
+    first = np.cumsum(pieces) - pieces
+    start = np.repeat(np.cumsum(n) - n, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    for lane in range(lanes):
+        parts = _lane(h, lane).astype(">u8").view(np.uint8).reshape(-1, 8)
+        for k in range(8):
+            counts = np.add.reduceat(_SPREAD[parts[:, k]], start).view(np.uint8).reshape(-1, 8)
+            ones = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+            out[some, 8 * lane + k] = np.packbits(2 * ones > n[:, None], axis=1)[:, 0]
+    return out
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -104,76 +122,90 @@ def node_of(f: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, distinct: bool = False) -> DataFrame:
-    """(doc_id, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of its first HELD lanes with several lanes. With distinct a repeated shingle counts once."""
-    small_batches(docs.sparkSession)
-    kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+    """(doc_id, text_hash, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of its first HELD lanes with several lanes. With distinct a repeated shingle counts once."""
+    kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").cast("binary").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             every = [shingle_hashes(t, shingle) for t in b["t"].to_pylist()]
             if distinct or sets:
                 once = [np.unique(h) for h in every]
-            fps = [fingerprint(h, lanes) for h in (once if distinct else every)]
-            nodes = node_of(np.frombuffer(b"".join(fps), ">i8").astype(np.int64).reshape(len(fps), lanes)[:, :HELD])
+            fps = fingerprints_of(once if distinct else every, lanes)
+            nodes = node_of(fps.view(">i8").astype(np.int64)[:, :HELD])
             more = [pa.array([h.astype("<u8").tobytes() for h in once], pa.binary())] if sets else []
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), *more], ["doc_id", "node", "fp", "shingles"][:3 + len(more)])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(nodes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), *more], ["doc_id", "text_hash", "node", "fp", "shingles"][:4 + len(more)])
 
-    return kind.mapInArrow(run, "doc_id long, node long, fp binary" + ", shingles binary" * sets)
+    return kind.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary" + ", shingles binary" * sets)
 
 
-def _values(f: np.ndarray, segment_bytes: int) -> np.ndarray:
-    """(rows, segments) values of the segments of fingerprints given as lanes."""
-    parts = f.astype(">i8").view(np.uint8).reshape(len(f), -1, segment_bytes).astype(np.int64)
-    return (parts << np.arange(segment_bytes - 1, -1, -1) * 8).sum(axis=2)
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _lanes(b: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(b["fp"].to_pylist()), ">i8").astype(np.int64).reshape(b.num_rows, -1)
 
 
-def _upper_bits(fps: DataFrame, segment_bytes: int, most: int) -> int:
-    """The least number of upper bits, LEAST_UPPER to TOP, that leaves `most` fingerprints or fewer of each value; all bits if none does."""
-    bits = 8 * segment_bytes
+def _values(f: np.ndarray, width: int, segments: int) -> np.ndarray:
+    """(rows, segments) values of the segments, `width` bits each, of fingerprints given as lanes."""
+    bits = np.unpackbits(f.astype(">i8").view(np.uint8).reshape(len(f), -1), axis=1)[:, :segments * width]
+    wide = np.zeros((len(f), segments, 32), np.uint8)
+    wide[:, :, 32 - width:] = bits.reshape(len(f), segments, width)
+    return np.packbits(wide, axis=2).view(">u4")[:, :, 0].astype(np.int64)
 
+
+def _exact_upper(fps: DataFrame, most: int) -> int:
+    """The least number of upper bits, LEAST_UPPER to TOP, that leaves `most` fingerprints or fewer of each 32-bit value; TOP if none does."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                value = _values(_lanes(b), segment_bytes)
-                yield pa.RecordBatch.from_arrays([pa.array(((value >> (bits - TOP)) | (np.arange(value.shape[1]) << TOP)).ravel())], ["v"])
+                v, n = np.unique((_values(_lanes(b), 32, 2) >> (32 - TOP)) | (np.arange(2) << TOP), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n)], ["v", "n"])
 
-    rows = fps.select("fp").mapInArrow(run, "v long").groupBy("v").count().collect()  # at most segments x 2**TOP rows
-    for upper in range(LEAST_UPPER, TOP + 1):
+    rows = fps.select("fp").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()  # at most 2 x 2**TOP rows
+    for upper in range(LEAST_UPPER, TOP):
         counts: dict[int, int] = {}
         for r in rows:
-            counts[r["v"] >> (TOP - upper)] = counts.get(r["v"] >> (TOP - upper), 0) + r["count"]
+            counts[r["v"] >> (TOP - upper)] = counts.get(r["v"] >> (TOP - upper), 0) + r["n"]
         if max(counts.values(), default=0) <= most:
             return upper
-    return bits
+    return TOP
+
 
+def shape(rows: int, similarity: float, most: int = MOST, recall: float = RECALL) -> tuple[int, int, int, int]:
+    """(upper bits, segments, lanes, limit) of the search for pairs of that similarity among so many rows.
+
+    A bit of two fingerprints differs with the angle of the sets over pi. The limit is passed by one pair in ten thousand.
+    """
+    flip = acos(2 * similarity / (1 + similarity)) / pi
+    upper = min(MOST_UPPER, max(LEAST_UPPER, ceil(log2(max(1, 2 * rows / most)))))
+    agree = (1 - flip) ** upper * sum(comb(LOWER, k) * flip**k * (1 - flip) ** (LOWER - k) for k in range(3))
+    segments = ceil(log(1 - recall) / log(1 - agree))
+    bits = 64 * HELD
+    return upper, segments, max(HELD, ceil(segments * (upper + LOWER) / 64)), ceil(bits * flip + 3.72 * sqrt(bits * flip * (1 - flip)))
 
-def _dealt(fps: DataFrame, segment_bytes: int, lanes: int, upper: int) -> DataFrame:
-    """(grp, value, f0, f1, …): the first HELD lanes of each fingerprint in the groups of its segments' upper bits, as they are and with one of them flipped; value, the segment's own, only with more lanes."""
-    bits = 8 * segment_bytes
-    flips = np.array([0, *(1 << k for k in range(upper))], np.int64)
-    names = [*["value"] * (lanes > HELD), *[f"f{k}" for k in range(min(lanes, HELD))]]
-    rows = 16_000 // max(8, 8 * lanes // segment_bytes)
+
+def _dealt(fps: DataFrame, lanes: int, width: int, segments: int, upper: int, flip_upper: bool) -> DataFrame:
+    """(grp, value, f0, f1, …): the first HELD lanes of each fingerprint in the groups of its segments' upper bits; with flip_upper also as they are with one of those flipped."""
+    flips = np.array([0, *(1 << k for k in range(upper if flip_upper else 0))], np.int64)
+    names = [f"f{k}" for k in range(min(lanes, HELD))]
+    step = 16_000 // (8 * segments)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                f = _lanes(whole.slice(at, rows))
-                value = _values(f, segment_bytes)
-                keys = ((value >> (bits - upper))[:, :, None] ^ flips) | (np.arange(value.shape[1], dtype=np.int64) << bits)[None, :, None]
-                times = np.repeat(np.arange(len(f)), keys[0].size)
-                own = [pa.array(np.repeat(value.ravel(), len(flips)))] if lanes > HELD else []
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *own, *[pa.array(lane[times]) for lane in f.T[:HELD]]], ["grp", *names])
+            for at in range(0, whole.num_rows, step):
+                f = _lanes(whole.slice(at, step))
+                value = _values(f, width, segments)
+                keys = ((value >> (width - upper))[:, :, None] ^ flips) | (np.arange(segments, dtype=np.int64) << 32)[None, :, None]
+                times = np.repeat(np.arange(len(f)), keys[0].size if len(f) else 0)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(value.ravel(), len(flips))), *[pa.array(lane[times]) for lane in f.T[:HELD]]], ["grp", "value", *names])
 
-    return fps.select("fp").mapInArrow(run, "grp long, " + ", ".join(f"{n} long" for n in names))
+    return fps.select("fp").mapInArrow(run, "grp long, value long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
+def _tree(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
     """Links within the limit that join all members that such links join."""
-    out, rest = [], np.arange(len(node))
+    out, rest = [], np.arange(len(fp))
     while len(rest) > 1:
         frontier, rest = [rest[0]], rest[1:]
         while frontier and len(rest):
@@ -181,69 +213,86 @@ def _tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]
             hit = np.bitwise_count(fp[rest] ^ fp[u]).sum(axis=1) <= limit
             if hit.any():
                 found, rest = rest[hit], rest[~hit]
-                out += [(node[u], x) for x in node[found]]
+                out += [(u, x) for x in found]
                 frontier += list(found)
     return out
 
 
-def _least_tree(node: np.ndarray, fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """The same with the least distances: the nearest member outside joins next."""
-    out, rest = [], np.arange(1, len(node))
-    gap, by = np.bitwise_count(fp[rest] ^ fp[0]).sum(axis=1, dtype=np.int64), np.zeros(len(rest), np.int64)
-    while len(rest):
-        k = int(gap.argmin())
-        u = rest[k]
-        if gap[k] <= limit:
-            out.append((node[by[k]], node[u]))
-        rest, gap, by = np.delete(rest, k), np.delete(gap, k), np.delete(by, k)
-        own = np.bitwise_count(fp[rest] ^ fp[u]).sum(axis=1, dtype=np.int64)
-        by[own < gap] = u
-        gap = np.minimum(gap, own)
-    return out
+def _forest(a: np.ndarray, b: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Places of links of least gaps that join what all links join."""
+    parent: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
 
-def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper: int, tree=_tree) -> DataFrame:
-    """Verified links (a, b) of nodes; dealt has (grp, part, value, f0, …), and members meet within a part of a group."""
-    bits = 8 * segment_bytes
-    lower = bits - upper
+    keep = []
+    for k in np.lexsort((b, a, gap)).tolist():
+        x, y = root(int(a[k])), root(int(b[k]))
+        if x != y:
+            parent[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _links(dealt: DataFrame, limit: int, width: int, lanes: int, upper: int) -> DataFrame:
+    """Verified links (a, b, gap) of nodes, a the greater one, gap their distance; dealt has (grp, part, value, f0, …), and members meet within a part of a group. Part 0 is a group's table; any other is one entry."""
+    lower = width - upper
     flips = np.array([0, *(1 << k for k in range(lower))], np.int64)
 
-    def pairs(grp: np.ndarray, part: np.ndarray, value: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of whole parts: rows are entered in the group's table, those of its own under each flip of a lower bit too."""
-        own = np.flatnonzero((value >> lower) == (grp & ((1 << bits) - 1)))
-        rest = np.setdiff1d(np.arange(len(f)), own, assume_unique=True)
-        table = np.cumsum(np.append(False, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1]))) << lower
-        low = value & ((1 << lower) - 1)
-        keys = np.concatenate([(table[own, None] | (low[own, None] ^ flips)).ravel(), table[rest] | low[rest]])
-        row = np.concatenate([np.repeat(own, len(flips)), rest])
-        order = np.argsort(keys)
+    def entries(grp: np.ndarray, part: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, row) of table entries: rows are entered under their value, those of the group's own upper bits under each flip of a lower bit too."""
+        every = np.cumsum(np.append(False, (grp[1:] != grp[:-1]) | (part[1:] != part[:-1]))) << lower
+        table = part == 0
+        own = np.flatnonzero(table & ((value >> lower) == (grp & 0xFFFFFFFF)))
+        other = np.flatnonzero(table & ((value >> lower) != (grp & 0xFFFFFFFF)))
+        single, low = np.flatnonzero(~table), value & ((1 << lower) - 1)
+        keys = np.concatenate([(every[own, None] | (low[own, None] ^ flips)).ravel(), every[other] | low[other], every[single]])
+        return keys, np.concatenate([np.repeat(own, len(flips)), other, single])
+
+    def pairs(grp: np.ndarray, part: np.ndarray, value: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Links (a, b, distance) of nodes, of whole parts."""
+        keys, row = entries(grp, part, value)
+        order = np.argsort(keys, kind="stable")
         keys, row = keys[order], row[order]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
-        bit, node = f.astype(np.uint64), node_of(f)
-        a, b = row[starts[sizes == 2]], row[starts[sizes == 2] + 1]
-        near = np.bitwise_count(bit[a] ^ bit[b]).sum(axis=1) <= limit
-        yield node[a[near]], node[b[near]]
-        for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        bit, node, found = f.astype(np.uint64), node_of(f), []
+        few = np.repeat(sizes <= SMALL, sizes)
+        left, at = row[few], keys[few]
+        for d in range(1, SMALL):
+            same = np.flatnonzero(at[d:] == at[:-d])
+            if not len(same):
+                break
+            a, b = left[same], left[same + d]
+            gap = np.bitwise_count(bit[a] ^ bit[b]).sum(axis=1, dtype=np.int64)
+            near = gap <= limit
+            found.append((node[a[near]], node[b[near]], gap[near]))
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             members = row[s:s + n]
-            if found := tree(node[members], bit[members], limit):
-                yield tuple(np.array(found, np.int64).T)
+            members = members[np.argsort(node[members])]  # trees of other entries grow from the same member
+            if tree := _tree(bit[members], limit):
+                a, b = members[np.array(tree, np.int64)].T
+                found.append((node[a], node[b], np.bitwise_count(bit[a] ^ bit[b]).sum(axis=1, dtype=np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
 
     def tell(held: list) -> Iterator[pa.RecordBatch]:
-        found = [x for x in pairs(*(np.concatenate(x) for x in zip(*held, strict=True))) if len(x[0])]
-        if found:
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            ab = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], ["a", "b"])
+        a, b, gap = pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        if len(a):
+            a, b = np.maximum(a, b), np.minimum(a, b)
+            once = np.unique(np.stack([a, b, gap]), axis=1)
+            keep = once[:, _forest(*once)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in keep], ["a", "b", "gap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # rows of the last part, whose other rows may come in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grp, part = batch["grp"].to_numpy(), batch["part"].to_numpy()
+            grp, part, value = (batch[n].to_numpy() for n in ("grp", "part", "value"))
             f = np.stack([batch[f"f{k}"].to_numpy() for k in range(min(lanes, HELD))], axis=1)
-            value = batch["value"].to_numpy() if lanes > HELD else _values(f, segment_bytes)[np.arange(len(f)), grp >> bits]
             last = np.flatnonzero((grp != grp[-1]) | (part != part[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if held and (grp[0], part[0]) != (held[0][0][0], held[0][1][0]):
@@ -256,36 +305,62 @@ def _links(dealt: DataFrame, limit: int, segment_bytes: int, lanes: int, upper:
         if held:
             yield from tell(held)
 
-    return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
+    return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long, gap long")
 
 
-def link(fps: DataFrame, limit: int, segment_bytes: int, lanes: int, most: int = MOST, block: int = BLOCK, tree=_tree) -> DataFrame:
-    """Links (a, b) of nodes that join whatever distances of `limit` or less join; fps holds distinct (node, fp)."""
-    upper = _upper_bits(fps, segment_bytes, most)
-    dealt = _dealt(fps, segment_bytes, lanes, upper)
-    if upper < 8 * segment_bytes:
-        return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, segment_bytes, lanes, upper, tree).distinct()
-    sized = written(dealt.groupBy("grp").count().where(F.col("count") > most).select("grp", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    n = F.coalesce("blocks", F.lit(1))
+def _block_pairs(b: Column, n: Column) -> Column:
+    """Numbers of the parts that block b of n goes to: any two blocks make a part."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda j: F.least(b, j) * n + F.greatest(b, j))
+
+
+def link(fps: DataFrame, limit: int, lanes: int, width: int, segments: int, upper: int, exact: bool, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """Links (a, b, gap) of nodes that join what distances of `limit` or less join, within shared entries; fps holds distinct (node, fp). With exact none is lost where segments differ in two bits or fewer."""
+    dealt = _dealt(fps, lanes, width, segments, upper, flip_upper=exact)
     names = [f"f{k}" for k in range(min(lanes, HELD))]
-    b = F.pmod(F.xxhash64(*names), n).cast("long")
-    # any two blocks of a group make a part; each member goes to the parts of its block
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda j: F.least(b, j) * n + F.greatest(b, j))
-    dealt = dealt.join(sized, "grp", "left").select("grp", F.explode(parts).alias("part"), *["value"] * (lanes > HELD), *names)
-    return _links(dealt, limit, segment_bytes, lanes, upper, tree).distinct()
+    hot = written(dealt.groupBy("grp").count().where(F.col("count") > 2 * most).select("grp"))
+    if hot.isEmpty():
+        return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, width, lanes, upper).distinct()
+    mask = (1 << (width - upper)) - 1
+    low = F.col("value").bitwiseAND(F.lit(mask))
+    own = F.shiftright("value", width - upper) == F.col("grp").bitwiseAND(F.lit(0xFFFFFFFF))
+    # parts of a hot group: the entries its members belong to, from 1 on
+    flips = F.concat(F.array(low), F.when(own, F.transform(F.array(*[F.lit(1 << k).cast("long") for k in range(width - upper)]), lambda x: low.bitwiseXOR(x))).otherwise(F.array().cast("array<bigint>")))
+    marked = dealt.join(hot.withColumn("_hot", F.lit(True)), "grp", "left")
+    entry = F.when(F.col("_hot"), F.transform(flips, lambda x: x + 1)).otherwise(F.array(F.lit(0).cast("long")))
+    entered = marked.select("grp", F.explode(entry).alias("entry"), "value", *names)
+    big = written(entered.where("entry > 0").groupBy("grp", "entry").count().where(F.col("count") > block))
+    n = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("long")
+    h = F.xxhash64(*names)
+    b = F.pmod(h, n).cast("long")
+    every = F.sequence(F.lit(0).cast("long"), n - 1)
+    blocks = _block_pairs(b, n) if exact else F.when(F.pmod(F.shiftrightunsigned(h, 20), F.coalesce("count", F.lit(1))) < PIVOTS, every).otherwise(F.array(b))
+    # a part's number tells entry and block apart
+    parts = F.when(F.col("count").isNull(), F.array(F.col("entry"))).otherwise(F.transform(blocks, lambda x: F.shiftleft(x + 1, width - upper + 1) + F.col("entry")))
+    return _links(entered.join(big, ["grp", "entry"], "left").select("grp", F.explode(parts).alias("part"), "value", *names), limit, width, lanes, upper).distinct()
+
+
+def _nearest(links: DataFrame) -> DataFrame:
+    """(a, b) of each node's link of the least gap to a lower node, and to a higher one."""
+    down = links.groupBy("a").agg(F.min(F.struct("gap", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
+    up = links.groupBy("b").agg(F.min(F.struct("gap", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
+    return down.unionByName(up).distinct()
 
 
 def _few(ids: DataFrame) -> DataFrame:
-    """ids marked for a broadcast if there are BROADCAST_IDS or fewer."""
+    """ids (a written table) marked for a broadcast if there are BROADCAST_IDS or fewer."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _sets(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, lanes: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the ends of links. A node's text is that of its least doc_id; nodes of rows without one take no part."""
+def _sets(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the ends of links. A node's text is that of its least (doc_id, text_hash); nodes of rows without a doc_id take no part."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = written(fps.join(ends, "node", "left_semi").select("least_id").distinct())
-    texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(_few(ids), F.col("doc_id") == F.col("least_id"), "left_semi")
-    return written(fingerprints(texts, shingle, lanes, sets=True, distinct=True).join(fps.select("node", F.col("least_id").alias("doc_id")), ["node", "doc_id"], "left_semi").dropDuplicates(["node"]).select("node", "shingles"))
+    named = written(fps.join(ends, "node", "left_semi").where("least.doc_id is not null").select("node", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash")))
+    ids = written(named.select("_id", "_hash").distinct())
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    texts = texts.join(_few(ids), (F.col("doc_id") == F.col("_id")) & (text_hash(F.col("text")) == F.col("_hash")), "left_semi")
+    told = fingerprints(texts, shingle, 1, sets=True).select("doc_id", "text_hash", "shingles")
+    found = told.join(named, (told["doc_id"] == named["_id"]) & (told["text_hash"] == named["_hash"]))
+    return written(found.groupBy("node").agg(F.min("shingles").alias("shingles")), TEXT_ROWS)
 
 
 def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -325,16 +400,25 @@ def joining(sets: list[np.ndarray], root: np.ndarray, least: float) -> list[tupl
 
 
 def _untested(loose: DataFrame, joined: DataFrame, sets: DataFrame, least: float, block: int, set_bytes: int) -> DataFrame:
-    """Links (a, b) of that similarity between what `joined` leaves apart of `loose`, both with (a, b) of components."""
-    members = sets.select("node", F.octet_length("shingles").alias("bytes"))
+    """Links (a, b) of that similarity between what `joined` leaves apart of `loose`, both with (a, b) of components.
+
+    Members of a group's largest component (main) need not meet each other: their blocks meet those of the other members only.
+    """
+    members = sets.select("node", F.octet_length("shingles").cast("long").alias("bytes"))
     for found, name in ((loose, "grp"), (joined, "root")):
         members = members.join(found.select(F.col("a").alias("node"), F.col("b").alias(name)), "node", "left").withColumn(name, F.coalesce(name, "node"))
     members = written(members)
-    apart = members.groupBy("grp").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    apart = written(apart.select("grp", F.greatest(F.ceil(F.col("count") / block), F.ceil(F.col("bytes") / set_bytes)).cast("long").alias("n")))
-    b = F.pmod(F.xxhash64("node"), F.greatest("n", F.lit(1)))
-    # any two blocks of a group make a part; each member goes to the parts of its block
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest("n", F.lit(1)) - 1), lambda j: F.least(b, j) * F.col("n") + F.greatest(b, j))
+    roots = members.groupBy("grp", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    apart = roots.groupBy("grp").agg(F.max(F.struct("n", "bytes", "root")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / set_bytes), F.lit(1)).cast("long")
+    apart = written(apart.select("grp", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("mains"),
+                                 blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others")))
+    h, k, m = F.xxhash64("node"), F.col("others"), F.col("mains")
+    own, each = F.pmod(h, k), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    # parts below others² are pairs of other blocks; beyond, a main block with another one
+    of_main = F.transform(each(k), lambda i: k * k + i * m + F.pmod(h, m))
+    of_other = F.concat(_block_pairs(own, k), F.transform(each(m), lambda j: k * k + own * m + j))
+    parts = F.when(F.col("root") == F.col("main"), of_main).otherwise(of_other)
     dealt = members.join(apart, "grp").join(sets, "node").select("grp", F.explode(parts).alias("part"), "node", "root", "shingles")
 
     def tell(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,37 +448,51 @@ def _untested(loose: DataFrame, joined: DataFrame, sets: DataFrame, least: float
     return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
 
 
-def near_components(docs: DataFrame, shingle: int = 4, lanes: int = 1, limit: int = 4, segment_bytes: int = 4, least_similarity: float | None = None,
-                    id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK, set_bytes: int = SETS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest doc_id that links reach, the row's own included."""
-    rows = written(fingerprints(docs, shingle, lanes, id_col, text_col, distinct=least_similarity is not None))
-    fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least_id")))
-    if least_similarity is None:
-        links = link(fps, limit, segment_bytes, lanes, most, block)
-    else:
-        near = written(link(fps, limit, segment_bytes, lanes, most, block, _least_tree))
-        sets = _sets(near, fps, docs, shingle, lanes, id_col, text_col)
-        links = written(_similar(near, sets, least_similarity))
-        links = links.unionByName(_untested(written(components(near)), written(components(links)), sets, least_similarity, block, set_bytes))
-    joined = written(components(links))
-    rooted = written(fps.join(joined.withColumnRenamed("a", "node"), "node", "left").select("node", "least_id", F.coalesce("b", "node").alias("root")))
-    least = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")))
-    named = written(rooted.join(least, "root", "left").select("node", "component_id"))
-    return rows.join(named, "node", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, lanes: int = NEAR_LANES, limit: int = NEAR_LIMIT, segment_bytes: int = 3, least_similarity: float | None = NEAR) -> DataFrame:
+def near_components(docs: DataFrame, shingle: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: the smallest doc_id that links of `limit` (5 at most) differing bits of 64 reach, the row's own included."""
+    rows = written(fingerprints(docs, shingle, 1, id_col, text_col), TEXT_ROWS)
+    fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")))
+    return _named(rows, fps, link(fps, limit, 1, 32, 2, _exact_upper(fps, most), True, most, block))
+
+
+def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int = NEAR_SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text",
+                       most: int = MOST, block: int = BLOCK, set_bytes: int = SETS) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id, kept_hash) of every row: as near_components, with links between texts of that Jaccard similarity or more of their distinct shingles; kept_hash is the text_hash of the component's first row by (doc_id, text_hash)."""
+    upper, segments, lanes, limit = shape(docs.count(), similarity, most, recall)
+    rows = written(fingerprints(docs, shingle, lanes, id_col, text_col, distinct=True), TEXT_ROWS)
+    fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")))
+    near = written(link(fps, limit, lanes, upper + LOWER, segments, upper, False, most, block))
+    sets = _sets(near, fps, docs, shingle, id_col, text_col)
+    links = written(_similar(_nearest(near), sets, similarity))
+    links = links.unionByName(_untested(written(components(near.select("a", "b"))), written(components(links)), sets, similarity, block, set_bytes))
+    return _named(rows, fps, links)
+
+
+def _named(rows: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with the least (doc_id, text_hash) of the component of their node, as component_id and kept_hash."""
+    joined = written(components(links.select("a", "b")))
+    rooted = written(fps.join(joined.withColumnRenamed("a", "node"), "node", "left").select("node", "least", F.coalesce("b", "node").alias("root")))
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("first")))
+    named = written(rooted.join(least, "root", "left").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("kept_hash")))
+    return rows.join(named, "node", "left").select("doc_id", "text_hash", "fp", "component_id", "kept_hash")
+
+
+def keep_one(docs: DataFrame, similarity: float = NEAR, shingle: int = NEAR_SHINGLE, **search) -> DataFrame:
     """docs with one document of each group of near copies, that of the smallest doc_id; columns as in docs.
 
-    Rows without a doc_id stay. Of rows that repeat a kept doc_id one stays.
+    Rows without a doc_id stay. Of rows that repeat a doc_id and its text one stays; of different texts of one doc_id only
+    those go that are near copies.
     """
-    groups = written(near_components(docs, shingle, lanes, limit, segment_bytes, least_similarity))
-    gone = written(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    kept = docs.join(_few(gone), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    twice = written(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    h, keep = text_hash(F.col("text")), [F.col(f"`{c}`") for c in docs.columns]
+    groups = written(similar_components(docs, similarity, shingle, **search).where("doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("doc_id") == F.col("component_id")) & (F.col("text_hash") == F.col("kept_hash"))).alias("_kept")))
+    gone = written(groups.where("not _kept").select("_id", "_hash").distinct())
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (h == F.col("_hash"))
+    kept = docs.join(_few(gone), same, "left_anti").select(*keep)
+    twice = written(groups.where("_kept").groupBy("_id", "_hash").count().where("count > 1").select("_id", "_hash"))
     if twice.isEmpty():
         return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    few = _few(twice)
+    return kept.join(few, same, "left_anti").unionByName(kept.join(few, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*keep)
 
 
 def query(spark, sf_dir) -> DataFrame:

@@ -1,8 +1,9 @@
 """URL filter: host rules, and a weighted vocabulary counted by Aho-Corasick with boundary checks.
 
 A rule `host/path` fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins. Urls
-without a fitting rule are judged by words: a term counts where no ASCII letter or digit touches it. One strict term, or
-`soft_limit` distinct soft terms, reject the url.
+without a fitting rule are judged by words: a term counts once, where no ASCII letter or digit touches it. The weights of
+a url's distinct terms add up, and `limit` rejects it: a strict term has that weight alone, soft ones of strong classes
+reach it in twos, weak ones in threes.
 
 Cases: a null url, or one without `://`, has an empty host and path, so no rule fits; a null url has no terms and is
 allowed; repeated rows each get a row; an empty table gives an empty result; other columns are carried by `judge` only.
@@ -20,13 +21,42 @@ from adloom.llm.common import free_name, table
 
 #: (verdict, rule) of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Term -> weight. Strict terms weigh 1, soft ones less.
-VOCABULARY = {
-    **dict.fromkeys(("casino", "porn", "porno", "xxx", "sexcam", "viagra", "cialis", "escort", "hentai", "malware", "phishing", "warez", "torrents", "bitcoin-doubler", "payday-loan"), 1.0),
-    **dict.fromkeys(("bet", "bets", "betting", "poker", "slots", "jackpot", "adult", "nude", "cam", "dating"), 0.6),
-    **dict.fromkeys(("win", "free", "bonus", "promo", "deal", "cheap", "pills", "loan", "loans", "crypto", "ads", "adserver", "track", "tracker", "tracking", "click", "affiliate", "popup", "spam"), 0.4),
+#: Stems of each class: those that reject alone, then those that count as SOFT.
+CLASSES = {
+    "adult": (("porn", "porno", "pornhub", "xxx", "sexcam", "sextape", "hentai", "camgirl", "milf", "nsfw", "escort", "fetish", "bdsm", "hookup", "striptease", "erotica"),
+              ("adult", "nude", "naked", "sexy", "cam", "webcam", "dating", "singles", "lingerie", "hottest", "babes")),
+    "gambling": (("casino", "roulette", "blackjack", "baccarat", "sportsbook", "bookmaker", "togel", "judi", "lottery", "sweepstake"),
+                 ("bet", "betting", "poker", "slot", "jackpot", "bingo", "odds", "wager", "gamble", "gambling")),
+    "pharmacy": (("viagra", "cialis", "levitra", "xanax", "tramadol", "oxycontin", "steroid", "modafinil"),
+                 ("pill", "pharmacy", "pharma", "prescription", "dosage", "supplement", "slimming", "detox")),
+    "malware": (("malware", "phishing", "keylogger", "ransomware", "trojan", "botnet", "spyware", "exploitkit"),
+                ("exe", "dropper", "payload", "unlocker", "antivirus", "cleaner", "driver-update")),
+    "piracy": (("warez", "torrent", "keygen", "serialz", "nulled", "cracked", "magnet-link", "camrip"),
+               ("crack", "serial", "patch", "rip", "mirror", "streaming", "modapk", "unlocked")),
+    "scam": (("payday-loan", "bitcoin-doubler", "get-rich", "ponzi", "moneymule", "clickbait", "giftcard-generator"),
+             ("loan", "crypto", "forex", "giveaway", "win", "winner", "bonus", "cashback", "prize", "earn", "mining", "airdrop")),
+    "ads": (("adserver", "doubleclick", "popunder", "adclick", "clickbank", "adtracker"),
+            ("ad", "tracker", "tracking", "click", "affiliate", "popup", "banner", "sponsor", "redirect", "utm", "spam")),
+    "sales": ((), ("free", "cheap", "promo", "deal", "discount", "coupon", "offer", "sale", "buy-now", "limited", "trial", "voucher")),
 }
-SOFT_LIMIT = 2
+#: Weight of one soft term by class; a url is rejected at LIMIT, which strict terms reach alone and soft ones only together.
+SOFT = {"adult": 0.6, "gambling": 0.6, "pharmacy": 0.5, "malware": 0.5, "piracy": 0.5, "scam": 0.4, "ads": 0.4, "sales": 0.34}
+LIMIT = 1.0
+
+
+def vocabulary(classes: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = CLASSES, soft: dict[str, float] = SOFT) -> dict[str, float]:
+    """Term -> weight: every stem, its plural, and strict stems with what advertises them, written together or with a hyphen."""
+    plural = lambda w: w if w.endswith(("s", "x", "ing", "y")) else w + "s"
+    out: dict[str, float] = {}
+    for name, (strict, weak) in classes.items():
+        for w in weak:
+            out |= dict.fromkeys((w, plural(w)), soft[name])
+        for w in strict:
+            out |= dict.fromkeys((w, plural(w), *(a + gap + w for a in ("free", "online", "best", "live") for gap in ("", "-"))), LIMIT)
+    return out
+
+
+VOCABULARY = vocabulary()
 
 
 def host(url: Column) -> Column:
@@ -50,12 +80,12 @@ def rule_of(host_col: Column, path_col: Column, rules: tuple[tuple[str, str], ..
     return out
 
 
-def matcher(vocabulary: dict[str, float]):
+def matcher(words: dict[str, float]):
     """A function of a url: its distinct terms, sorted."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton()
-    for term in vocabulary:
+    for term in words:
         automaton.add_word(term, term)
     automaton.make_automaton()
 
@@ -72,29 +102,26 @@ def matcher(vocabulary: dict[str, float]):
     return terms
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, vocabulary: dict[str, float] | None = None, soft_limit: int = SOFT_LIMIT,
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, words: dict[str, float] | None = None, limit: float = LIMIT,
           url_col: str = "url", out: str = "url_verdict") -> DataFrame:
     """pages with one more struct column `out`: host, path, rule, terms, weight (their sum), verdict (allow or block)."""
-    words = VOCABULARY if vocabulary is None else vocabulary
+    words = VOCABULARY if words is None else words
 
-    @F.pandas_udf("array<string>")
-    def terms(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        find = matcher(words)
+    @F.pandas_udf("terms array<string>, weight double")
+    def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        find = matcher(words) if words else (lambda u: [])
         for urls in parts:
-            yield pd.Series([find(u) for u in urls])
+            found = [find(u) for u in urls]
+            yield pd.DataFrame({"terms": found, "weight": [round(sum(words[t] for t in x), 6) for x in found]})
 
     keep = [F.col(f"`{c}`") for c in pages.columns]
     u, names = F.col(f"`{url_col}`"), {k: free_name(pages, k) for k in ("_host", "_path", "_terms", "_rule")}
-    df = pages.select(*keep, host(u).alias(names["_host"]), path(u).alias(names["_path"]), terms(u).alias(names["_terms"]))
+    df = pages.select(*keep, host(u).alias(names["_host"]), path(u).alias(names["_path"]), told(u).alias(names["_terms"]))
     df = df.select("*", rule_of(F.col(names["_host"]), F.col(names["_path"]), rules).alias(names["_rule"]))
     found, rule = F.col(names["_terms"]), F.col(names["_rule"])
-    strict = F.array(*[F.lit(t) for t, w in sorted(words.items()) if w >= 1] or [F.lit("")])
-    weight = F.create_map(*[F.lit(x) for t in words.items() for x in t]) if words else F.create_map(F.lit(""), F.lit(0.0))
-    bad = F.arrays_overlap(found, strict) | (F.size(found) >= soft_limit)
-    verdict = F.coalesce(rule["verdict"], F.when(bad, "block").otherwise("allow"))
-    total = F.aggregate(found, F.lit(0.0), lambda a, t: a + weight[t])
+    verdict = F.coalesce(rule["verdict"], F.when(found["weight"] >= limit, "block").otherwise("allow"))
     return df.select(*keep, F.struct(F.col(names["_host"]).alias("host"), F.col(names["_path"]).alias("path"), rule["rule"].alias("rule"),
-                                     found.alias("terms"), total.alias("weight"), verdict.alias("verdict")).alias(free_name(pages, out)))
+                                     found["terms"].alias("terms"), found["weight"].alias("weight"), verdict.alias("verdict")).alias(free_name(pages, out)))
 
 
 def query(spark, sf_dir) -> DataFrame:
@@ -103,26 +130,24 @@ def query(spark, sf_dir) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", *[v[c].alias(c) for c in ("host", "path", "rule", "verdict")])
 
 
-_STRICT = "|".join(sorted(t for t, w in VOCABULARY.items() if w >= 1))
-_TERMS = ", ".join(f"'{t}'" for t in sorted(VOCABULARY))
+_TERMS = ", ".join(f"('{t}', {w})" for t, w in sorted(VOCABULARY.items()))
 SQL = rf"""
-WITH p AS (
+WITH v(term, weight) AS (VALUES {_TERMS}), p AS (
     SELECT page_id, coalesce(url, '') AS url,
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
     FROM pages
+), t AS (
+    SELECT url, sum(weight) AS weight FROM (SELECT DISTINCT url FROM p) JOIN v ON contains(lower(url), term) AND regexp_matches(lower(url), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY url
 ), r AS (
-    SELECT *, CASE
+    SELECT p.*, coalesce(weight, 0) AS weight, CASE
         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
         WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-        len(list_filter([{_TERMS}], lambda t: regexp_matches(lower(url), '(^|[^a-z0-9])' || t || '($|[^a-z0-9])'))) AS n_terms,
-        regexp_matches(lower(url), '(^|[^a-z0-9])({_STRICT})($|[^a-z0-9])') AS strict
-    FROM p
+        WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM p LEFT JOIN t USING (url)
 )
 SELECT page_id, host, path, rule,
-    CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-        WHEN strict OR n_terms >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+    CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN weight >= {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """

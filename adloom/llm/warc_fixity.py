@@ -9,11 +9,16 @@ The audit compares the roots of two replicas and descends level by level into th
 
 Cases: a record that only one replica has is `missing` or `extra`, a whole file too; null url or html count as empty; null
 ids are allowed; repeated pages are records of their own; an empty archive against a full one has every record missing;
-two empty archives give no row; other columns of pages are not part of a record.
+two empty archives give no row; other columns of pages are not part of a record. A body may hold anything, version lines too.
 """
 
 from __future__ import annotations
 
+import gzip
+from collections.abc import Iterator
+from itertools import batched
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -22,13 +27,18 @@ from adloom.llm.common import table, written
 
 RANGE_BYTES, FAN, FILE_BYTES = 64 * 1024, 16, 4 * 1024 * 1024
 VERSION, END = "WARC/1.0\r\n", "\r\n\r\n"
+#: Pages have no fetch time; records need one.
+DATE = "2024-01-01T00:00:00Z"
+MARK, HEAD_BYTES = b"WARC/1.", 64 * 1024
+_RECORD = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("content_length", pa.int64()), ("html", pa.string()), ("complete", pa.bool_())])
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
-    """A response record as text, its closing empty lines included."""
+    """A resource record as text, its closing empty lines included. Line ends in an address go, as they would end its header."""
     html = F.coalesce(html, F.lit(""))
-    return F.concat(F.lit(VERSION + "WARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
-                    F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"),
+    uri = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", "")
+    return F.concat(F.lit(VERSION + "WARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
+                    F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), uri, F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(html).cast("string"),
                     F.lit("\r\n\r\n"), html, F.lit(END))
 
 
@@ -58,19 +68,53 @@ def archive(pages: DataFrame, file_bytes: int = FILE_BYTES) -> DataFrame:
     return layout(records(pages), file_bytes)
 
 
-def write_warc(arch: DataFrame, path: str) -> None:
-    """Uncompressed WARC text under path, a folder a file number; records in the order of offsets."""
-    (arch.repartition("file").sortWithinPartitions("file", "offset").select("file", F.col("record").alias("value"))
-     .write.partitionBy("file").option("lineSep", "\n").text(path))
+def write_warc(arch: DataFrame, path: str, compression: str = "none") -> None:
+    """WARC files under path, a folder a file number; records in the order of their offsets, at their offsets (compression: none or gzip)."""
+    value = F.substring("record", F.lit(1), F.length("record") - 1)  # the writer ends each value with the line feed that ends the record
+    (arch.repartition("file").sortWithinPartitions("file", "offset").select("file", value.alias("value"))
+     .write.partitionBy("file").option("lineSep", "\n").option("compression", compression).text(path))
+
+
+def walk(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes, bool]]:
+    """(offset, headers, body, complete) of the records of a file, by their Content-Length; what a body holds is never looked at.
+
+    A record without a length, or with less than it tells of, is not complete; the walk goes on at the next version line after it.
+    """
+    at = data.find(MARK)
+    while at >= 0:
+        head, gap, _ = data[at:at + HEAD_BYTES].partition(b"\r\n\r\n")
+        lines = head.decode("utf-8", "replace").split("\r\n")[1:]
+        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        start, length = at + len(head) + len(gap), headers.get("content-length", "")
+        size = int(length) if length.isascii() and length.isdigit() else None
+        whole = size is not None and bool(gap) and data[start + size:start + size + 4] in (b"\r\n\r\n", b"") and start + size <= len(data)
+        after = data.find(b"\r\n\r\n" + MARK, start)
+        stop = start + size if whole else after if after >= 0 else len(data)
+        yield at, headers, data[start:stop], whole
+        at = data.find(MARK, stop)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(file, target_uri, content_length, html) of the records under path; the reader splits at the version line."""
-    raw = spark.read.option("lineSep", VERSION).text(path).where(F.length("value") > 0)
-    head, body = F.split("value", "\r\n\r\n", 2)[0], F.split("value", "\r\n\r\n", 2)[1]
-    length = F.regexp_extract(head, r"Content-Length: (\d+)", 1).cast("long")
-    return raw.select(F.col("file") if "file" in raw.columns else F.input_file_name().alias("file"), F.regexp_extract(head, r"WARC-Target-URI: ([^\r\n]*)", 1).alias("target_uri"),
-                      length.alias("content_length"), F.decode(F.substring(F.encode(body, "UTF-8"), F.lit(1), length.cast("int")), "UTF-8").alias("html"))
+    """(file, offset, warc_type, target_uri, content_length, html, complete) of the records under path, plain or gzip.
+
+    A file is read by one task; archives written here hold about `file_bytes` each. complete is false for a record that is
+    shorter than its length, whose html is what there is of it. Offsets are those in the unpacked file.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path)
+    file = F.col("file").cast("string") if "file" in files.columns else F.col("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b["file"].to_pylist(), b["content"], strict=True):
+                data = data.as_py()
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
+                for part in batched(walk(data), 500):
+                    length = lambda h: int(x) if (x := h.get("content-length", "")).isascii() and x.isdigit() else None
+                    rows = [(name, at, h.get("warc-type", ""), h.get("warc-target-uri", ""), length(h), body.decode("utf-8", "replace"), whole) for at, h, body, whole in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RECORD, strict=True)], schema=_RECORD)
+
+    return files.select(file.alias("file"), "content").mapInArrow(run, "file string, offset long, warc_type string, target_uri string, content_length long, html string, complete boolean")
 
 
 def tree(arch: DataFrame, range_bytes: int = RANGE_BYTES, fan: int = FAN) -> list[DataFrame]:
@@ -124,8 +168,9 @@ def query(spark, sf_dir) -> DataFrame:
 
 SQL = rf"""
 WITH r AS (
-    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
-        || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+    SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '')
+        || '>' || chr(13) || chr(10) || 'WARC-Date: {DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\r\n]', '', 'g')
+        || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
         || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
     FROM pages
 ), h AS (

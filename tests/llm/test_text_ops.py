@@ -45,14 +45,34 @@ def test_license_base_places(spark, make, edge, docs, monkeypatch):
 def test_license_labels_and_suppression(make):
     text = "Code: SPDX-License-Identifier: GPL-3.0-or-later. This work is licensed under the GNU General Public License, version 3. See the Mozilla Public License 2.0; https://creativecommons.org/licenses/by-sa/4.0/ "
     x = license_scan.scan(make([text])).first().licenses
-    spans = [(d.label, d.priority) for d in x.found]
-    assert spans == [("gpl-3.0", 4), ("gpl-3.0", 3), ("mpl-2.0", 2), ("cc-by-sa-4.0", 3)]
-    # brute force over all detections: none that is kept lies within another of at least its priority
-    for d in x.found:
-        assert not any(e != d and e.start <= d.start and e.stop >= d.stop and e.priority >= d.priority for e in x.found)
+    assert [(d.label, d.priority) for d in x.found] == [("gpl-3.0", 4), ("gpl-3.0", 3), ("mpl-2.0", 2), ("cc-by-sa-4.0", 3)]
     assert license_scan.scan(make([(1, "a", 2)], "licenses int")).columns[-1] == "_licenses" and license_scan.scan(make([])).count() == 0
 
 
+def test_license_suppression_and_score_against_brute_force(spark, make, monkeypatch):
+    """What stays is just what no earlier detection, by start, length and priority, of at least its priority contains; labels and score follow from it."""
+    rng = random.Random(8)
+    rules = signatures()
+    texts = [" ".join(rng.choice(("", "x", "see the", "and")) + " " + matching(r.pattern, rng) for r in rng.sample(rules, rng.randint(1, 5))) for _ in range(120)]
+    df = make(texts).coalesce(2)
+    monkeypatch.setattr(license_scan, "table", lambda *a: df)
+    got = {r.doc_id: r for r in license_scan.query(spark, SF).collect()}
+    for k, text in enumerate(texts):
+        flat = " " + " ".join(item_words(text)) + " "
+        every = set()
+        for r in rules:
+            for m in re.finditer(rf"(?<= )(?:{r.pattern})(?= )", flat):
+                start = flat.count(" ", 0, m.start()) - 1
+                every.add((start, start + m.group().count(" ") + 1, r.priority, r.label, r.weight))
+        order = sorted(every, key=lambda d: (d[0], -d[1], -d[2], d[3], d[4]))
+        kept = [d for i, d in enumerate(order) if not any(e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2] for e in order[:i])]
+        assert sorted((d.start, d.stop, d.priority, d.label, d.weight) for d in got[k].spans) == sorted(kept), text
+        base = {label for label, p in BASE if f" {p} " in flat}
+        assert got[k].labels == ",".join(sorted(base | {d[3] for d in kept}))
+        rest = np.prod([1 - w for _, w in {(d[3], d[4]) for d in kept} | {(label, 0.9) for label in base}])
+        assert abs(got[k].score - (1 - rest)) < 1e-9
+
+
 def matching(pattern, rng):
     """A random text that a pattern matches."""
     def one(op, arg):
@@ -156,13 +176,37 @@ def test_decontamination(spark, make, edge, monkeypatch, block_words):
     assert got == Counter(windows_hit([*edge, *HIT], ITEMS))
 
 
+def test_blocks_are_scanned_one_by_one(spark, make, monkeypatch):
+    """With many blocks no plan holds two scans, and each broadcast goes before the next block is collected."""
+    df, items = make([*HIT, (3, None)]), spark.createDataFrame(ITEMS, "item_id string, text string")
+    alive, most, make_block, written = [], [], decontaminate._block, decontaminate.written
+
+    def block(*a):
+        assert not alive
+        alive.append(1)
+        return make_block(*a)
+
+    def counted(d, *a):
+        most.append(d._jdf.queryExecution().executedPlan().toString().count("MapInArrow"))
+        out = written(d, *a)
+        alive.clear()
+        return out
+
+    monkeypatch.setattr(decontaminate, "_block", block)
+    monkeypatch.setattr(decontaminate, "written", counted)
+    marked = decontaminate.mark(df, items, block_words=3)
+    assert len(most) > 3 and max(most) == 1 and "MapInArrow" not in marked._jdf.queryExecution().executedPlan().toString()
+    one = decontaminate.mark(df, items).collect()
+    assert sorted(map(str, marked.collect())) == sorted(map(str, one))
+
+
 def test_decontamination_removes(spark, make):
     items = spark.createDataFrame(ITEMS, "item_id string, text string")
-    df = make([(1, "keep Foo, bar! and quick brown end"), (2, "clean"), (3, None)])
+    df = make([(1, "keep Foo, bar! and quick brown end"), (2, "clean"), (3, None), (4, "foo bar - BAR baz. foo bar"), (5, "x quick-brown foo bar. y")])
     assert sorted(r.doc_id for r in decontaminate.remove(df, items).collect()) == [2, 3]
     got = {r.doc_id: (r.text, r.n_chars) for r in decontaminate.remove(df, items, "spans").collect()}
-    assert got == {1: ("keep ! and  end", 15), 2: ("clean", 5), 3: (None, None)}
-    assert decontaminate.remove(df, items.limit(0)).count() == 3 and decontaminate.remove(make([]), items).count() == 0
+    assert got == {1: ("keep ! and  end", 15), 2: ("clean", 5), 3: (None, None), 4: ("", 0), 5: ("x . y", 5)}
+    assert decontaminate.remove(df, items.limit(0)).count() == 5 and decontaminate.remove(make([]), items).count() == 0
     assert decontaminate.mark(make([(1, "a", 2)], "hits int"), items).columns[-1] == "_hits"
 
 
@@ -208,3 +252,21 @@ def test_language(spark, docs, make, edge):
     mixed = [w for d in ("de", "en") for w in language_crf.words_of(docs.where(F.col("lang") == d).first().text)[:30]]
     p = language_crf.forward_backward(crf.emissions(mixed), crf.step, np.array([len(mixed)])).argmax(axis=1)
     assert np.mean(p[:len(mixed) // 2] == crf.langs.index("de")) > 0.8 and np.mean(p[len(mixed) // 2:] == crf.langs.index("en")) > 0.8
+
+
+def test_language_of_words_never_seen(spark):
+    """Held-out words that neither the lexicon nor the training runs hold are told by their parts; the lexicon tells what parts do not."""
+    more = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{more}/documents.parquet")
+    odd = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    crf = language_crf.train(docs, odd != 1, rounds=6)
+    held = [(r.lang, language_crf.words_of(r.text)) for r in docs.where(odd == 1).where("lang is not null").collect()]
+    seen = {w for r in docs.where(odd != 1).collect() for w in language_crf.words_of(r.text)}
+    new = [(lang, w) for lang, ws in held for w in dict.fromkeys(ws) if w not in seen and len(w) > 3]
+    got = crf.emissions([w for _, w in new]).argmax(axis=1)
+    assert len(new) > 50 and np.mean([crf.langs[k] == lang for k, (lang, _) in zip(got, new, strict=True)]) > 0.7
+    a, b = crf.langs[:2]
+    counts = {f"{p}qq{k}".encode(): {lang: 5} for p, lang in (("x", a), ("y", b)) for k in range(40)}
+    runs = [(lang, [w for w, c in counts.items() if lang in c][k % 7:][:10]) for lang in (a, b) for k in range(30)]
+    small = language_crf.fit(runs, counts | {b"same": {a: 9}, b"equal": {b: 9}}, rounds=20)
+    assert [small.langs[k] for k in small.emissions([b"same", b"equal"]).argmax(axis=1)] == [a, b]
