@@ -43,3 +43,13 @@ def extract_urls(c: Column) -> Column:
 def cut_bytes(c: Column, n: int) -> Column:
     """The longest start of whole characters in n bytes of UTF-8."""
     return let(c, lambda x: F.when(F.octet_length(x) <= n, x).otherwise(F.rtrim(F.make_valid_utf8(F.substring(F.encode(x, "UTF-8"), 1, n).cast("string")), F.lit("�"))))
+
+
+def parse_ts(c: Column) -> Column:
+    """A timestamp from text as stored, `2024-01-31 08:15:00` in the session's zone (UTC); other text is null."""
+    return F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss"))
+
+
+def format_ts(c: Column) -> Column:
+    """The stored text of a timestamp."""
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")

@@ -42,11 +42,11 @@ def job_links(facts: Column, needles: tuple[str, ...] = urls.JOB_NEEDLES) -> Col
     return _distinct(hits, "href")
 
 
-def page_kind(adapter: Column, requested: Column, final: Column, facts: Column) -> Column:
+def page_kind(adapter: Column, requested: Column, final: Column, facts: Column, needles: tuple[str, ...] = urls.JOB_NEEDLES) -> Column:
     """detail, listing or empty. Two boards decide on the final address, two on the requested one, unknown sites on what the page holds."""
     detail = (F.when(adapter == "jobstreet", urls.is_detail_url("jobstreet", final)).when(adapter == "dealls", urls.is_detail_url("dealls", final))
               .when(adapter == "glints", urls.is_detail_url("glints", requested)).when(adapter == "kalibrr", urls.is_detail_url("kalibrr", requested))
-              .when(adapter == "threads", F.lit(True)).otherwise(F.size(job_links(facts)) < 3))
+              .when(adapter == "threads", F.lit(True)).otherwise(F.size(job_links(facts, needles)) < 3))
     return F.when(facts["error"].isNotNull(), "empty").when(detail, "detail").otherwise("listing")
 
 

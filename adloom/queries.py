@@ -80,10 +80,16 @@ def page_links(t, spark, sf):
     return _facts(t).select("page_id", F.posexplode(adapters.job_links(F.col("facts"), _NEEDLES)).alias("pos", "link")).select("page_id", "pos", "link.href", "link.title")
 
 
-@query(_LINKS + "SELECT page_id, count(l.href) AS links, CASE WHEN count(l.href) < 3 THEN 'detail' ELSE 'listing' END AS kind FROM pages LEFT JOIN (SELECT * FROM l WHERE k = 1) l USING (page_id) GROUP BY page_id")
+@query(_LINKS + """SELECT page_id, CASE WHEN page_id % 5 = 1 THEN 'jobstreet' WHEN page_id % 5 = 2 THEN 'glints' WHEN page_id % 5 = 3 THEN 'threads' ELSE 'static' END AS adapter,
+    CASE WHEN page_id % 5 = 1 THEN CASE WHEN page_id % 2 = 0 THEN 'detail' ELSE 'listing' END WHEN page_id % 5 = 2 THEN 'listing' WHEN page_id % 5 = 3 OR count(l.href) < 3 THEN 'detail' ELSE 'listing' END AS kind
+FROM pages LEFT JOIN (SELECT * FROM l WHERE k = 1) l USING (page_id) GROUP BY page_id""")
 def page_kind(t, spark, sf):
-    n = F.size(adapters.job_links(F.col("facts"), _NEEDLES)).cast("long")
-    return _facts(t).select("page_id", n.alias("links")).select("page_id", "links", F.when(F.col("links") < 3, "detail").otherwise("listing").alias("kind"))
+    """By final address, by requested address, always a detail, by what the page holds."""
+    k = F.col("page_id") % 5
+    adapter = F.when(k == 1, "jobstreet").when(k == 2, "glints").when(k == 3, "threads").otherwise("static")
+    final = F.when((k == 1) & (F.col("page_id") % 2 == 0), F.concat(F.lit("https://id.jobstreet.com/ID/job/"), "page_id")).when(k == 2, f"https://glints.com/opportunities/jobs/a/{'1' * 8}-2222-3333-4444-{'5' * 12}").otherwise(F.col("url"))
+    df = page_facts(t("pages").select("page_id", F.col("url").alias("requested_url"), final.alias("final_url"), F.col("html").alias("body")))
+    return df.select("page_id", adapter.alias("adapter"), adapters.page_kind(adapter, F.col("requested_url"), F.col("final_url"), F.col("facts"), _NEEDLES).alias("kind"))
 
 
 _STRIP = r"trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
@@ -237,10 +243,11 @@ def latest_letter(t, spark, sf):
     return review.latest_letter(letters).select("job_ad_id", "id", "content")
 
 
-@query("SELECT conv_id AS job_ad_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations WHERE role = 'assistant' AND conv_id % 2 = 0")
+@query("SELECT conv_id AS job_ad_id, turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank FROM conversations WHERE role = 'assistant' AND conv_id IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def letters_of(t, spark, sf):
+    """Letters of the conversations that have a system turn."""
     letters = t("conversations").where("role = 'assistant'").select(F.col("conv_id").alias("job_ad_id"), F.col("turn").alias("id"), F.col("turn").alias("created_at"))
-    ads = t("conversations").where("conv_id % 2 = 0").select(F.col("conv_id").alias("id"))
+    ads = t("conversations").where("role = 'system'").select(F.col("conv_id").alias("id"))
     return review.letter_ranks(review.letters_of(ads, letters)).select("job_ad_id", "id", F.col("rank").cast("long"))
 
 

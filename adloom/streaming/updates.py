@@ -12,6 +12,8 @@ from adloom.functions.text import extract_urls
 from adloom.functions.urls import route
 from adloom.operators.ingest import new_ads
 
+#: Hash ranges of addresses in a stream's target.
+BUCKETS = 32
 #: Replies to a message.
 REPLIES = {"success": "Processed ✅", "failure": "Couldn't process ⚠️"}
 
@@ -60,20 +62,53 @@ def stream_ingest(ads: DataFrame, target: str, checkpoint: str, order: tuple[str
     batch, so that a batch that is run again replaces what it wrote. The target holds the state; nothing grows in memory.
     `after` gets the new rows and the batch id.
     """
-    columns = ads.columns
-
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.option("recursiveFileLookup", "true").schema(batch.schema).parquet(target) if _has_files(spark, target) else spark.createDataFrame([], batch.schema)
-        before = before.where(~F.input_file_name().contains(f"/batch={number}/"))
-        fresh = new_ads(before.select("source_url"), batch, order).select(*columns)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        fresh = insert_batch(batch, number, target, order)
         if after is not None:
-            after(spark.read.schema(batch.schema).parquet(f"{target}/batch={number}"), number)
+            after(fresh, number)
 
     return ads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def insert_batch(batch: DataFrame, number: int, target: str, order: tuple[str, ...] = ("pos",)) -> DataFrame:
+    """The rows of a micro-batch that are new to the Parquet table at target, written to it.
+
+    The table lies in folders by batch and by `BUCKETS` hash ranges of source_url, of which only those are read that the
+    batch falls in. A batch that runs again replaces its folder.
+    """
+    spark = batch.sparkSession
+    dealt = batch.withColumn("bucket", F.pmod(F.xxhash64("source_url"), F.lit(BUCKETS)).cast("int"))
+    ranges = [r[0] for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
+    if _has_files(spark, target):
+        before = spark.read.schema("source_url string, bucket int, batch long").parquet(target).where(F.col("bucket").isin(ranges) & (F.col("batch") != number))
+    else:
+        before = spark.createDataFrame([], "source_url string")
+    fresh = new_ads(before.select("source_url"), dealt.withColumn("batch", F.lit(number).cast("long")), order)
+    folder = f"{target}/batch={number}"
+    fresh.drop("batch").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    return spark.read.schema(f"{_ddl(batch)}, bucket int").parquet(folder).select(*batch.columns)
+
+
+def check_batch(batch: DataFrame, number: int, results: DataFrame, out: str) -> None:
+    """What a micro-batch of messages came to, below `out`: outcomes with their replies, and a row with the summary and the greatest update id seen. A batch that runs again replaces its rows."""
+    message_outcome(batch, results).write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
+    summary = check_summary(batch, results).crossJoin(F.broadcast(high_water_mark(batch)))
+    summary.write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
+
+
+def stream_check(updates: DataFrame, chat_id: int, handle: Callable[[DataFrame, int], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """A check of a chat: `handle` gets each micro-batch's wanted messages and its number and gives (update_id, url, ok, inserted); outcomes, replies and summaries are written by check_batch."""
+    def run(batch: DataFrame, number: int) -> None:
+        wanted = wanted_messages(batch, chat_id)
+        check_batch(wanted, number, handle(wanted, number), out)
+
+    return updates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+
+
 def _has_files(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
