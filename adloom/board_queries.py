@@ -141,19 +141,19 @@ def kalibrr_pages(t, spark, sf):
     return _parsed(t("part"), filled("https://www.kalibrr.id/c/co-{size}/jobs/{k}/s?x=1", **_values()), body)
 
 
-_POST = '<meta property="og:description" content="Now hiring | Line Cook {k}&#10;Join Nation{size} Foods Pte Ltd">{og}<script>{open}"plaintext":"{long}"{close} {open}"plaintext":"some other post that is longer than all the rest of this page together, by far, so that only its start tells"{close}</script>'
+_POST = '<meta property="og:description" content="Now hiring | Tram Driver {k}&#10;Join Nation{size} Lantern Pte Ltd">{og}<script>{open}"plaintext":"{long}"{close} {open}"plaintext":"some other post that is longer than all the rest of this page together, by far, so that only its start tells"{close}</script>'
 
 
 @query("""
-SELECT p_partkey, CAST(0 AS BIGINT) AS pos, 'detail' AS kind, false AS failed, CASE WHEN p_partkey % 2 = 0 THEN 'https://www.threads.com/@other/post/Q' || p_partkey ELSE 'https://www.threads.com/@acme/post/P' || p_partkey END AS source_url,
-    'Line Cook ' || p_partkey AS title, 'Nation' || p_size || ' Foods Pte Ltd' AS company, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Pay: SGD ' || p_size || '/hour' END AS salary,
-    'Now hiring | Line Cook ' || p_partkey || chr(10) || 'Join Nation' || p_size || ' Foods Pte Ltd' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' in town. Pay: SGD ' || p_size || '/hour' END AS description FROM part WHERE p_partkey % 7 <> 0
+SELECT p_partkey, CAST(0 AS BIGINT) AS pos, 'detail' AS kind, false AS failed, CASE WHEN p_partkey % 2 = 0 THEN 'https://www.threads.com/@other/post/Q' || p_partkey ELSE 'https://www.threads.com/@depot/post/P' || p_partkey END AS source_url,
+    'Tram Driver ' || p_partkey AS title, 'Nation' || p_size || ' Lantern Pte Ltd' AS company, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'Pay: SGD ' || p_size || '/hour' END AS salary,
+    'Now hiring | Tram Driver ' || p_partkey || chr(10) || 'Join Nation' || p_size || ' Lantern Pte Ltd' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' in town. Pay: SGD ' || p_size || '/hour' END AS description FROM part WHERE p_partkey % 7 <> 0
 UNION ALL SELECT p_partkey, NULL, 'detail', true, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 7 = 0""")
 def social_posts(t, spark, sf):
     """Posts whose whole caption stands in the page, posts with the short one only, posts without any."""
     k = F.col("p_partkey")
-    caption = filled(r"Now hiring | Line Cook {k}\nJoin Nation{size} Foods Pte Ltd", **_values())
+    caption = filled(r"Now hiring | Tram Driver {k}\nJoin Nation{size} Lantern Pte Ltd", **_values())
     long = F.when(k % 3 == 0, "not the same").otherwise(F.concat(caption, filled(" in town. Pay: SGD {size}/hour", **_values())))
     og = F.when(k % 2 == 0, filled('<meta property="og:url" content="https://www.threads.net/@other/post/Q{k}/">', **_values()))
     body = F.when(k % 7 != 0, filled(_POST, **_values(long=long, og=og, open=F.lit("{"), close=F.lit("}")))).otherwise("<p>log in</p>")
-    return _parsed(t("part"), filled("https://www.threads.net/@acme/post/P{k}?x=1", **_values()), body)
+    return _parsed(t("part"), filled("https://www.threads.net/@depot/post/P{k}?x=1", **_values()), body)

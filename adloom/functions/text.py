@@ -23,9 +23,9 @@ def collapse_ws(c: Column) -> Column:
 
 def cleanup_text(c: Column) -> Column:
     """Lines collapsed, one empty line in a row at most, none at start or end."""
-    plain = F.regexp_replace(F.replace(c, F.lit(" "), F.lit(" ")), "\r\n?", "\n")
-    lines = F.array_join(F.transform(F.split(plain, "\n"), collapse_ws), "\n")
-    return F.regexp_replace(F.regexp_replace(lines, "\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
+    lines = F.regexp_replace(c, "\r\n?", "\n")
+    flat = F.trim(F.regexp_replace(F.regexp_replace(lines, f"[{SPACE}&&[^\n]]+", " "), " ?\n ?", "\n"))
+    return F.regexp_replace(F.regexp_replace(flat, "\n{3,}", "\n\n"), r"\A\n+|\n+\z", "")
 
 
 def caption_lines(c: Column, n: int = 8) -> Column:

@@ -24,9 +24,13 @@ def _ad(url: Column, title: Column, company: Column, pay: Column, description: C
 
 
 def _distinct(ads: Column, key: str = "source_url") -> Column:
-    """Without later ones of an address that stood before."""
-    first = lambda p: F.filter(p["ads"], lambda a, i: F.array_position(p["at"], a[key]) == i + 1)
-    return let(ads, lambda x: let(F.struct(x.alias("ads"), F.transform(x, lambda a: a[key]).alias("at")), first))
+    """Without later ones of an address that stood before: sorted by address, the first of each is kept, in the old order."""
+    def first(x: Column) -> Column:
+        keyed = F.array_sort(F.transform(F.filter(x, lambda a: a[key].isNotNull()), lambda a, i: F.struct(a[key].alias("k"), i.alias("i"), a.alias("a"))))
+        once = lambda s: F.filter(s, lambda e, j: (j == 0) | (F.get(s, j - 1)["k"] != e["k"]))
+        return F.transform(F.array_sort(F.transform(let(keyed, once), lambda e: F.struct(e["i"].alias("i"), e["a"].alias("a")))), lambda e: e["a"])
+
+    return let(ads, first)
 
 
 def meta(facts: Column, name: str) -> Column:
@@ -42,11 +46,12 @@ def job_links(facts: Column, needles: tuple[str, ...] = urls.JOB_NEEDLES) -> Col
     return _distinct(hits, "href")
 
 
-def page_kind(adapter: Column, requested: Column, final: Column, facts: Column, needles: tuple[str, ...] = urls.JOB_NEEDLES) -> Column:
-    """detail, listing or empty. Two boards decide on the final address, two on the requested one, unknown sites on what the page holds."""
+def page_kind(adapter: Column, requested: Column, final: Column, facts: Column, links: Column | None = None) -> Column:
+    """detail, listing or empty. Two boards decide on the final address, two on the requested one, unknown sites on what the page holds (links: its job_links, if they are worked out already)."""
+    links = job_links(facts) if links is None else links
     detail = (F.when(adapter == "jobstreet", urls.is_detail_url("jobstreet", final)).when(adapter == "dealls", urls.is_detail_url("dealls", final))
               .when(adapter == "glints", urls.is_detail_url("glints", requested)).when(adapter == "kalibrr", urls.is_detail_url("kalibrr", requested))
-              .when(adapter == "threads", F.lit(True)).otherwise(F.size(job_links(facts, needles)) < 3))
+              .when(adapter == "threads", F.lit(True)).otherwise(F.size(links) < 3))
     return F.when(facts["error"].isNotNull(), "empty").when(detail, "detail").otherwise("listing")
 
 
@@ -65,9 +70,10 @@ def static_detail(facts: Column, url: Column) -> Column:
     return let(texts, lambda t: _ad(url, t["title"], F.trim(meta(facts, "og:site_name")), pay(t), t["description"]))
 
 
-def static_ads(facts: Column, url: Column) -> Column:
+def static_ads(facts: Column, url: Column, links: Column) -> Column:
+    """The ads of an unknown site: its job-like links (see job_links) if it has three, else itself."""
     listed = lambda x: F.transform(x, lambda h: _ad(h["href"], h["title"], F.lit(""), F.lit("")))
-    return let(job_links(facts), lambda x: F.when(F.size(x) >= 3, listed(x)).otherwise(F.array(static_detail(facts, url))))
+    return F.when(F.size(links) >= 3, listed(links)).otherwise(F.array(static_detail(facts, url)))
 
 
 def jobstreet_detail(facts: Column, url: Column) -> Column:
@@ -171,7 +177,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     adapter = F.coalesce("adapter", urls.route(F.col("requested_url"))) if "adapter" in pages.columns else urls.route(F.col("requested_url"))
     df = page_facts(pages.withColumn("adapter", adapter))
     f, final = F.col("facts"), F.col("final_url")
-    df = df.withColumn("kind", page_kind(F.col("adapter"), F.col("requested_url"), final, f))
+    df = df.withColumn("_links", F.when(F.col("adapter") == "static", job_links(f)))
+    df = df.withColumn("kind", page_kind(F.col("adapter"), F.col("requested_url"), final, f, F.col("_links")))
     # HTML fragments inside JSON: only pages of the two boards have any
     df = df.withColumn("_job", F.when(F.col("adapter") == "dealls", dealls_job(f["next_data"])))
     job, k = F.col("_job"), F.try_variant_get(F.try_parse_json(f["next_data"]), "$.props.pageProps.job", "variant")
@@ -188,7 +195,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
            .when(is_("dealls", "detail"), one(dealls_detail(f, final, job, F.col("_text1"), F.col("_text2")))).when(is_("dealls", "listing"), dealls_listing_ads(f, final))
            .when(is_("kalibrr", "detail"), F.when(kal.isNotNull(), one(kalibrr)))
            .when(F.col("adapter") == "threads", F.array_compact(one(threads_ad(f, final))))
-           .when(F.col("adapter") == "static", static_ads(f, final)))
+           .when(F.col("adapter") == "static", static_ads(f, final, F.col("_links"))))
     good = F.filter(F.coalesce(ads, F.array().cast(_ADS)), lambda a: (F.coalesce(a["title"], F.lit("")) != "") | (F.col("adapter") == "threads"))
     df = df.withColumn("ads", F.when(f["error"].isNull(), good).otherwise(F.array().cast(_ADS)))
     parts = [df.where(~F.col("adapter").isin(*_OWN))] if _OWN else [df]

@@ -7,15 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from adloom.operators.listing import first_seen
+from adloom.sources.tables import staged
 
 
 def insert_if_new(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("source_id", "page_no", "pos")) -> tuple[DataFrame, DataFrame]:
-    """(new, skipped): incoming rows whose source_url is not stored, the first of each by `order`, and all others. Stored rows never change."""
-    numbered = incoming.withColumn("_rank", F.row_number().over(W.partitionBy("source_url").orderBy(*order)))
-    stored = existing.select("source_url").distinct().withColumn("_stored", F.lit(True))
-    marked = numbered.join(stored, "source_url", "left")
-    fresh = (F.col("_rank") == 1) & F.col("_stored").isNull()
-    return tuple(marked.where(c).select(*incoming.columns) for c in (fresh, ~fresh))
+    """(new, skipped): incoming rows whose source_url is not stored, the first of each by `order`, and all others. Stored rows never change.
+
+    The first row of an address is a minimum, which maps combine; rows then part by their own numbers, so that an address
+    with many rows keeps no task busy alone.
+    """
+    rows = staged(incoming.withColumn("_row", F.monotonically_increasing_id()))
+    first = rows.groupBy("source_url").agg(F.min(F.struct(*order, "_row")).alias("_first")).join(existing.select("source_url"), "source_url", "left_anti")
+    fresh = staged(first.select(F.col("_first._row").alias("_row")))
+    return tuple(rows.join(fresh, "_row", how).select(*incoming.columns) for how in ("left_semi", "left_anti"))
 
 
 def new_ads(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("source_id", "page_no", "pos")) -> DataFrame:
@@ -60,20 +64,18 @@ def upsert(base: DataFrame, changes: DataFrame, key: list[str], order: list[str]
     return out.select(*[F.col(f"_last.{c}") if c in rest else F.col(c) for c in base.columns])
 
 
-def assign_ids(new: DataFrame, start: int, order: list[str], partitions: int | None = None) -> DataFrame:
+def assign_ids(new: DataFrame, start: int, order: list[str]) -> DataFrame:
     """new with ids start + 1, start + 2, … in `order` (which must tell rows apart).
 
-    Rows are ranked within range partitions only; the rows before a partition come from its counts. The range of a row is
-    found from quantiles of all rows, so that it is the same however often it is worked out.
+    Rows are sorted within range partitions by all of `order` and staged; a row's place is that in its partition after the
+    rows of the partitions before, which come from their counts.
     """
-    n = partitions or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = new.agg(F.percentile_approx(order[0], [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
-    parted = new.withColumn("_part", part)
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    placed = staged(new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a partition
     before = counts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
-    ranked = parted.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
-    return ranked.join(F.broadcast(before), "_part").withColumn("id", (F.lit(start) + F.col("_before") + F.col("_rank")).cast("long")).drop("_part", "_before", "_rank")
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(F.broadcast(before), "_part").select(*new.columns, (F.lit(start + 1) + F.col("_before") + place).cast("long").alias("id"))
 
 
 def crawl_plan(sources: DataFrame, adapters: tuple[str, ...] = ("static", "jobstreet", "glints", "dealls", "kalibrr", "threads")) -> DataFrame:

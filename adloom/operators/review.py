@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 from adloom.sources.schemas import STATUSES
 
 
-def small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df marked for a broadcast if it has `most` rows or fewer; beyond that the join shuffles both sides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def filter_status(ads: DataFrame, status: str | None) -> DataFrame:
     """Rows of a status: none given is `new`, `all` is every one, an unknown one gives no rows."""
     status = (status or "").strip() or "new"
@@ -31,7 +26,7 @@ def page_link(status: Column, page: Column) -> Column:
 
 def with_source_name(ads: DataFrame, sources: DataFrame, key: str = "source_id", out: str = "source_name") -> DataFrame:
     """ads with the name of their source, '' where it is missing."""
-    names = small(sources.select(F.col("id").alias("_sid"), F.col("name").alias("_name")))
+    names = sources.select(F.col("id").alias("_sid"), F.col("name").alias("_name"))
     return ads.join(names, ads[key] == names["_sid"], "left").withColumn(out, F.coalesce("_name", F.lit(""))).drop("_sid", "_name")
 
 
@@ -61,10 +56,10 @@ def page_info(ads: DataFrame, status: str | None, page: int, size: int = 50) ->
     return out.withColumn("page", F.greatest(F.lit(1).cast("long"), F.least(F.lit(page).cast("long"), "pages")))
 
 
-def apply_status(ads: DataFrame, changes: DataFrame, allowed: tuple[str, ...] = ("applied", "rejected", "ignored")) -> DataFrame:
-    """ads with new statuses by id; ids that are not there and statuses that are not allowed change nothing."""
-    last = changes.where(F.col("status").isin(*allowed)).groupBy("id").agg(F.max("status").alias("_status"))
-    return ads.join(small(last), "id", "left").withColumn("status", F.coalesce("_status", "status")).select(*ads.columns)
+def apply_status(ads: DataFrame, changes: DataFrame, order: tuple[str, ...], allowed: tuple[str, ...] = ("applied", "rejected", "ignored")) -> DataFrame:
+    """ads with new statuses by id, the last by `order` of each; ids that are not there and statuses that are not allowed change nothing."""
+    last = changes.where(F.col("status").isin(*allowed)).groupBy("id").agg(F.max_by("status", F.struct(*order, "status")).alias("_status"))
+    return ads.join(last, "id", "left").withColumn("status", F.coalesce("_status", "status")).select(*ads.columns)
 
 
 def unknown_ids(ads: DataFrame, changes: DataFrame) -> DataFrame:
@@ -74,7 +69,7 @@ def unknown_ids(ads: DataFrame, changes: DataFrame) -> DataFrame:
 
 def delete_ads(ads: DataFrame, letters: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ads, letters) without those ids and their letters."""
-    gone = small(ids.select("id").distinct())
+    gone = ids.select("id").distinct()
     return ads.join(gone, "id", "left_anti"), letters.join(gone.withColumnRenamed("id", "job_ad_id"), "job_ad_id", "left_anti").select(*letters.columns)
 
 

@@ -89,7 +89,7 @@ def page_kind(t, spark, sf):
     adapter = F.when(k == 1, "jobstreet").when(k == 2, "glints").when(k == 3, "threads").otherwise("static")
     final = F.when((k == 1) & (F.col("page_id") % 2 == 0), F.concat(F.lit("https://id.jobstreet.com/ID/job/"), "page_id")).when(k == 2, f"https://glints.com/opportunities/jobs/a/{'1' * 8}-2222-3333-4444-{'5' * 12}").otherwise(F.col("url"))
     df = page_facts(t("pages").select("page_id", F.col("url").alias("requested_url"), final.alias("final_url"), F.col("html").alias("body")))
-    return df.select("page_id", adapter.alias("adapter"), adapters.page_kind(adapter, F.col("requested_url"), F.col("final_url"), F.col("facts"), _NEEDLES).alias("kind"))
+    return df.select("page_id", adapter.alias("adapter"), adapters.page_kind(adapter, F.col("requested_url"), F.col("final_url"), F.col("facts"), adapters.job_links(F.col("facts"), _NEEDLES)).alias("kind"))
 
 
 _STRIP = r"trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({}, '<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))"
@@ -206,12 +206,14 @@ def page_info(t, spark, sf):
     return review.page_info(_ads(t), "new", 1_000_000)
 
 
-@query(f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 = 0 THEN 'rejected' ELSE {_STATUS} END AS status FROM orders")
+@query(f"""WITH c AS (SELECT l_orderkey AS id, arg_max(CASE l_linenumber % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'rejected' ELSE 'ignored' END, l_linenumber) AS status FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1)
+SELECT o_orderkey AS id, coalesce(c.status, {_STATUS}) AS status FROM orders LEFT JOIN c ON c.id = o_orderkey""")
 def bulk_status(t, spark, sf):
-    ads = _ads(t)
-    changes = t("lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("id"), F.lit("rejected").alias("status")).unionByName(
-        ads.where("id % 7 = 0").select("id", F.lit("rejected").alias("status"))).unionByName(ads.where("id % 5 = 0").select("id", F.lit("odd").alias("status")))
-    return review.apply_status(ads, changes).select("id", "status")
+    """The last allowed change of each ad counts."""
+    n = F.col("l_linenumber")
+    changes = t("lineitem").where("l_orderkey % 7 = 0").select(F.col("l_orderkey").alias("id"), F.when(n % 3 == 0, "applied").when(n % 3 == 1, "rejected").otherwise("ignored").alias("status"), n.cast("long").alias("at"))
+    odd = _ads(t).where("id % 5 = 0").select("id", F.lit("odd").alias("status"), F.lit(100).cast("long").alias("at"))
+    return review.apply_status(_ads(t), changes.unionByName(odd), ("at",)).select("id", "status")
 
 
 @query("""SELECT 'ad' AS kind, o_orderkey AS id, count(*) AS n FROM orders WHERE o_orderkey % 10 <> 3 GROUP BY 2
@@ -375,12 +377,12 @@ def event_props(t, spark, sf):
     return t("events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Line Cook ' || s_suppkey END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Nation' || s_nationkey || ' Foods Pte Ltd' ELSE '' END AS company,
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'Tram Driver ' || s_suppkey END AS title, CASE WHEN s_suppkey % 2 = 0 THEN 'Nation' || s_nationkey || ' Lantern Pte Ltd' ELSE '' END AS company,
 CASE WHEN s_suppkey % 5 = 0 THEN 'Gaji: UMR' ELSE 'SGD ' || s_nationkey || '/month' END AS salary FROM supplier""")
 def caption_fields(t, spark, sf):
     k = F.col("s_suppkey")
-    caption = F.concat(F.when(k % 3 == 0, "Hello there").otherwise(F.concat(F.lit("We’re hiring | Line Cook "), k.cast("string"), F.lit(" 📍 town"))), F.lit("\n\n"),
-                       F.when(k % 2 == 0, F.concat(F.lit("Join Nation"), "s_nationkey", F.lit(" Foods Pte Ltd in town\n"))).otherwise(""), F.when(k % 5 == 0, "Gaji: UMR\n").otherwise(F.concat(F.lit("SGD "), "s_nationkey", F.lit("/month\n"))))
+    caption = F.concat(F.when(k % 3 == 0, "Hello there").otherwise(F.concat(F.lit("We’re hiring | Tram Driver "), k.cast("string"), F.lit(" 📍 town"))), F.lit("\n\n"),
+                       F.when(k % 2 == 0, F.concat(F.lit("Join Nation"), "s_nationkey", F.lit(" Lantern Pte Ltd in town\n"))).otherwise(""), F.when(k % 5 == 0, "Gaji: UMR\n").otherwise(F.concat(F.lit("SGD "), "s_nationkey", F.lit("/month\n"))))
     return t("supplier").select("s_suppkey", captions.caption_fields(caption).alias("f")).select("s_suppkey", "f.*")
 
 

@@ -11,11 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCK = set("address article aside blockquote div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table tr ul".split())
+#: Elements that stand on lines of their own.
+BLOCK = (
+    "address", "article", "aside", "blockquote", "div", "dl", "dt", "dd", "fieldset", "figcaption", "figure", "footer", "form",
+    "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "tr", "ul",
+)
 #: A start tag that closes an open one of the second set (in the same parent chain, up to the third).
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: What starts an item that has a bullet already.
 BULLETS = "•·‣▪○-*–—"
+#: Elements below this depth become siblings, as in browsers, so that no tag has to look through more.
+DEEPEST = 512
+#: Pages whose facts are handed on together.
+PAGES = 250
 
 
 class Node:
@@ -42,6 +51,17 @@ class Node:
                 stack += reversed(c.children)
         return "".join(out)
 
+    def first_mark(self) -> str:
+        """The first character that is not white space, or ''."""
+        stack = list(reversed(self.children))
+        while stack:
+            c = stack.pop()
+            if not isinstance(c, str):
+                stack += reversed(c.children)
+            elif s := c.lstrip():
+                return s[0]
+        return ""
+
     def elements(self) -> list[Node]:
         return [c for c in self.children if isinstance(c, Node)]
 
@@ -55,28 +75,29 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#root", {}, None)
+        self.depth = 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends, stop = CLOSES.get(tag, (set(), set()))
         if tag in BLOCK:
             ends, stop = ends | {"p"}, stop | {"button", "object"}
-        n = self.at
-        while n.parent is not None and n.tag not in stop:
+        n, up = self.at, 1
+        while ends and n.parent is not None and n.tag not in stop:
             if n.tag in ends:
-                self.at = n.parent
+                self.at, self.depth = n.parent, self.depth - up
                 break
-            n = n.parent
+            n, up = n.parent, up + 1
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
-        if tag not in VOID:
-            self.at = node
+        if tag not in VOID and self.depth < DEEPEST:
+            self.at, self.depth = node, self.depth + 1
 
     def handle_endtag(self, tag: str) -> None:
-        n = self.at
+        n, up = self.at, 1
         while n.parent is not None and n.tag != tag:
-            n = n.parent
+            n, up = n.parent, up + 1
         if n.parent is not None:
-            self.at = n.parent
+            self.at, self.depth = n.parent, self.depth - up
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -117,7 +138,8 @@ def with_breaks(node: Node) -> str:
             block = n.tag in BLOCK
             if n.tag == "li":
                 newline()
-                if not n.text().lstrip()[:1] or n.text().lstrip()[0] not in BULLETS:
+                mark = n.first_mark()
+                if not mark or mark not in BULLETS:
                     put("• ")
             elif block and line != "• ":
                 newline()
@@ -137,6 +159,7 @@ FACTS = (
     "dealls_cards array<struct<href: string, url: string, title: string, text: string>>, dealls_company string, "
     "dealls_sections array<struct<label: string, html: string>>, leaves array<string>, plaintexts array<string>, error string"
 )
+#: Fixed values, in this order: where a page may name a salary.
 SALARY_SELECTORS = (
     lambda n: n.get("itemprop") == "baseSalary", lambda n: n.get("itemprop") == "salary", lambda n: "salary" in n.get("class"), lambda n: "Salary" in n.get("class"),
     lambda n: "salary" in n.get("id"), lambda n: "Salary" in n.get("id"), lambda n: "salary" in n.get("data-automation"),
@@ -237,14 +260,15 @@ def page_facts(pages: DataFrame, body: str = "body", base: str = "final_url") ->
     @F.pandas_udf(FACTS)
     def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for bodies, bases in parts:
-            rows = []
-            for b, u in zip(bodies, bases, strict=True):
-                try:
-                    row = facts(b, u) | {"plaintexts": plaintexts(b or ""), "error": None}
-                except Exception as e:  # a page must not end the job
-                    row = {"error": f"{type(e).__name__}: {e}"}
-                rows.append({n: row.get(n) for n in names})
-            yield pd.DataFrame(rows, columns=names)
+            for at in range(0, len(bodies), PAGES):  # facts take more room than pages
+                rows = []
+                for b, u in zip(bodies.iloc[at:at + PAGES], bases.iloc[at:at + PAGES], strict=True):
+                    try:
+                        row = facts(b, u) | {"plaintexts": plaintexts(b or ""), "error": None}
+                    except Exception as e:  # a page must not end the job
+                        row = {"error": f"{type(e).__name__}: {e}"}
+                    rows.append({n: row.get(n) for n in names})
+                yield pd.DataFrame(rows, columns=names)
 
     keep = [c for c in pages.columns if c != body]
     # so marked, the optimizer neither repeats the helper nor moves it into other expressions

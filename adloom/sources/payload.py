@@ -93,30 +93,32 @@ def dealls_listing(next_data: Column, origin: Column) -> Column:
 
 def _pick(v: Column, names: tuple[str, ...], kinds: str, to: str) -> Column:
     """The first of several spellings whose value has a fitting type; other types are passed over."""
-    def one(n: str) -> Column:
-        found = F.try_variant_get(v, f"$.{n}", "variant")
-        return F.when(F.schema_of_variant(found).rlike(kinds), F.try_variant_get(v, f"$.{n}", to))
-
-    return F.coalesce(*[one(n) for n in names])
+    one = lambda n: let(F.try_variant_get(v, f"$.{n}", "variant"), lambda x: F.when(F.schema_of_variant(x).rlike(kinds), F.try_variant_get(x, "$", to)))
+    return F.coalesce(*map(one, names))
 
 
 def kalibrr_ad(job: Column, origin: Column) -> Column:
     """The ad of a job variant, snake or camel case: a struct with source_url null where the job has no address of its own, and raw HTML of both description parts."""
-    text = lambda *n: F.coalesce(_pick(job, n, "^STRING$", "string"), F.lit(""))
+    text = lambda v, *n: F.coalesce(_pick(v, n, "^STRING$", "string"), F.lit(""))
     number = lambda *n: _pick(job, n, r"^(BIGINT|DECIMAL|DOUBLE|FLOAT)", "double").cast("long")
     whole = lambda *n: F.coalesce(_pick(job, n, "^BIGINT$", "bigint"), number(*n))
-    companies = [F.try_variant_get(job, f"$.{n}", "variant") for n in ("company", "company_info", "companyInfo")]
-    company = F.coalesce(*[F.when(F.schema_of_variant(c).startswith("OBJECT"), c) for c in companies])
-    of = lambda n: F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(company, f"$.{n}", "variant")) == "STRING", F.try_variant_get(company, f"$.{n}", "string")), F.lit(""))
-    href = urls.kalibrr_href(of("code"), whole("id"), text("slug"))
-    url = urls.canonical_url(F.concat(origin, href))
-    own = F.when((href != "") & urls.is_detail_url("kalibrr", url), url)
-    title, named = collapse_ws(text("name")), collapse_ws(text("company_name", "companyName"))
-    return F.struct(
-        own.alias("source_url"), F.when(title == "", own).otherwise(title).alias("title"), F.when(named == "", collapse_ws(of("name"))).otherwise(named).alias("company"),
-        salary.kalibrr_salary(_pick(job, ("salary_shown", "salaryShown"), "^BOOLEAN$", "boolean"), whole("base_salary", "baseSalary"), whole("maximum_salary", "maximumSalary"),
-                              text("salary_interval", "salaryInterval")).alias("salary"),
-        text("description").alias("description_html"), text("qualifications").alias("qualifications_html"))
+    company = _pick(job, ("company", "company_info", "companyInfo"), "^OBJECT", "variant")
+
+    def read(c: Column) -> Column:
+        return F.struct(text(c, "code").alias("code"), collapse_ws(text(c, "name")).alias("by"), whole("id").alias("id"), text(job, "slug").alias("slug"), collapse_ws(text(job, "name")).alias("title"),
+                        collapse_ws(text(job, "company_name", "companyName")).alias("named"), whole("base_salary", "baseSalary").alias("low"), whole("maximum_salary", "maximumSalary").alias("high"))
+
+    def address(r: Column) -> Column:
+        url = lambda href: urls.canonical_url(F.concat(origin, href))
+        return let(urls.kalibrr_href(r["code"], r["id"], r["slug"]), lambda h: let(url(h), lambda u: F.when((h != "") & urls.is_detail_url("kalibrr", u), u)))
+
+    def told(r: Column) -> Column:
+        shown, period = _pick(job, ("salary_shown", "salaryShown"), "^BOOLEAN$", "boolean"), text(job, "salary_interval", "salaryInterval")
+        return let(address(r), lambda own: F.struct(
+            own.alias("source_url"), F.when(r["title"] == "", own).otherwise(r["title"]).alias("title"), F.when(r["named"] == "", r["by"]).otherwise(r["named"]).alias("company"),
+            salary.kalibrr_salary(shown, r["low"], r["high"], period).alias("salary"), text(job, "description").alias("description_html"), text(job, "qualifications").alias("qualifications_html")))
+
+    return let(let(company, read), told)
 
 
 def kalibrr_api_ads(pages: DataFrame, body: str = "body", origin: str = "https://www.kalibrr.id") -> DataFrame:

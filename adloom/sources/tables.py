@@ -74,8 +74,12 @@ def frontier(sources: DataFrame, max_pages: int) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share; where that is unset (local mode), one of its own."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="adloom-")
+    """A new folder's path below spark.checkpoint.dir, which driver and executors share; in local mode, where that is unset, below one of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="adloom-")
     return f"{top}/{uuid.uuid4().hex}"
 
 

@@ -22,10 +22,10 @@ def test_route(col):
 
 
 def test_detail_urls(col):
-    u = "/opportunities/jobs/backend-engineer/c4cb6d60-1111-2222-3333-444455556666"
+    u = "/opportunities/jobs/harbour-pilot/0f1e2d3c-4b5a-6978-8796-a5b4c3d2e1f0"
     cases = {
-        "jobstreet": {"https://id.jobstreet.com/job/937?x#y": True, "https://id.jobstreet.com/id/job/937/": True, "https://id.jobstreet.com/jobs/937": False, "https://id.jobstreet.com/id/job/a": False},
-        "glints": {f"https://glints.com/id{u}": True, f"https://glints.com/id/en{u}": True, f"https://glints.com{u.replace('backend-engineer', 'explore')}": False, "https://glints.com/id/opportunities/jobs/x": False},
+        "jobstreet": {"https://id.jobstreet.com/job/41?x#y": True, "https://id.jobstreet.com/id/job/41/": True, "https://id.jobstreet.com/jobs/41": False, "https://id.jobstreet.com/id/job/a": False},
+        "glints": {f"https://glints.com/id{u}": True, f"https://glints.com/id/en{u}": True, f"https://glints.com{u.replace('harbour-pilot', 'explore')}": False, "https://glints.com/id/opportunities/jobs/x": False},
         "dealls": {"https://dealls.com/loker/a~b": True, "https://dealls.com/loker/saved~b": False, "https://dealls.com/loker/a": False},
         "kalibrr": {"https://www.kalibrr.id/id-ID/c/x/jobs/1/y": True, "https://www.kalibrr.id/c/x/jobs/1/y/": True, "https://www.kalibrr.id/c/x/jobs/y": False},
     }
@@ -34,23 +34,23 @@ def test_detail_urls(col):
 
 
 def test_canonical_and_resolve(col):
-    assert col(urls.canonical_url, ["https://k.id/jobs/1/y/?utm=x#frag", "http://a.com/", "http://", "/x//"], "a string") == ["https://k.id/jobs/1/y", "http://a.com", "http://", "/x"]
-    got = col(urls.canonical_threads_url, [("https://www.threads.net/@Acme/post/Zz9?xmt=abc#frag", "https://www.threads.com/@Acme/post/Zz9"), ("https://www.threads.net/@A/post/1?x", None), ("https://a.b/c?d", "")], "a string, b string")
-    assert got == ["https://www.threads.com/@Acme/post/Zz9", "https://www.threads.com/@A/post/1", "https://a.b/c"]
+    assert col(urls.canonical_url, ["https://k.id/ads/8/?from=mail#part", "http://a.com/", "http://", "/x//"], "a string") == ["https://k.id/ads/8", "http://a.com", "http://", "/x"]
+    got = col(urls.canonical_threads_url, [("https://www.threads.net/@kiosk/post/Bq3?from=feed#top", "http://threads.net/@Depot/post/Kk7/"), ("https://www.threads.net/@A/post/1?x", None), ("https://a.b/c?d", "")], "a string, b string")
+    assert got == ["https://www.threads.com/@Depot/post/Kk7", "https://www.threads.com/@A/post/1", "https://a.b/c"]
     base = "https://a.b/c/d?e#f"
     assert col(lambda h: urls.resolve_url(F.lit(base), h), ["http://x/y", "//h/p", "/r", "s", "?q", "#z"], "a string") == ["http://x/y", "https://h/p", "https://a.b/r", "https://a.b/c/s", "https://a.b/c/d?q", "https://a.b/c/d?e#z"]
 
 
 def test_search_terms_and_api_urls(col):
-    assert col(urls.kalibrr_search, ["https://www.kalibrr.id/id-ID/home/te/full%20stack", "https://www.kalibrr.id/c/x/jobs/1/y"], "a string") == ["full stack", ""]
-    assert col(urls.dealls_search, ["https://dealls.com/?a=1&searchJob=data+engineer&b", "https://dealls.com/"], "a string") == ["data engineer", ""]
-    assert col(lambda s: urls.kalibrr_api_url(s, F.lit(30)), ["developer"], "a string")[0].endswith("/kjs/job_board/search?limit=15&offset=30&text=developer")
+    assert col(urls.kalibrr_search, ["https://www.kalibrr.id/id-ID/home/te/tram%20driver", "https://www.kalibrr.id/c/x/jobs/1/y"], "a string") == ["tram driver", ""]
+    assert col(urls.dealls_search, ["https://dealls.com/?a=1&searchJob=night+nurse&b", "https://dealls.com/"], "a string") == ["night nurse", ""]
+    assert col(lambda s: urls.kalibrr_api_url(s, F.lit(30)), ["welder"], "a string")[0].endswith("/kjs/job_board/search?limit=15&offset=30&text=welder")
     assert col(urls.dealls_href, [("a", " b "), ("", "b"), (None, "b")], "a string, b string") == ["/loker/a~b", "", ""]
     assert col(urls.kalibrr_href, [("c", 7, "s"), ("c", 0, "s"), (None, 7, "s")], "a string, b long, c string") == ["/id-ID/c/c/jobs/7/s", "", ""]
 
 
 def test_salary_text(col):
-    cases = {"Gaji Perbulan Rp. 3.500.000 - Rp. 9.000.000": "Rp. 3.500.000 - Rp. 9.000.000", "SGD 2,300–3,500/month": "SGD 2,300–3,500/month", "Gaji kompetitif": "", "Corp., Ltd": "rp.,", "Please pay, then": "pay,"}
+    cases = {"Upah sebulan Rp. 4.100.000 - Rp. 6.200.000 ya": "Rp. 4.100.000 - Rp. 6.200.000", "from MYR 1,800–2,900/year on": "MYR 1,800–2,900/year", "upah menarik": "", "Corp., Ltd": "rp.,", "Please pay, then": "pay,"}
     got = col(salary.find_salary, list(cases), "a string")
     assert [g.strip().lower() for g in got] == [v.lower() for v in cases.values()]
     assert col(lambda c: salary.find_salary(c, strict=True), ["Please pay, then USD 5k"], "a string") == ["USD 5k"]
@@ -60,24 +60,28 @@ def test_salary_text(col):
 
 def test_board_salaries(col):
     schema = "a string, b long, c long"
-    rows = [("unpaid", None, None), ("paid", None, None), ("paid", 6000000, 7500000), ("paid", 10000000, 10000000), ("paid", 0, 5)]
-    assert col(salary.dealls_salary, rows, schema) == ["Unpaid", "Negotiable", "Rp6.000.000 – Rp7.500.000", "Rp10.000.000", "Rp5"]
-    rows = [(False, 5, 6, "month"), (True, 5000000, 6000000, "Month"), (None, 10000000, 10000000, "year"), (True, None, None, "x"), (None, 5, 0, "x")]
-    assert col(salary.kalibrr_salary, rows, "a boolean, b long, c long, d string") == ["Gaji Tidak Diumumkan", "Rp5.000.000 – Rp6.000.000 / bulan", "Rp10.000.000 / tahun", "Gaji Tidak Diumumkan", "Rp5"]
+    rows = [("unpaid", None, None), ("paid", None, None), ("paid", 3200000, 4100000), ("paid", 8800000, 8800000), ("paid", 0, 5)]
+    assert col(salary.dealls_salary, rows, schema) == ["Unpaid", "Negotiable", "Rp3.200.000 – Rp4.100.000", "Rp8.800.000", "Rp5"]
+    rows = [(False, 5, 6, "month"), (True, 2500000, 2600000, "Week"), (None, 9900000, 9900000, "hourly"), (True, None, None, "x"), (None, 5, 0, "x")]
+    assert col(salary.kalibrr_salary, rows, "a boolean, b long, c long, d string") == ["Gaji Tidak Diumumkan", "Rp2.500.000 – Rp2.600.000 / minggu", "Rp9.900.000 / jam", "Gaji Tidak Diumumkan", "Rp5"]
     assert col(salary.default_salary, [("glints", ""), ("dealls", None), ("static", ""), ("dealls", "x")], "a string, b string") == ["Salary Undisclosed", "Negotiable", "", "x"]
     assert col(salary.format_idr, [-1234567, 0], "a long") == ["Rp1.234.567", "Rp0"]
 
 
 def test_captions(col):
-    rows = [
-        "We're Hiring – Warehouse Clerk\nGaji: UMR", "We’re Hiring | Odoo Programmer 📍 Surabaya", "WE’RE HIRING — NESTLÉ SINGAPORE\nSGD 2,300–3,500/month",
-        "Now hiring | Line Cook\nJoin Harbor Bites Pte Ltd in town", "Hiring | Night Auditor\nWhatsApp 1", "LOWONGAN KERJA PT PARAGON TECHNOLOGY AND INNOVATION\nx", "", None,
+    cases = [  # caption, title, company, salary
+        ("Hello all!\nNow hiring: Tram Driver\nUpah: UMK", "Tram Driver", "", "Upah: UMK"),
+        ("we are hiring - Museum Guide 💰 good pay, 📞 later", "Museum Guide", "", "pay,"),
+        ("Lowongan kerja | ★ Bridge Painter", "Bridge Painter", "", ""),
+        ("WE'RE HIRING | ZÜRCHER WERKE\nMYR 900 per hour", "", "ZÜRCHER WERKE", "MYR 900 per hour"),
+        ("Hiring: Harbour Pilot\nAt Kopi Lentera Pte. Ltd. you sail", "Harbour Pilot", "Kopi Lentera Pte. Ltd", ""),
+        ("news of P.T. Samudera Raya; and more", "", "P.T. Samudera Raya", ""),
+        ("join the Blue Door Limited", "", "Blue Door Limited", ""),
+        ("rehiring - Nobody", "", "", ""), ("", "", "", ""), (None, "", "", ""),
     ]
-    got = col(captions.caption_fields, rows, "a string")
-    assert [g.title for g in got][:5] == ["Warehouse Clerk", "Odoo Programmer", "", "Line Cook", "Night Auditor"]
-    assert [g.company for g in got] == ["", "", "NESTLÉ SINGAPORE", "Harbor Bites Pte Ltd", "", "PT PARAGON TECHNOLOGY AND INNOVATION", "", ""]
-    assert "UMR" in got[0].salary and "SGD" in got[2].salary and got[4].salary == ""
-    assert col(captions.looks_like_org, ["ACME CORP", "Software Engineer", "Big shop", "pt maju jaya", ""], "a string") == [True, False, False, True, False]
+    got = col(captions.caption_fields, [c[0] for c in cases], "a string")
+    assert [(g.title, g.company, g.salary) for g in got] == [c[1:] for c in cases]
+    assert col(captions.looks_like_org, ["BLUE DOOR", "Plant Operator", "Small kiosk", "pt laut biru", ""], "a string") == [True, False, False, True, False]
 
 
 def test_best_caption(col):
@@ -96,3 +100,8 @@ def test_prompts(col):
     answers = ['```json\n{"title": " T ", "company": "C"}\n```', 'Sure: {"title":"x","salary":null} ok', "no", '{"title": 5}']
     got = col(prompts.decode_fields, answers, "a string")
     assert [tuple(g) if g else None for g in got] == [("T", "C", ""), ("x", "", ""), None, None]
+
+
+def test_times(col):
+    got = col(lambda c: text.format_ts(text.parse_ts(c)), ["2024-02-29 23:59:01", "2023-02-29 00:00:00", "2024-02-29", "x", "", None], "a string")
+    assert got == ["2024-02-29 23:59:01", None, None, None, None, None]

@@ -72,6 +72,8 @@ def test_insert_if_new_is_idempotent(spark):
     new, skipped = ingest.insert_if_new(old, spark.createDataFrame(rows, CARD))
     assert sorted((r.source_url, r.source_id) for r in new.collect()) == [("b", 1), ("c", None)] and skipped.count() == 3
     assert ingest.new_ads(old, spark.createDataFrame(rows, CARD)).count() == 2
+    twice, rest = ingest.insert_if_new(old, spark.createDataFrame([(1, 1, 0, "t")] * 5, CARD))
+    assert twice.count() == 1 and rest.count() == 4
     again, _ = ingest.insert_if_new(old.union(new.select("source_url")), spark.createDataFrame(rows, CARD))
     assert again.count() == 0
 
@@ -92,9 +94,12 @@ def test_upsert_and_ids(spark):
     changes = spark.createDataFrame([("k", "a", 1), ("k", "b", 2), ("n", "c", 1)], "key string, value string, at int")
     got = ingest.upsert(base.withColumn("at", F.lit(0)), changes, ["key"], ["at"])
     assert sorted((r.key, r.value) for r in got.collect()) == [("k", "b"), ("n", "c"), ("z", "stay")]
-    ids = ingest.assign_ids(spark.range(1000).select((F.col("id") * 7 % 1000).alias("n")), 50, ["n"], 4).orderBy("n").collect()
+    two = spark.createDataFrame([(k % 2, str(k)) for k in range(300)], "a int, b string")
+    got = ingest.assign_ids(two, 0, ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.id)] == sorted((k % 2, str(k)) for k in range(300)) and sorted(r.id for r in got) == list(range(1, 301))
+    ids = ingest.assign_ids(spark.range(1000).select((F.col("id") * 7 % 1000).alias("n")), 50, ["n"]).orderBy("n").collect()
     assert [r.id for r in ids] == list(range(51, 1051))
-    assert ingest.assign_ids(spark.createDataFrame([], "n long"), 0, ["n"], 4).count() == 0
+    assert ingest.assign_ids(spark.createDataFrame([], "n long"), 0, ["n"]).count() == 0
 
 
 def test_plan_and_summary(spark):
@@ -126,8 +131,8 @@ def test_lists(spark, ads):
 
 
 def test_bulk(spark, ads):
-    changes = spark.createDataFrame([(1, "applied"), (2, "bad"), (99, "ignored")], "id long, status string")
-    after = {r.id: r.status for r in review.apply_status(ads, changes).collect()}
+    changes = spark.createDataFrame([(1, "rejected", 1), (1, "applied", 2), (2, "bad", 3), (99, "ignored", 4)], "id long, status string, at int")
+    after = {r.id: r.status for r in review.apply_status(ads, changes, ("at",)).collect()}
     assert after[1] == "applied" and after[2] == "new" and len(after) == 7
     assert [r.id for r in review.unknown_ids(ads, changes).collect()] == [99]
     letters = spark.createDataFrame([(1, 1, "a", dt.datetime(2024, 1, 1)), (2, 1, "b", dt.datetime(2024, 1, 1)), (3, 5, "c", dt.datetime(2024, 1, 1)), (4, 77, "d", None)], "id long, job_ad_id long, content string, created_at timestamp")
