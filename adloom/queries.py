@@ -115,9 +115,19 @@ def static_pages(t, spark, sf):
     return adapters.parse_pages(pages).select("page_id", "source_url", "title", "company", "adapter", "kind", "salary", "description")
 
 
-@query()
+_MARK = "regexp_replace(regexp_replace(regexp_replace(a, '<br>', chr(10), 'g'), '</?(?:h1|p|ul|div)>', chr(1), 'g'), '<li>', chr(1) || '• ', 'g')"
+_LINES = f"regexp_replace(regexp_replace(regexp_replace({_MARK}, '</li>', chr(1), 'g'), '<[^>]*>', '', 'g'), '\x01+', chr(1), 'g')"
+_BROKEN = f"replace(regexp_replace(replace({_LINES}, chr(10) || chr(1), chr(10)), '^\x01', ''), chr(1), chr(10))"
+
+
+@query(rf"""
+WITH x AS (SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) || '<ul><li>first ' || page_id || '</li><li>last</li></ul>end' AS a FROM pages),
+t AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace({_BROKEN}, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&copy;', '©'), '&amp;?', '&', 'g') AS t FROM x)
+SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda y: trim(regexp_replace(y, '\s+', ' ', 'g'))), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS text FROM t""")
 def page_breaks(t, spark, sf):
-    return t("pages").select("page_id", text_with_breaks(F.col("html")).alias("text"))
+    """Articles and a list after each, with breaks."""
+    article = F.concat(F.regexp_extract("html", "(?s)<article>(.*?)</article>", 1), F.lit("<ul><li>first "), F.col("page_id").cast("string"), F.lit("</li><li>last</li></ul>end"))
+    return t("pages").select("page_id", text_with_breaks(article).alias("text"))
 
 
 _CARDS = "SELECT l_suppkey AS source_id, {page} AS page_no, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS pos, 'u' || l_partkey AS source_url FROM lineitem"
