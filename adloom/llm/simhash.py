@@ -452,7 +452,7 @@ def near_components(docs: DataFrame, shingle: int = 4, limit: int = 4, id_col: s
     """(doc_id, fp, component_id) of every row: the smallest doc_id that links of `limit` (5 at most) differing bits of 64 reach, the row's own included."""
     rows = written(fingerprints(docs, shingle, 1, id_col, text_col), TEXT_ROWS)
     fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")))
-    return _named(rows, fps, link(fps, limit, 1, 32, 2, _exact_upper(fps, most), True, most, block))
+    return _named(rows, fps, components(link(fps, limit, 1, 32, 2, _exact_upper(fps, most), True, most, block).select("a", "b")))
 
 
 def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int = NEAR_SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text",
@@ -463,14 +463,13 @@ def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int =
     fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")))
     near = written(link(fps, limit, lanes, upper + LOWER, segments, upper, False, most, block))
     sets = _sets(near, fps, docs, shingle, id_col, text_col)
-    links = written(_similar(_nearest(near), sets, similarity))
-    links = links.unionByName(_untested(written(components(near.select("a", "b"))), written(components(links)), sets, similarity, block, set_bytes))
-    return _named(rows, fps, links)
+    joined = components(_similar(_nearest(near), sets, similarity))
+    more = written(_untested(components(near.select("a", "b")), joined, sets, similarity, block, set_bytes))
+    return _named(rows, fps, joined if more.isEmpty() else components(joined.unionByName(more)))
 
 
-def _named(rows: DataFrame, fps: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the least (doc_id, text_hash) of the component of their node, as component_id and kept_hash."""
-    joined = written(components(links.select("a", "b")))
+def _named(rows: DataFrame, fps: DataFrame, joined: DataFrame) -> DataFrame:
+    """rows with the least (doc_id, text_hash) of the component of their node, as component_id and kept_hash; joined has components()."""
     rooted = written(fps.join(joined.withColumnRenamed("a", "node"), "node", "left").select("node", "least", F.coalesce("b", "node").alias("root")))
     least = written(rooted.groupBy("root").agg(F.min("least").alias("first")))
     named = written(rooted.join(least, "root", "left").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("kept_hash")))
