@@ -53,7 +53,7 @@ def crawl(sources: DataFrame, pages: DataFrame, api_pages: DataFrame, details: D
     for r in rows[1:]:
         stubs = stubs.unionByName(r.select(*stubs.columns))
     enriched = ingest.enrich(stubs, staged(parse_pages(details)).where((F.col("kind") == "detail") & F.col("error").isNull()))
-    new, skipped = ingest.insert_if_new(existing, staged(enriched))
+    new, skipped = ingest.insert_if_new(existing, enriched)
     failed = listing.listing_errors(plan.where("action = 'crawl'").withColumnRenamed("id", "source_id"), stubs).select("source_id")
     errors = failed.unionByName(plan.where("action = 'error'").select(F.col("id").alias("source_id")))
     told = lambda df, what: df.select(F.lit("run").alias("run"), "source_id", F.lit(what).alias("outcome"))
