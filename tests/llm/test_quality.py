@@ -47,6 +47,43 @@ def test_rules_are_learned(spark, docs, labels):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, q in judged.items() if q.kept}
 
 
+def slow_features(text):
+    t = text or ""
+    n, chars, symbols, dup, repeat, _ = base(t)
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    per = lambda a, b: a / b if b > 0 else 0.0
+    among = lambda chars: sum(c in chars for c in t)
+    upper, digits = sum("A" <= c <= "Z" for c in t), sum("0" <= c <= "9" for c in t)
+    return dict(zip(FEATURES, (float(n), per(chars, n), per(symbols, n), per(among("|"), n), per(among("!"), n), per(among(".,;:?"), n), per(upper, chars),
+                               per(len(set(w)), n), per(repeat, n), per(dup, len(lines)), per(n, len(lines)), per(digits, n)), strict=True))
+
+
+def test_verdicts_against_brute_force(docs, make, edge, labels):
+    found = rules.learn(docs, labels)
+    for df in (docs, make(edge)):
+        for r in rules.judge(df, found).select("text", "quality").collect():
+            f = slow_features(r.text)
+            fits = [q for q in found if all((f[c.feature] > c.threshold) == c.above for c in q)]
+            assert r.quality.rule == (" and ".join(map(str, fits[0])) if fits else None)
+            assert r.quality.kept == (not base(r.text)[-1] and not fits)
+
+
+def test_rules_on_held_out_labels(spark):
+    more = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{more}/{n}.parquet") for n in ("documents", "labels"))
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    found = rules.learn(docs, labels.where(fold != 0))
+    judged = rules.judge(docs.join(labels.where(fold == 0), "doc_id").where("length(text) > 200"), found).select("quality", "_quality.kept").collect()
+    good, bad = ([r.kept for r in judged if r[0] == y] for y in (1, 0))
+    assert len(bad) > 5 and np.mean(good) > 0.97 and np.mean(bad) < 0.1
+
+
+def test_sample_has_one_row_an_id(spark, make, labels):
+    many = make([(k % 3 + 1, f"text {k} " * 30) for k in range(300)])
+    known = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 5), (None, 1)], "doc_id long, quality int")
+    assert sorted((r._key, r._bad) for r in rules.labelled_sample(many, known, 100).collect()) == [(1, 1), (2, 0)]
+
+
 def test_rules_edges(spark, make, edge, labels):
     assert rules.learn(make([]), labels) == [] == rules.learn(make(edge), labels.limit(0))
     odd = make([(1, "x " * 30, 5)], "quality int")
@@ -93,3 +130,10 @@ def test_classifier_edges(make, edge, labels):
     same = trees.fit(np.zeros((5, 12)), np.ones(5))
     assert 0.5 < same.probability(np.zeros((1, 12)))[0] < 1 and len(same.probability(np.zeros((0, 12)))) == 0
     assert trees.score(make([(1, "a", 0.5)], "quality_score double"), empty).columns[-1] == "_quality_score"
+
+
+def test_null_ids_are_not_held_out(make, edge, spark, monkeypatch):
+    tables = {"documents": make(edge), "labels": spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, quality int")}
+    monkeypatch.setattr(trees, "table", lambda s, d, n: tables[n])
+    got = trees.query(spark, SF).collect()
+    assert len(got) == len(edge) and all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
