@@ -185,11 +185,11 @@ def shape(rows: int, similarity: float, most: int = MOST, recall: float = RECALL
     return upper, segments, max(HELD, ceil(segments * (upper + LOWER) / 64)), ceil(bits * flip + 3.72 * sqrt(bits * flip * (1 - flip)))
 
 
-def _dealt(fps: DataFrame, lanes: int, width: int, segments: int, upper: int, flip_upper: bool) -> DataFrame:
-    """(grp, value, f0, f1, …): the first HELD lanes of each fingerprint in the groups of its segments' upper bits; with flip_upper also as they are with one of those flipped."""
+def _dealt(fps: DataFrame, lanes: int, width: int, segments: int, upper: int, flip_upper: bool, counts: bool = False) -> DataFrame:
+    """(grp, value, f0, f1, …): the first HELD lanes of each fingerprint in the groups of its segments' upper bits; with flip_upper also as they are with one of those flipped. With counts (grp, n) of pieces of the table."""
     flips = np.array([0, *(1 << k for k in range(upper if flip_upper else 0))], np.int64)
     names = [f"f{k}" for k in range(min(lanes, HELD))]
-    step = 16_000 // (8 * segments)
+    step = (50 if counts else 1) * (16_000 // (8 * segments))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,10 +197,13 @@ def _dealt(fps: DataFrame, lanes: int, width: int, segments: int, upper: int, fl
                 f = _lanes(whole.slice(at, step))
                 value = _values(f, width, segments)
                 keys = ((value >> (width - upper))[:, :, None] ^ flips) | (np.arange(segments, dtype=np.int64) << 32)[None, :, None]
+                if counts:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(keys, return_counts=True)], ["grp", "n"])
+                    continue
                 times = np.repeat(np.arange(len(f)), keys[0].size if len(f) else 0)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(value.ravel(), len(flips))), *[pa.array(lane[times]) for lane in f.T[:HELD]]], ["grp", "value", *names])
 
-    return fps.select("fp").mapInArrow(run, "grp long, value long, " + ", ".join(f"{n} long" for n in names))
+    return fps.select("fp").mapInArrow(run, "grp long, n long" if counts else "grp long, value long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _tree(fp: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -317,7 +320,8 @@ def link(fps: DataFrame, limit: int, lanes: int, width: int, segments: int, uppe
     """Links (a, b, gap) of nodes that join what distances of `limit` or less join, within shared entries; fps holds distinct (node, fp). With exact none is lost where segments differ in two bits or fewer."""
     dealt = _dealt(fps, lanes, width, segments, upper, flip_upper=exact)
     names = [f"f{k}" for k in range(min(lanes, HELD))]
-    hot = written(dealt.groupBy("grp").count().where(F.col("count") > 2 * most).select("grp"))
+    sized = _dealt(fps, lanes, width, segments, upper, flip_upper=exact, counts=True).groupBy("grp").agg(F.sum("n").alias("n"))
+    hot = written(sized.where(F.col("n") > 2 * most).select("grp"))
     if hot.isEmpty():
         return _links(dealt.withColumn("part", F.lit(0).cast("long")), limit, width, lanes, upper).distinct()
     mask = (1 << (width - upper)) - 1
