@@ -156,7 +156,7 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray)
     return both / both.sum(axis=1, keepdims=True)
 
 
-def fit(runs: list[tuple[str, list[bytes]]], counts: dict[bytes, dict[str, int]] | None = None, rounds: int = 12, batch: int = 200, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Field:
+def fit(runs: list[tuple[str, list[bytes]]], counts: dict[bytes, dict[str, int]] | None = None, rounds: int = 6, batch: int = 200, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Field:
     """A field from (language, words) runs, and the occurrences of words by language for its lexicon."""
     runs = [(lang, w) for lang, w in runs if w]
     langs = sorted({lang for lang, _ in runs})
