@@ -52,6 +52,7 @@ def crawl(sources: DataFrame, pages: DataFrame, api_pages: DataFrame, details: D
     stubs = rows[0]
     for r in rows[1:]:
         stubs = stubs.unionByName(r.select(*stubs.columns))
+    stubs = staged(stubs)  # read for ads and for errors
     enriched = ingest.enrich(stubs, staged(parse_pages(details)).where((F.col("kind") == "detail") & F.col("error").isNull()))
     new, skipped = ingest.insert_if_new(existing, enriched)
     failed = listing.listing_errors(plan.where("action = 'crawl'").withColumnRenamed("id", "source_id"), stubs).select("source_id")
