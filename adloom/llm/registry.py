@@ -8,6 +8,7 @@ from adloom.llm import (
     hilbert_shards,
     language_crf,
     license_scan,
+    merkle_manifest,
     quality_rules,
     quality_trees,
     simhash,
@@ -26,9 +27,11 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_language_crf": language_crf.query,
     "op10_simhash": simhash.query,
+    "op11_merkle_manifest": merkle_manifest.query,
 }
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
     "op7_warc_fixity": warc_fixity.SQL,
     "op8_url_filter": url_filter.SQL,
+    "op11_merkle_manifest": merkle_manifest.SQL,
 }
