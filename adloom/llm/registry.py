@@ -9,6 +9,7 @@ from adloom.llm import (
     language_crf,
     license_scan,
     merkle_manifest,
+    prefix_trie,
     quality_rules,
     quality_trees,
     simhash,
@@ -28,10 +29,12 @@ QUERIES = {
     "op9_language_crf": language_crf.query,
     "op10_simhash": simhash.query,
     "op11_merkle_manifest": merkle_manifest.query,
+    "op12_prefix_trie": prefix_trie.query,
 }
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
     "op7_warc_fixity": warc_fixity.SQL,
     "op8_url_filter": url_filter.SQL,
     "op11_merkle_manifest": merkle_manifest.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
