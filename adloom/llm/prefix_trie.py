@@ -209,7 +209,7 @@ def _sums(nodes: DataFrame, path: DataFrame) -> DataFrame:
         depth = t["depth"].to_numpy()
         values = np.stack([t["leaf"].to_numpy(), t["worth"].to_numpy()], axis=1)
         parent = _wide(t["parent"]).copy()
-        parent[(depth > 1) & (depth % PIECE == 1)] = 0  # the piece above is told by its own end
+        parent[(depth > 1) & ((depth - 1) % PIECE == 0)] = 0  # the piece above is told by its own end
         keys, sums = subtree_sums(_wide(t["digest"]), parent, depth, values)
         raw = keys.astype("<u8").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([raw[k:k + 16] for k in range(0, len(raw), 16)], pa.binary()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["digest", "n_leaves", "saved_tokens"])
