@@ -13,6 +13,7 @@ from adloom.llm import (
     quality_rules,
     quality_trees,
     simhash,
+    toxicity,
     url_filter,
     warc_fixity,
 )
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_simhash": simhash.query,
     "op11_merkle_manifest": merkle_manifest.query,
     "op12_prefix_trie": prefix_trie.query,
+    "op13_toxicity": toxicity.query,
 }
 ORACLE: dict[str, str] = {
     "op5_decontaminate": decontaminate.SQL,
