@@ -85,15 +85,27 @@ def canonical_threads_url(page: Column, og: Column) -> Column:
     return F.coalesce(post(og), post(page), F.regexp_replace(F.trim(page), r"[?#][\s\S]*$", ""))
 
 
+def without_dots(segments: Column) -> Column:
+    """The path of segments (the first empty, as of `/a/b`) with `.` and `..` steps taken; never above the root."""
+    step = lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(1)))).when(s == ".", a).otherwise(F.concat(a, F.array(s)))
+    taken = lambda x: F.concat(F.aggregate(x, F.array().cast("array<string>"), step), F.when(F.element_at(x, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>")))
+    path = let(segments, lambda x: F.array_join(taken(x), "/"))
+    return let(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+
+
 def resolve_url(base: Column, href: Column) -> Column:
-    """A link of a page as an absolute address; `..` steps are left to the HTML helper."""
+    """A link of a page as an absolute address, dot segments removed from relative ones."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     clean = F.regexp_replace(base, r"[?#][\s\S]*$", "")
-    folder = F.when(clean.rlike(r"://[^/]*/"), F.regexp_replace(clean, r"[^/]*$", "")).otherwise(F.concat(clean, F.lit("/")))
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*([\s\S]*)$", 1)
+    above = let(F.split(url_path(clean), "/"), lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(1))))
+    # empty segments go where a relative path is put together
+    inner = lambda x: F.concat(F.slice(x, 1, 1), F.filter(F.slice(x, F.lit(2), F.greatest(F.size(x) - 2, F.lit(0))), lambda s: s != ""), F.slice(x, F.greatest(F.size(x), F.lit(2)), F.lit(1)))
+    joined = without_dots(let(F.concat(above, F.split(path, "/")), inner))
     return (F.when(href == "", base).when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
             .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), href))
-            .when(href.startswith("/"), F.concat(root, href)).when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#[\s\S]*$", ""), href))
-            .when(href.startswith("?"), F.concat(clean, href)).otherwise(F.concat(folder, href)))
+            .when(href.startswith("/"), F.concat(root, without_dots(F.split(path, "/")), rest)).when(href.startswith("#"), F.concat(F.regexp_replace(base, r"#[\s\S]*$", ""), href))
+            .when(href.startswith("?"), F.concat(clean, href)).otherwise(F.concat(root, joined, rest)))
 
 
 def dealls_href(job_slug: Column, company_slug: Column) -> Column:

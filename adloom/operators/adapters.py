@@ -1,4 +1,4 @@
-"""Page facts to ads, one rule set a board; all as Columns over one scan, chosen by the adapter of the page."""
+"""Page facts to ads, one rule set a board; all as Columns, in one small plan for each adapter that has pages."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from adloom.functions.text import cleanup_text, collapse_ws
 from adloom.operators.ingest import fill_empty_fields
 from adloom.sources.html import page_facts, text_with_breaks
 from adloom.sources.payload import dealls_job, dealls_listing, kalibrr_ad, sections
+from adloom.sources.tables import staged_by
 
 _AD = "struct<source_url: string, title: string, company: string, salary: string, description: string>"
 _ADS = f"array<{_AD}>"
@@ -164,49 +165,107 @@ _OWN: dict[str, Adapter] = {}
 
 
 def register_adapter(name: str, fn: Adapter) -> None:
-    """A user's adapter: pages with facts in, pages with a column `ads` (an array of ad structs) out."""
+    """A user's adapter: pages with facts and kind in, the same with a column `ads` (an array of ad structs) out."""
     _OWN[name] = fn
 
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """(…page columns…, adapter, kind, next_url, error, pos, ad fields) for every ad of every page, and one row with error for pages without.
+def unregister_adapter(name: str) -> None:
+    _OWN.pop(name, None)
+
+
+_ORIGIN = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)"
+
+
+def _by_kind(detail: Column, listing: Column) -> Column:
+    return F.when(F.col("kind") == "detail", detail).when(F.col("kind") == "listing", listing)
+
+
+def _jobstreet(df: DataFrame) -> DataFrame:
+    return df.withColumn("ads", _by_kind(F.array(jobstreet_detail(F.col("facts"), F.col("final_url"))), jobstreet_listing(F.col("facts"))))
+
+
+def _glints(df: DataFrame) -> DataFrame:
+    return df.withColumn("ads", _by_kind(F.array(glints_detail(F.col("facts"), F.col("final_url"))), F.slice(glints_listing(F.col("facts")), 1, 100)))
+
+
+def _dealls(df: DataFrame) -> DataFrame:
+    df = df.withColumn("_job", dealls_job(F.col("facts")["next_data"]))
+    df = df.withColumn("_text1", text_with_breaks(F.col("_job.responsibilities"))).withColumn("_text2", text_with_breaks(F.col("_job.requirements")))
+    return df.withColumn("ads", _by_kind(F.array(dealls_detail(F.col("facts"), F.col("final_url"), F.col("_job"), F.col("_text1"), F.col("_text2"))), dealls_listing_ads(F.col("facts"), F.col("final_url"))))
+
+
+def _kalibrr(df: DataFrame) -> DataFrame:
+    job = F.try_variant_get(F.try_parse_json(F.col("facts")["next_data"]), "$.props.pageProps.job", "variant")
+    origin = F.regexp_extract(F.col("final_url"), _ORIGIN, 1)
+    df = df.withColumn("_k", let(job, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), kalibrr_ad(v, origin))))
+    df = df.withColumn("_text1", text_with_breaks(F.col("_k.description_html"))).withColumn("_text2", text_with_breaks(F.col("_k.qualifications_html")))
+    text = sections(F.col("_text1"), F.col("_text2"), ("Deskripsi Pekerjaan", "Kualifikasi Minimum"))
+    k = F.col("_k")
+    ad = _ad(F.coalesce(k["source_url"], urls.canonical_url(F.col("final_url"))), k["title"], k["company"], k["salary"], text)
+    return df.withColumn("ads", F.when((F.col("kind") == "detail") & k.isNotNull(), F.array(ad)))
 
-    Pages are (requested_url, final_url, body, …). The body is read once; then every rule is an expression in one scan.
+
+def _threads(df: DataFrame) -> DataFrame:
+    return df.withColumn("ads", F.array_compact(F.array(threads_ad(F.col("facts"), F.col("final_url")))))
+
+
+def _static(df: DataFrame) -> DataFrame:
+    return df.withColumn("ads", static_ads(F.col("facts"), F.col("final_url"), F.col("_links")))
+
+
+def _unknown(df: DataFrame) -> DataFrame:
+    return df.withColumn("ads", F.array().cast(_ADS))
+
+
+_BOARDS: dict[str, Adapter] = {"jobstreet": _jobstreet, "glints": _glints, "dealls": _dealls, "kalibrr": _kalibrr, "threads": _threads, "static": _static}
+
+
+def read_facts(pages: DataFrame, also: str | None = None) -> dict[str, DataFrame]:
+    """Pages (requested_url, final_url, body, …) with `adapter` and `facts`, parted by adapter; '' holds those of adapters that are not known.
+
+    The bodies are read once, each for its adapter, and the facts staged in a folder an adapter: what follows is one small plan an adapter, and only for those that have pages.
     """
-    keep = [c for c in pages.columns if c not in ("body", "adapter")]
-    adapter = F.coalesce("adapter", urls.route(F.col("requested_url"))) if "adapter" in pages.columns else urls.route(F.col("requested_url"))
-    df = page_facts(pages.withColumn("adapter", adapter))
-    f, final = F.col("facts"), F.col("final_url")
-    df = df.withColumn("_links", F.when(F.col("adapter") == "static", job_links(f)))
-    df = df.withColumn("kind", page_kind(F.col("adapter"), F.col("requested_url"), final, f, F.col("_links")))
-    # HTML fragments inside JSON: only pages of the two boards have any
-    df = df.withColumn("_job", F.when(F.col("adapter") == "dealls", dealls_job(f["next_data"])))
-    job, k = F.col("_job"), F.try_variant_get(F.try_parse_json(f["next_data"]), "$.props.pageProps.job", "variant")
-    origin = F.regexp_extract(final, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
-    df = df.withColumn("_k", F.when(F.col("adapter") == "kalibrr", let(k, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), kalibrr_ad(v, origin)))))
-    df = df.withColumn("_html1", F.when(F.col("adapter") == "dealls", job["responsibilities"]).otherwise(F.col("_k.description_html")))
-    df = df.withColumn("_html2", F.when(F.col("adapter") == "dealls", job["requirements"]).otherwise(F.col("_k.qualifications_html")))
-    df = df.withColumn("_text1", text_with_breaks(F.col("_html1"))).withColumn("_text2", text_with_breaks(F.col("_html2")))
-    one, is_ = F.array, lambda a, kind: (F.col("adapter") == a) & (F.col("kind") == kind)
-    kal = F.col("_k")
-    kalibrr = _ad(F.coalesce(kal["source_url"], urls.canonical_url(final)), kal["title"], kal["company"], kal["salary"], sections(F.col("_text1"), F.col("_text2"), ("Deskripsi Pekerjaan", "Kualifikasi Minimum")))
-    ads = (F.when(is_("jobstreet", "detail"), one(jobstreet_detail(f, final))).when(is_("jobstreet", "listing"), jobstreet_listing(f))
-           .when(is_("glints", "detail"), one(glints_detail(f, final))).when(is_("glints", "listing"), F.slice(glints_listing(f), 1, 100))
-           .when(is_("dealls", "detail"), one(dealls_detail(f, final, job, F.col("_text1"), F.col("_text2")))).when(is_("dealls", "listing"), dealls_listing_ads(f, final))
-           .when(is_("kalibrr", "detail"), F.when(kal.isNotNull(), one(kalibrr)))
-           .when(F.col("adapter") == "threads", F.array_compact(one(threads_ad(f, final))))
-           .when(F.col("adapter") == "static", static_ads(f, final, F.col("_links"))))
-    good = F.filter(F.coalesce(ads, F.array().cast(_ADS)), lambda a: (F.coalesce(a["title"], F.lit("")) != "") | (F.col("adapter") == "threads"))
-    df = df.withColumn("ads", F.when(f["error"].isNull(), good).otherwise(F.array().cast(_ADS)))
-    parts = [df.where(~F.col("adapter").isin(*_OWN))] if _OWN else [df]
-    for name, fn in _OWN.items():
-        parts.append(fn(df.where(F.col("adapter") == name).drop("ads")).select(*df.columns))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    error = F.when(F.size("ads") == 0, F.coalesce(f["error"], F.concat(F.lit("no job data extracted from "), F.col("final_url"))))
-    out = df.select(*keep, "adapter", "kind", next_page_url(f).alias("next_url"), error.alias("error"), F.posexplode_outer("ads").alias("pos", "ad"))
-    return out.select(*keep, "adapter", "kind", "next_url", "error", "pos", "ad.*")
+    adapter = urls.route(F.col("requested_url"))
+    if "adapter" in pages.columns:
+        adapter = F.coalesce("adapter", adapter)
+    names = [*_BOARDS, *(n for n in _OWN if n not in _BOARDS)]
+    df = page_facts(pages.withColumn("adapter", adapter), adapter="adapter", also=also)
+    board = F.coalesce(*[F.when(F.col("adapter") == n, k) for k, n in enumerate(names)], F.lit(-1))
+    parts = staged_by(df, board)
+    return {names[k] if k >= 0 else "": part for k, part in parts.items()}
+
+
+def ads_of(parts: dict[str, DataFrame]) -> DataFrame:
+    """The rows of parse_pages, from read_facts."""
+    out = None
+    for name, df in parts.items():
+        links = job_links(F.col("facts")) if name in ("", "static") or name in _OWN else F.lit(None).cast("array<struct<href: string, title: string>>")
+        df = df.withColumn("_links", links)
+        df = df.withColumn("kind", page_kind(F.col("adapter"), F.col("requested_url"), F.col("final_url"), F.col("facts"), F.col("_links")))
+        keep = [c for c in df.columns if c not in ("adapter", "facts", "_links", "kind")]
+        df = _OWN[name](df.drop("_links")) if name in _OWN else _BOARDS.get(name, _unknown)(df)
+        good = F.filter(F.coalesce("ads", F.array().cast(_ADS)), lambda a: (F.coalesce(a["title"], F.lit("")) != "") | F.lit(name == "threads"))
+        df = df.withColumn("ads", F.when(F.col("facts")["error"].isNull(), good).otherwise(F.array().cast(_ADS)))
+        error = F.when(F.size("ads") == 0, F.coalesce(F.col("facts")["error"], F.concat(F.lit("no job data extracted from "), F.col("final_url"))))
+        rows = df.select(*keep, "adapter", "kind", next_page_url(F.col("facts")).alias("next_url"), error.alias("error"), F.posexplode_outer("ads").alias("pos", "ad"))
+        rows = rows.select(*keep, "adapter", "kind", "next_url", "error", "pos", "ad.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def static_forms(parts: dict[str, DataFrame]) -> DataFrame:
+    """(requested_url, title, company, salary, description) of every page as one of an unknown site, from read_facts(…, also="static")."""
+    out = None
+    for df in parts.values():
+        ad = static_detail(F.col("facts"), F.col("final_url"))
+        rows = df.where(F.col("facts")["error"].isNull()).select("requested_url", ad.alias("ad")).select("requested_url", "ad.title", "ad.company", "ad.salary", "ad.description")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def parse_pages(pages: DataFrame) -> DataFrame:
+    """(…page columns…, adapter, kind, next_url, error, pos, ad fields) for every ad of every page, and one row with error for pages without."""
+    return ads_of(read_facts(pages))
 
 
 def fill_with(ads: DataFrame, extract: Callable[[str, list[str]], tuple[str, str, str]]) -> DataFrame:

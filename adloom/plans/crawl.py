@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adloom.functions import urls
 from adloom.operators import ingest, listing
-from adloom.operators.adapters import parse_pages, static_detail
-from adloom.sources.html import page_facts, text_with_breaks
+from adloom.operators.adapters import ads_of, parse_pages, read_facts, static_forms
+from adloom.sources.html import text_with_breaks
 from adloom.sources.payload import dealls_api_ads, kalibrr_api_ads, sections
 from adloom.sources.tables import staged
 from adloom.streaming.updates import message_links, wanted_messages
@@ -63,17 +65,20 @@ def crawl(sources: DataFrame, pages: DataFrame, api_pages: DataFrame, details: D
     return {"new": new, "skipped": skipped, "errors": errors, "summary": summary}
 
 
-def ingest_messages(updates: DataFrame, chat_id: int, pages: DataFrame, existing: DataFrame) -> dict[str, DataFrame]:
-    """links, picked, new and results of chat updates; pages are those fetched for the links (requested_url, final_url, body)."""
-    links = message_links(wanted_messages(updates, chat_id))
-    asked = pages.join(links.select(F.col("url").alias("requested_url")).distinct(), "requested_url", "left_semi")
-    parsed = staged(parse_pages(asked))
-    found = parsed.where(F.col("error").isNull()).select("requested_url", "pos", *_FIELDS)
-    facts = page_facts(asked)
-    static = facts.where("facts.error is null").select("requested_url", static_detail(F.col("facts"), F.col("final_url")).alias("ad")).select("requested_url", "ad.title", "ad.company", "ad.salary", "ad.description")
-    picked = ingest.pick_requested(found, static)
-    ordered = links.join(picked.withColumnRenamed("requested_url", "url"), "url")
-    new, _ = ingest.insert_if_new(existing, ordered, ("update_id", "pos"))
+def ingest_messages(updates: DataFrame, chat_id: int, pages: DataFrame | Callable[[DataFrame], DataFrame], existing: DataFrame | Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
+    """links, picked, new and results of chat updates.
+
+    pages are those fetched for the links (requested_url, final_url, body), or a function of the distinct links (url) that
+    gives them; existing has the stored addresses, or is a function of the found ads that gives those they may meet.
+    """
+    links = staged(message_links(wanted_messages(updates, chat_id)))
+    urls_ = links.select("url").distinct()
+    asked = pages(urls_) if callable(pages) else pages.join(urls_.withColumnRenamed("url", "requested_url"), "requested_url", "left_semi")
+    parts = read_facts(asked, also="static")  # a page may be asked for its board's ads and for its static form
+    found = ads_of(parts).where(F.col("error").isNull()).select("requested_url", "pos", *_FIELDS)
+    picked = staged(ingest.pick_requested(found, static_forms(parts)))
+    ordered = staged(links.join(picked.withColumnRenamed("requested_url", "url"), "url"))
+    new, _ = ingest.insert_if_new(existing(ordered) if callable(existing) else existing, ordered, ("update_id", "pos"))
     ok = links.join(picked.select(F.col("requested_url").alias("url"), F.lit(True).alias("_ok")), "url", "left")
     stored = new.select("update_id", "pos", F.lit(True).alias("_new"))
     results = ok.join(stored, ["update_id", "pos"], "left").select("update_id", "url", F.coalesce("_ok", F.lit(False)).alias("ok"), F.coalesce("_new", F.lit(False)).alias("inserted"))

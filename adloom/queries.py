@@ -12,6 +12,7 @@ from adloom.operators import adapters, ingest, listing, review
 from adloom.plans.crawl import page_frontier_new
 from adloom.sources import payload, tables
 from adloom.sources.html import page_facts, text_with_breaks
+from adloom.streaming import target as store
 from adloom.streaming import updates as chat
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -358,7 +359,7 @@ def update_stream(t, spark, sf):
     ads = events.where("value > 1").select(source.alias("source_url"), F.col("event_id").alias("pos"))
     top = tables.new_folder(spark)
     chat.stream_ingest(ads, f"{top}/ads", f"{top}/progress").awaitTermination()
-    return spark.read.option("recursiveFileLookup", "true").schema("source_url string, pos long").parquet(f"{top}/ads")
+    return store.read_rows(spark, f"{top}/ads", "source_url string, pos long")
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 4 <> 0 THEN 'https://dealls.com/loker/job-' || s_suppkey || '~co-' || s_nationkey END AS source_url, CASE WHEN s_suppkey % 4 <> 0 THEN trim(s_name) END AS title,

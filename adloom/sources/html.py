@@ -159,6 +159,17 @@ FACTS = (
     "dealls_cards array<struct<href: string, url: string, title: string, text: string>>, dealls_company string, "
     "dealls_sections array<struct<label: string, html: string>>, leaves array<string>, plaintexts array<string>, error string"
 )
+def _top_level(schema: str) -> list[str]:
+    parts, depth, start = [], 0, 0
+    for i, c in enumerate(schema):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append(schema[start:i].strip())
+            start = i + 1
+    return [*parts, schema[start:].strip()]
+
+
+_NAMES = [x.split(" ")[0].split(":")[0] for x in _top_level(FACTS)]
 #: Fixed values, in this order: where a page may name a salary.
 SALARY_SELECTORS = (
     lambda n: n.get("itemprop") == "baseSalary", lambda n: n.get("itemprop") == "salary", lambda n: "salary" in n.get("class"), lambda n: "Salary" in n.get("class"),
@@ -175,114 +186,204 @@ def _squeeze(s: str) -> str:
     return " ".join(s.split())
 
 
-def facts(html: str | None, base: str | None) -> dict:
-    """The nodes that adapters read, of one page; texts of descriptions come with breaks."""
-    root = parse(html or "")
-    nodes = list(root.walk())
-    base = base or ""
+#: The facts that pages of an adapter are read for; of other pages all are.
+FACTS_OF = {
+    "static": ("title", "h1", "metas", "bodies", "salary_nodes"),
+    "jobstreet": ("automation", "automation_html", "seek_cards"),
+    "glints": ("h1", "gtm_company", "glints_salaries", "glints_overviews", "glints_html", "glints_cards"),
+    "dealls": ("h1", "h2", "next_data", "dealls_cards", "dealls_company", "dealls_sections", "leaves"),
+    "kalibrr": ("next_data",),
+    "threads": ("metas", "plaintexts"),
+}
+
 
-    def url(href: str) -> str | None:
+class Page:
+    """A page's nodes, sorted out by what selectors ask for in one walk; each method reads one fact."""
+
+    def __init__(self, html: str, base: str) -> None:
+        self.html, self.base, self.root = html, base, parse(html)
+        self.nodes = list(self.root.walk())
+        self.tags: dict[str, list[Node]] = {}
+        self.named: list[Node] = []  # nodes that a selector may know by an attribute
+        for n in self.nodes:
+            self.tags.setdefault(n.tag, []).append(n)
+            if n.attrs:
+                self.named.append(n)
+
+    def url(self, href: str) -> str | None:
         try:
-            return urljoin(base, href)
+            return urljoin(self.base, href)
         except ValueError:
             return None
 
-    def first(test, among: list[Node] = nodes) -> Node | None:
-        return next((n for n in among if test(n)), None)
-
-    def text(n: Node | None) -> str:
-        return _squeeze(n.text()) if n is not None else ""
-
-    def automation(name: str, among: list[Node] = nodes) -> str:
-        return text(first(lambda n: n.get("data-automation") == name, among))
-
-    def by_class(part: str, among: list[Node] = nodes) -> list[Node]:
-        return [n for n in among if part in n.get("class")]
-
-    out: dict = {"title": text(first(lambda n: n.tag == "title")), "h1": text(first(lambda n: n.tag == "h1")), "h2": text(first(lambda n: n.tag == "h2"))}
-    out["metas"] = [{"name": n.get("name"), "property": n.get("property"), "content": n.attrs["content"]} for n in nodes if n.tag == "meta" and "content" in n.attrs]
-    out["links"] = [{"href": n.get("href").strip(), "url": url(n.get("href").strip()), "text": _squeeze(n.text()), "rel": n.get("rel"), "hidden": n.get("aria-hidden").strip().lower()}
-                    for n in nodes if n.tag == "a" and "href" in n.attrs]
-    out["bodies"] = [{"selector": k, "text": text(n)} for k, test in BODY_SELECTORS.items() if (n := first(test)) is not None]
-    if not any(b["selector"] == "body" for b in out["bodies"]):
-        out["bodies"].append({"selector": "body", "text": text(root)})
-    salary = [first(test) for test in SALARY_SELECTORS]
-    out["salary_nodes"] = [text(n) or _squeeze(n.get("content")) for n in salary if n is not None]
-    data = first(lambda n: n.tag == "script" and n.get("id") == "__NEXT_DATA__")
-    out["next_data"] = data.text().strip() if data is not None else None
-    out["automation"] = {k: automation(k) for k in ("job-detail-title", "advertiser-name", "job-detail-salary")}
-    details = first(lambda n: n.get("data-automation") == "jobAdDetails")
-    out["automation_html"] = with_breaks(details) if details is not None else ""
-    out["gtm_company"] = next((v for n in nodes if (v := _squeeze(n.get("data-gtm-company-name")))), "")
-    out["glints_salaries"], out["glints_overviews"] = [text(n) for n in by_class("Salary")], [text(n) for n in by_class("JobOverview")]
-    box = next(iter(by_class("JobDescriptionsc__DescriptionContainer")), None)
-    out["glints_html"] = with_breaks(box) if box is not None else ""
-    out["seek_cards"], out["glints_cards"] = [], []
-    for card in nodes:
-        if card.get("data-automation") == "normalJob":
+    def tag(self, *names: str) -> list[Node]:
+        return self.tags.get(names[0], []) if len(names) == 1 else [n for n in self.nodes if n.tag in names]
+
+    def by_class(self, part: str) -> list[Node]:
+        return [n for n in self.named if part in n.get("class")]
+
+    def title(self):
+        return _text(_first(self.tag("title")))
+
+    def h1(self):
+        return _text(_first(self.tag("h1")))
+
+    def h2(self):
+        return _text(_first(self.tag("h2")))
+
+    def metas(self):
+        return [{"name": n.get("name"), "property": n.get("property"), "content": n.attrs["content"]} for n in self.tag("meta") if "content" in n.attrs]
+
+    def links(self):
+        return [{"href": h, "url": self.url(h), "text": _text(n), "rel": n.get("rel"), "hidden": n.get("aria-hidden").strip().lower()}
+                for n in self.tag("a") if "href" in n.attrs for h in (n.get("href").strip(),)]
+
+    def bodies(self):
+        among = self.named + [n for t in ("article", "main", "body") for n in self.tag(t) if not n.attrs]
+        found = _firsts(BODY_SELECTORS.values(), sorted(among, key=_places(self.nodes)) if len(among) > len(self.named) else among)
+        out = [{"selector": k, "text": _text(n)} for k, n in zip(BODY_SELECTORS, found, strict=True) if n is not None]
+        return out if out and out[-1]["selector"] == "body" else [*out, {"selector": "body", "text": _text(self.root)}]
+
+    def salary_nodes(self):
+        return [_text(n) or _squeeze(n.get("content")) for n in _firsts(SALARY_SELECTORS, self.named) if n is not None]
+
+    def next_data(self):
+        data = _first(self.tag("script"), lambda n: n.get("id") == "__NEXT_DATA__")
+        return data.text().strip() if data is not None else None
+
+    def automation(self):
+        return {k: _text(_first(self.named, lambda n, k=k: n.get("data-automation") == k)) for k in ("job-detail-title", "advertiser-name", "job-detail-salary")}
+
+    def automation_html(self):
+        details = _first(self.named, lambda n: n.get("data-automation") == "jobAdDetails")
+        return with_breaks(details) if details is not None else ""
+
+    def gtm_company(self):
+        return _company(self.named)
+
+    def glints_salaries(self):
+        return [_text(n) for n in self.by_class("Salary")]
+
+    def glints_overviews(self):
+        return [_text(n) for n in self.by_class("JobOverview")]
+
+    def glints_html(self):
+        box = _first(self.by_class("JobDescriptionsc__DescriptionContainer"))
+        return with_breaks(box) if box is not None else ""
+
+    def seek_cards(self):
+        out = []
+        for card in (n for n in self.named if n.get("data-automation") == "normalJob"):
             inner = list(card.walk())
             links = [n for n in inner if n.tag == "a"]
-            out["seek_cards"].append({
-                "hrefs": [{"href": n.get("href").strip(), "url": url(n.get("href").strip()), "own": n.get("data-automation") == "job-list-view-job-link"} for n in links if "href" in n.attrs],
-                "title": automation("jobTitle", inner), "anchor": text(links[0]) if links else "", "company": automation("jobCompany", inner), "salary": automation("jobSalary", inner)})
-        if "data-gtm-job-id" in card.attrs:
+            said = {k: _text(_first(inner, lambda n, k=k: n.get("data-automation") == k)) for k in ("jobTitle", "jobCompany", "jobSalary")}
+            hrefs = [{"href": h, "url": self.url(h), "own": n.get("data-automation") == "job-list-view-job-link"} for n in links if "href" in n.attrs for h in (n.get("href").strip(),)]
+            out.append({"hrefs": hrefs, "title": said["jobTitle"], "anchor": _text(_first(links)), "company": said["jobCompany"], "salary": said["jobSalary"]})
+        return out
+
+    def glints_cards(self):
+        out = []
+        for card in (n for n in self.named if "data-gtm-job-id" in n.attrs):
             inner = list(card.walk())
-            links = [n for n in inner if n.tag == "a"]
-            company = next((v for n in (card, *inner) if (v := _squeeze(n.get("data-gtm-company-name")))), "") or text(first(lambda n: n.get("data-cy") == "company_name_job_card", inner))
-            out["glints_cards"].append({
-                "hrefs": [{"href": n.get("href").strip(), "url": url(n.get("href").strip())} for n in links if "href" in n.attrs],
-                "title": text(next(iter(by_class("JobTitle", inner)), None)), "anchor": text(links[0]) if links else "", "company": company,
-                "salaries": [text(n) for n in by_class("Salary", inner)], "overviews": [text(n) for n in by_class("JobOverview", inner)]})
-    out["dealls_cards"] = []
-    for box in [n for n in nodes if n.get("id") == "jobs-container"]:
-        for a in [n for n in box.walk() if n.tag == "a" and "/loker/" in n.get("href")]:
-            named = first(lambda n: n.tag in ("h2", "h3") or "JobTitle" in n.get("class") or "job-title" in n.get("class"), list(a.walk()))
-            out["dealls_cards"].append({"href": a.get("href").strip(), "url": url(a.get("href").strip()), "title": text(named), "text": text(a)})
-    out["dealls_company"] = next((t for n in nodes if n.tag == "a" and "/karir/" in n.get("href") and (t := text(n))), "")
-    out["dealls_sections"] = []
-    for h in [n for n in nodes if n.tag == "h3"]:
-        siblings = h.parent.elements()
-        after = siblings[siblings.index(h) + 1:][:1] or [n for n in siblings if n.tag != "h3"][:1]
-        if after and after[0].children:
-            inside = Node("div", {}, None)
-            inside.children = after[0].children
-            out["dealls_sections"].append({"label": text(h), "html": with_breaks(inside)})
-    out["leaves"] = [text(n) for n in nodes if n.tag in ("span", "li", "p", "div") and not n.elements()]
+            links, classed = [n for n in inner if n.tag == "a"], [n for n in inner if "class" in n.attrs]
+            texts = lambda part: [_text(n) for n in classed if part in n.get("class")]  # noqa: E731, B023
+            company = _company([card, *inner]) or _text(_first(inner, lambda n: n.get("data-cy") == "company_name_job_card"))
+            hrefs = [{"href": h, "url": self.url(h)} for n in links if "href" in n.attrs for h in (n.get("href").strip(),)]
+            out.append({"hrefs": hrefs, "title": _text(_first(classed, lambda n: "JobTitle" in n.get("class"))), "anchor": _text(_first(links)), "company": company,
+                        "salaries": texts("Salary"), "overviews": texts("JobOverview")})
+        return out
+
+    def dealls_cards(self):
+        out = []
+        for box in (n for n in self.named if n.get("id") == "jobs-container"):
+            for a in (n for n in box.walk() if n.tag == "a" and "/loker/" in n.get("href")):
+                named = _first(list(a.walk()), lambda n: n.tag in ("h2", "h3") or "JobTitle" in n.get("class") or "job-title" in n.get("class"))
+                href = a.get("href").strip()
+                out.append({"href": href, "url": self.url(href), "title": _text(named), "text": _text(a)})
+        return out
+
+    def dealls_company(self):
+        return next((t for n in self.tag("a") if "/karir/" in n.get("href") and (t := _text(n))), "")
+
+    def dealls_sections(self):
+        out = []
+        for h in self.tag("h3"):
+            siblings = h.parent.elements()
+            after = siblings[siblings.index(h) + 1:][:1] or [n for n in siblings if n.tag != "h3"][:1]
+            if after and after[0].children:
+                inside = Node("div", {}, None)
+                inside.children = after[0].children
+                out.append({"label": _text(h), "html": with_breaks(inside)})
+        return out
+
+    def leaves(self):
+        return [_text(n) for n in self.tag("span", "li", "p", "div") if not n.elements()]
+
+    def plaintexts(self):
+        from adloom.sources.payload import plaintexts
+
+        return plaintexts(self.html)
+
+
+def _text(n: Node | None) -> str:
+    return _squeeze(n.text()) if n is not None else ""
+
+
+def _first(among: list[Node], test=None) -> Node | None:
+    return next((n for n in among if test is None or test(n)), None)
+
+
+def _firsts(tests, among: list[Node]) -> list[Node | None]:
+    """The first node of each test, in one walk."""
+    tests = list(tests)
+    out, left = [None] * len(tests), set(range(len(tests)))
+    for n in among:
+        for k in [k for k in left if tests[k](n)]:
+            out[k] = n
+            left.discard(k)
+        if not left:
+            break
     return out
 
 
-def page_facts(pages: DataFrame, body: str = "body", base: str = "final_url") -> DataFrame:
-    """pages with a struct `facts` for their body, which is dropped; a page that can't be read has facts.error."""
-    from adloom.sources.payload import plaintexts
+def _places(nodes: list[Node]):
+    at = {id(n): k for k, n in enumerate(nodes)}
+    return lambda n: at[id(n)]
+
+
+def _company(among: list[Node]) -> str:
+    return next((v for n in among if (v := _squeeze(n.get("data-gtm-company-name")))), "")
+
+
+def facts(html: str | None, base: str | None, adapter: str | None = None, also: str | None = None) -> dict:
+    """The nodes that adapters read, of one page; texts of descriptions come with breaks. With an adapter only what its rules read (and those of `also`), and links always."""
+    page = Page(html or "", base or "")
+    wanted = FACTS_OF.get(adapter, _NAMES[:-1]) if adapter else _NAMES[:-1]
+    return {n: getattr(page, n)() for n in {"links", *wanted, *(FACTS_OF[also] if also else ())}}
 
-    names = [x.split(" ")[0].split(":")[0] for x in _top_level(FACTS)]
 
+def page_facts(pages: DataFrame, body: str = "body", base: str = "final_url", adapter: str | None = None, also: str | None = None) -> DataFrame:
+    """pages with a struct `facts` for their body, which is dropped; a page that can't be read has facts.error.
+
+    adapter names a column: pages are then read for the facts of their adapter only (and those of the adapter `also`).
+    """
     @F.pandas_udf(FACTS)
-    def read(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for bodies, bases in parts:
+    def read(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for bodies, bases, adapters in parts:
             for at in range(0, len(bodies), PAGES):  # facts take more room than pages
                 rows = []
-                for b, u in zip(bodies.iloc[at:at + PAGES], bases.iloc[at:at + PAGES], strict=True):
+                for b, u, a in zip(*(x.iloc[at:at + PAGES] for x in (bodies, bases, adapters)), strict=True):
                     try:
-                        row = facts(b, u) | {"plaintexts": plaintexts(b or ""), "error": None}
+                        row = facts(b, u, a, also) | {"error": None}
                     except Exception as e:  # a page must not end the job
                         row = {"error": f"{type(e).__name__}: {e}"}
-                    rows.append({n: row.get(n) for n in names})
-                yield pd.DataFrame(rows, columns=names)
+                    rows.append({n: row.get(n) for n in _NAMES})
+                yield pd.DataFrame(rows, columns=_NAMES)
 
     keep = [c for c in pages.columns if c != body]
+    chosen = F.lit(None).cast("string") if adapter is None else F.col(adapter)
     # so marked, the optimizer neither repeats the helper nor moves it into other expressions
-    return pages.select(*keep, read.asNondeterministic()(F.col(body), F.col(base)).alias("facts"))
-
-
-def _top_level(schema: str) -> list[str]:
-    parts, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            parts.append(schema[start:i].strip())
-            start = i + 1
-    return [*parts, schema[start:].strip()]
+    return pages.select(*keep, read.asNondeterministic()(F.col(body), F.col(base), chosen).alias("facts"))
 
 
 def text_with_breaks(c):

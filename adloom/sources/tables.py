@@ -32,21 +32,37 @@ def list_sources(sources: DataFrame, enabled_only: bool = False) -> DataFrame:
     return (sources.where("enabled") if enabled_only else sources).orderBy("id")
 
 
-def write_ads(ads: DataFrame, path: str, now: Column | None = None) -> None:
-    """Appends ads; an empty status is `new`, a missing scrape time is now; files lie by scrape date."""
+def write_ads(ads: DataFrame, path: str, now: Column | None = None, run: str | None = None) -> None:
+    """Appends the ads of a run; an empty status is `new`, a missing scrape time is now; files lie by run and scrape date.
+
+    A run that is written again, under its name, replaces what it wrote; without a name each call is a run of its own.
+    """
     out = ads.withColumn("status", F.when(F.trim(F.coalesce("status", F.lit(""))) == "", "new").otherwise(F.col("status")))
     out = out.withColumn("scraped_at", F.coalesce("scraped_at", F.current_timestamp() if now is None else now))
     names = [x.split()[0] for x in JOB_ADS.split(", ")]
-    out.select(*names, F.to_date("scraped_at").alias("scraped_on")).write.mode("append").partitionBy("scraped_on").parquet(path)
+    out = out.select(*names, F.to_date("scraped_at").alias("scraped_on"))
+    out.write.mode("overwrite").partitionBy("scraped_on").parquet(f"{path}/run={uuid.uuid4().hex if run is None else run}")
 
 
 def read_ads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(JOB_ADS).parquet(path)
 
 
+def update_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of JSON files as a stream: line, update (a struct), and why it can't be used: `no json`, `no update id`, else null. Blank lines are none."""
+    lines = spark.readStream.text(path).select(F.col("value").alias("line")).where(F.trim("line") != "")
+    parsed = lines.withColumn("update", F.from_json("line", UPDATE))
+    return parsed.withColumn("reason", F.when(F.try_parse_json("line").isNull(), "no json").when(F.col("update.update_id").isNull(), "no update id"))
+
+
 def read_updates(spark: SparkSession, path: str) -> DataFrame:
-    """Chat updates as a stream of JSON files; the checkpoint of the query that reads it holds the progress."""
-    return spark.readStream.schema(UPDATE).json(path)
+    """Chat updates as a stream of JSON files; the checkpoint of the query that reads it holds the progress. Lines that are none are told by dead_letters."""
+    return update_lines(spark, path).where("reason is null").select("update.*")
+
+
+def dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    """(line, reason) of what read_updates leaves out, as a stream."""
+    return update_lines(spark, path).where("reason is not null").select("line", "reason")
 
 
 def updates_after(updates: DataFrame, last: int) -> DataFrame:
@@ -74,8 +90,11 @@ def frontier(sources: DataFrame, max_pages: int) -> DataFrame:
 
 
 def new_folder(spark: SparkSession) -> str:
-    """A new folder's path below spark.checkpoint.dir, which driver and executors share; in local mode, where that is unset, below one of its own."""
+    """A new folder's path below the one that driver and executors share: spark.checkpoint.dir, or the checkpoint folder of the context; in local mode, where neither is set, below one of its own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        top = found.get() if found.isDefined() else None
     if not top:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -88,3 +107,14 @@ def staged(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_by(df: DataFrame, number: Column) -> dict[int, DataFrame]:
+    """df staged in parts by a small number; the numbers that occur with their parts, all rows under -1 if there are none."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    df.withColumn("_part", number.cast("int")).write.partitionBy("_part").parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)]
+    found = sorted(int(n.split("=")[1]) for n in names if n.startswith("_part="))
+    read = lambda where: spark.read.schema(df.schema).parquet(where)
+    return {k: read(f"{path}/_part={k}") for k in found} or {-1: read(path)}

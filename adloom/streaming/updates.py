@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from adloom.functions.text import extract_urls
 from adloom.functions.urls import route
 from adloom.operators.ingest import new_ads
+from adloom.sources.tables import staged
+from adloom.streaming import target as store
 
-#: Hash ranges of addresses in a stream's target.
-BUCKETS = 32
 #: Replies to a message.
 REPLIES = {"success": "Processed ✅", "failure": "Couldn't process ⚠️"}
 
@@ -55,12 +57,49 @@ def high_water_mark(updates: DataFrame, last: int = 0) -> DataFrame:
     return updates.agg(F.greatest(F.coalesce(F.max("update_id"), F.lit(last)), F.lit(last)).cast("long").alias("last_update_id"))
 
 
+def guard_replays(updates: DataFrame, lanes: int = 16) -> DataFrame:
+    """A stream of updates without those that are told again: state holds the greatest id seen so far, one number a lane.
+
+    Updates are dealt to lanes by their id, so that one chat is no single task; a repeated id comes to its own lane and is not
+    above the mark there. Ids grow as they are given out: a new one below its lane's mark would be taken for a replay. With
+    one lane the mark is that of the whole stream. An update without an id is handed on.
+    """
+    fields = updates.schema
+    rows = updates.select("update_id", F.to_json(F.struct("*")).alias("body"), F.pmod(F.xxhash64("update_id"), F.lit(lanes)).alias("lane"))
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark, seen, top = (state.get[0] if state.exists else None), set(), None
+        for pdf in parts:
+            keep = []
+            for number in pdf["update_id"]:
+                known = pd.notna(number) and ((mark is not None and number <= mark) or number in seen)
+                keep.append(not known)
+                if pd.notna(number):
+                    seen.add(number)
+                    top = number if top is None else max(top, number)
+            yield pdf.loc[keep, ["body"]]
+        if top is not None:
+            state.update((int(top if mark is None else max(top, mark)),))
+
+    fresh = rows.groupBy("lane").applyInPandasWithState(run, "body string", "mark long", "append", GroupStateTimeout.NoTimeout)
+    return fresh.select(F.from_json("body", fields).alias("u")).select("u.*")
+
+
+def drop_repeats(links: DataFrame, within: str = "2 days", key: str = "url", time: str | None = None) -> DataFrame:
+    """A stream of links without those seen before in that time. State holds the links of the time only; a repeat after it passes, and meets insert-if-new.
+
+    The time is that of the micro-batch, by which nothing is ever late and lost; `time` names a column to go by instead, by
+    which what is older than the latest by more than `within` is dropped.
+    """
+    seen = links.withColumn("_seen", F.current_timestamp() if time is None else F.col(time))
+    return seen.withWatermark("_seen", within).dropDuplicatesWithinWatermark([key]).drop("_seen")
+
+
 def stream_ingest(ads: DataFrame, target: str, checkpoint: str, order: tuple[str, ...] = ("pos",), after: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Insert-if-new from a stream of ads into the Parquet table at target.
+    """Insert-if-new from a stream of ads into the table at target (streaming.target).
 
-    Each micro-batch keeps the first row of every source_url, drops those in the target, and writes a folder named by the
-    batch, so that a batch that is run again replaces what it wrote. The target holds the state; nothing grows in memory.
-    `after` gets the new rows and the batch id.
+    Each micro-batch keeps the first row of every source_url, drops those in the target, and adds the rest; one that is run
+    again replaces what it wrote. The target holds the state; nothing grows in memory. `after` gets the new rows and the batch id.
     """
     def run(batch: DataFrame, number: int) -> None:
         fresh = insert_batch(batch, number, target, order)
@@ -71,26 +110,14 @@ def stream_ingest(ads: DataFrame, target: str, checkpoint: str, order: tuple[str
 
 
 def insert_batch(batch: DataFrame, number: int, target: str, order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """The rows of a micro-batch that are new to the Parquet table at target, written to it.
-
-    The table lies in folders by batch and by `BUCKETS` hash ranges of source_url, of which only those are read that the
-    batch falls in. A batch that runs again replaces its folder.
-    """
-    spark = batch.sparkSession
-    dealt = batch.withColumn("bucket", F.pmod(F.xxhash64("source_url"), F.lit(BUCKETS)).cast("int"))
-    ranges = [r[0] for r in dealt.select("bucket").distinct().collect()]  # BUCKETS at most
-    if _has_files(spark, target):
-        before = spark.read.schema("source_url string, bucket int, batch long").parquet(target).where(F.col("bucket").isin(ranges) & (F.col("batch") != number))
-    else:
-        before = spark.createDataFrame([], "source_url string")
-    fresh = new_ads(before.select("source_url"), dealt.withColumn("batch", F.lit(number).cast("long")), order)
-    folder = f"{target}/batch={number}"
-    fresh.drop("batch").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-    return spark.read.schema(f"{_ddl(batch)}, bucket int").parquet(folder).select(*batch.columns)
+    """The rows of a micro-batch that are new to the table at target, added to it and read back."""
+    store.fold(batch.sparkSession, target, store.ddl_of(batch), number)
+    return store.add(new_ads(store.stored(batch, target, number), batch, order), target, number)
 
 
 def check_batch(batch: DataFrame, number: int, results: DataFrame, out: str) -> None:
     """What a micro-batch of messages came to, below `out`: outcomes with their replies, and a row with the summary and the greatest update id seen. A batch that runs again replaces its rows."""
+    results = staged(results)  # what the handler does is done once
     message_outcome(batch, results).write.mode("overwrite").parquet(f"{out}/outcomes/batch={number}")
     summary = check_summary(batch, results).crossJoin(F.broadcast(high_water_mark(batch)))
     summary.write.mode("overwrite").parquet(f"{out}/summary/batch={number}")
@@ -103,12 +130,3 @@ def stream_check(updates: DataFrame, chat_id: int, handle: Callable[[DataFrame,
         check_batch(wanted, number, handle(wanted, number), out)
 
     return updates.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
-
-
-def _has_files(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

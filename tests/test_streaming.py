@@ -2,6 +2,7 @@ import json
 
 
 from adloom.sources import tables
+from adloom.streaming import target as T
 from adloom.streaming import updates as U
 
 UPDATES = [
@@ -53,7 +54,7 @@ def test_stream_ingest(spark, tmp_path):
     rows(("a", "again", 0), ("c", "C", 0))
     go()
     go()
-    got = spark.read.option("recursiveFileLookup", "true").parquet(target).select("source_url", "title").collect()
+    got = T.read_rows(spark, target, "source_url string, title string, pos int").select("source_url", "title").collect()
     assert sorted(map(tuple, got)) == [("a", "first"), ("b", "B"), ("c", "C")]
 
 
@@ -82,3 +83,140 @@ def test_crawl_and_messages(spark):
     m = ingest_messages(ups, 7, fetched, stored)
     assert [(r.source_url, r.title) for r in m["new"].collect()] == [("https://x.y/job", "Cook")]
     assert sorted((r.url, r.ok, r.inserted) for r in m["results"].collect()) == [("https://x.y/job", True, True), ("https://x.y/none", False, False)]
+
+
+def test_replays_across_runs(spark, tmp_path):
+    """An id that was handed on is not handed on again, whatever lane it is in; ids of one batch may come in any order."""
+    def run(lanes):
+        guarded = U.guard_replays(tables.read_updates(spark, str(tmp_path / "in")), lanes)
+        guarded.writeStream.format("json").option("path", str(tmp_path / f"out{lanes}")).option("checkpointLocation", str(tmp_path / f"ck{lanes}")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.update_id for r in spark.read.schema("update_id long").json(str(tmp_path / f"out{lanes}")).collect())
+
+    _write(tmp_path / "in", [UPDATES[4], UPDATES[0], UPDATES[0], UPDATES[2]])
+    assert run(4) == [1, 3, 5] and run(1) == [1, 3, 5]
+    (tmp_path / "in" / "again.json").write_text("\n".join(map(json.dumps, [UPDATES[0], UPDATES[4], {"update_id": 9}, {"update_id": 2}])))
+    assert run(1) == [1, 3, 5, 9]  # 2 lies below the mark
+    assert set(run(4)) >= {1, 3, 5, 9}
+    assert run(4).count(1) == run(4).count(5) == 1
+
+
+def test_repeats_and_their_state(spark, tmp_path):
+    """A link is handed on once within the time; state holds the links of that time only."""
+    schema, seen = "url string, at timestamp", []
+
+    def run(rows, name):
+        spark.createDataFrame(rows, "url string, at string").selectExpr("url", "cast(at as timestamp) at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = U.drop_repeats(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 hour", time="at")
+        q = stream.writeStream.foreachBatch(lambda df, n: seen.extend(r.url for r in df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+
+    run([(f"u{k}", "2024-01-01 00:00:00") for k in range(50)] + [("u1", "2024-01-01 00:10:00")], "a")
+    assert sorted(seen) == sorted(f"u{k}" for k in range(50))
+    run([("u1", "2024-01-01 00:30:00"), ("new", "2024-01-01 00:20:00")], "b")
+    assert seen[50:] == ["new"]
+    left = run([("later", "2024-01-02 00:00:00")], "c")
+    assert seen[51:] == ["later"] and min(left) <= 2  # the links of the first day are gone from the state
+
+
+def test_target_keeps_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "FAN", 2)
+    monkeypatch.setattr(T, "BUCKETS", 2)
+    target, ddl = str(tmp_path / "ads"), "source_url string, pos int"
+    for n in range(9):
+        batch = spark.createDataFrame([(f"u{n}", n), (f"u{n // 2}", n)], ddl)
+        U.insert_batch(batch, n, target)
+        assert len(T.folders(spark, target)) <= 2 + n.bit_length()
+    assert sorted(tuple(r) for r in T.read_rows(spark, target, ddl).collect()) == [(f"u{n}", n) for n in range(9)]
+    assert T.read_rows(spark, target, ddl, before=3).count() <= 3
+    # a batch that is run again replaces what it wrote, and does not meet itself
+    U.insert_batch(spark.createDataFrame([("u8", 8), ("other", 8)], ddl), 8, target)
+    assert {r.source_url for r in T.read_rows(spark, target, ddl).collect()} == {*(f"u{n}" for n in range(9)), "other"}
+    # what a stop leaves beside a longer folder is passed over, then goes
+    T._read(spark, target, ddl, T.folders(spark, target)[-1:]).where("pos = 0").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/rows/span=0-0-0")
+    assert T.read_rows(spark, target, ddl).count() == 10
+    T.fold(spark, target, ddl, 9)
+    assert not (tmp_path / "ads" / "rows" / "span=0-0-0").exists()
+
+
+def test_folders_of_many_batches(spark, tmp_path):
+    """A thousand batches leave FAN folders a level at most: the names alone decide."""
+    live = []
+    for n in range(1000):
+        live.append((0, n, n))
+        level = 0
+        while len(full := [f for f in live if f[0] == level]) >= T.FAN:
+            live = [f for f in live if f[0] != level] + [(level + 1, full[0][1], full[-1][2])]
+            level += 1
+    for f in live:
+        (tmp_path / "rows" / "span={}-{}-{}".format(*f)).mkdir(parents=True)
+        (tmp_path / "rows" / "span={}-{}-{}".format(*f) / "_SUCCESS").touch()
+    assert T.folders(spark, str(tmp_path)) == sorted(live) and len(live) <= 4 * T.FAN
+
+
+def test_unit_stopped_anywhere(spark, tmp_path, monkeypatch):
+    """A unit that stops after any of its writes and is run again gives the tables of one that never stopped."""
+    from adloom.plans import messages as M
+
+    ups = "update_id long, message struct<message_id: long, text: string, chat: struct<id: long>>"
+    batches = [[(1, (1, "https://x.y/a https://x.y/none", (7,))), (2, (1, "https://x.y/a", (8,)))], [(2, None), (3, (2, "https://x.y/b https://x.y/a", (7,))), (1, (9, "https://x.y/b", (7,)))]]
+    asked = []
+
+    def fetch(links):
+        asked.append(1)
+        return links.where("url not like '%none'").selectExpr("url requested_url", "url final_url", "'<h1>Cook</h1>' body")
+
+    def tables_of(target):
+        names = {"links": M.LINKS, "results": M.RESULTS, "outcomes": M.OUTCOMES, "commits": M.COMMITS}
+        out = {n: sorted(map(str, T.read_table(spark, target, n, d).collect())) for n, d in names.items()}
+        return out | {"ads": sorted(map(str, T.read_rows(spark, target, M.ADS).collect()))}
+
+    def unit(target, n):
+        M.message_unit(spark.createDataFrame(batches[n], ups), n, 7, fetch, target)
+
+    whole, broken = str(tmp_path / "whole"), str(tmp_path / "broken")
+    for n in (0, 1):
+        unit(whole, n)
+    assert len(asked) == 2
+    unit(broken, 0)
+    put = T.put
+    for stop in ("links", "outcomes", "commits"):
+        def stopping(df, target, name, number, stop=stop):
+            if name == stop:
+                raise InterruptedError(name)
+            put(df, target, name, number)
+
+        monkeypatch.setattr(T, "put", stopping)
+        try:
+            unit(broken, 1)
+            raise AssertionError("not stopped")
+        except InterruptedError:
+            pass
+        monkeypatch.setattr(T, "put", put)
+        assert T.committed(spark, broken) == [0] and len(tables_of(broken)["results"]) == 2
+    unit(broken, 1)
+    assert tables_of(broken) == tables_of(whole)
+    ends = {r.last_update_id: (r.messages_checked, r.links_found, r.links_scraped, r.errors) for r in T.read_table(spark, whole, "commits", M.COMMITS).collect()}
+    assert ends == {2: (1, 2, 1, 1), 3: (1, 2, 1, 0)}
+
+
+def test_handler_is_asked_once(spark, tmp_path):
+    ups = spark.createDataFrame([(1, (1, "https://x.y/a", (7,)))], "update_id long, message struct<message_id: long, text: string, chat: struct<id: long>>")
+    calls = spark.sparkContext.accumulator(0)
+
+    def note(parts):
+        for pdf in parts:
+            calls.add(len(pdf))
+            yield pdf
+
+    results = U.message_links(ups).selectExpr("update_id", "url", "true ok", "true inserted").mapInPandas(note, "update_id long, url string, ok boolean, inserted boolean")
+    U.check_batch(ups, 0, results, str(tmp_path))
+    assert calls.value == 1
+
+
+def test_bad_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"update_id": 1}\n\n{"update_id": 2, \n[]\n{"update_id": null}\n{"update_id": 3, "message": "text"}\nnull')
+    read = lambda df: df.writeStream.format("memory").queryName("lines").trigger(availableNow=True).start().awaitTermination() or spark.table("lines").collect()
+    assert {r.update_id for r in read(tables.read_updates(spark, str(tmp_path / "in")))} >= {1}
+    assert sorted((r.line, r.reason) for r in read(tables.dead_letters(spark, str(tmp_path / "in"))))[:2] == [("[]", "no update id"), ("null", "no update id")]
