@@ -35,8 +35,8 @@ MAX_ROWS, THRESHOLD = 20_000, 0.5
 LONGEST, WIDE, LEVEL = 24, 4, 16
 #: Words of the dictionaries; letters of a piece; documents, test value (G²) and odds that make a piece telling.
 ORDINARY, MAX_WORDS, PIECE, LEAST, TELLING, ODDS = 3000, 2000, (3, 14), 3, 24.0, 20.0
-#: Margins below this are this; distinct windows that a task remembers.
-FLOOR, REMEMBERED = -8, 200_000
+#: Margins below this are this; distinct windows that a task remembers; characters of texts that are looked at together.
+FLOOR, REMEMBERED, TOGETHER = -8, 400_000, 2_000_000
 
 
 @dataclass
@@ -84,8 +84,11 @@ class Margins:
         return zstandard.ZstdCompressor(dict_data=content, compression_params=shape)
 
     def learn(self, windows: set[str]) -> None:
-        """Compress windows that are not remembered."""
+        """Compress windows that are not remembered, all in one call: a call has a cost of its own."""
         new = list(windows - self.known.keys())
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(windows)
         if new:
             wide = [self._wide(w) for w in new]
             a, b = (c.multi_compress_to_buffer(wide, threads=1) for c in (self.ordinary, self.toxic))
@@ -93,16 +96,19 @@ class Margins:
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """(texts, 4): the three greatest margins and the log of the number of windows."""
-        out = np.full((len(texts), 4), float(FLOOR))
-        for row, text in zip(out, texts, strict=True):
-            windows = self.windows_of((text or "").lower())
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            self.learn(set(windows))
-            margins = np.fromiter(map(self.known.__getitem__, windows), np.int64, len(windows))
-            top = np.sort(np.partition(margins, -3)[-3:] if len(margins) > 3 else margins)[::-1]
-            row[:len(top)] = np.maximum(top, FLOOR)
-            row[3] = np.log(max(1, len(windows)))
+        out, at = np.full((len(texts), 4), float(FLOOR)), 0
+        while at < len(texts):
+            stop, size = at, 0
+            while stop < len(texts) and (stop == at or size < TOGETHER):
+                size, stop = size + len(texts[stop] or ""), stop + 1
+            found = [self.windows_of((t or "").lower()) for t in texts[at:stop]]
+            self.learn(set().union(*found))
+            for row, windows in zip(out[at:stop], found, strict=True):
+                margins = np.fromiter(map(self.known.__getitem__, windows), np.int64, len(windows))
+                top = np.sort(np.partition(margins, -3)[-3:] if len(margins) > 3 else margins)[::-1]
+                row[:len(top)] = np.maximum(top, FLOOR)
+                row[3] = np.log(max(1, len(windows)))
+            at = stop
         return out
 
 
