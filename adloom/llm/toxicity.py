@@ -74,6 +74,16 @@ class Margins:
     def _wide(self, window: str) -> bytes:
         return self.code[np.frombuffer(f" {window} ".encode(), np.uint8)].tobytes()
 
+    def _segments(self, windows: list[str]):
+        """The wide forms of windows as pieces of one buffer; neighbours share the bound between them."""
+        import zstandard
+
+        raw = [w.encode() for w in windows]
+        size = np.fromiter(map(len, raw), np.uint64, len(raw))
+        start = np.cumsum(size + np.uint64(1)) - size - np.uint64(1)
+        data = self.code[np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)].tobytes()
+        return zstandard.BufferWithSegments(data, (np.stack([start, size + np.uint64(2)], axis=1) * np.uint64(WIDE)).tobytes())
+
     def _compressor(self, words: list[str]):
         import zstandard
 
@@ -90,7 +100,7 @@ class Margins:
             self.known.clear()
             new = list(windows)
         if new:
-            wide = [self._wide(w) for w in new]
+            wide = self._segments(new)
             a, b = (c.multi_compress_to_buffer(wide, threads=1) for c in (self.ordinary, self.toxic))
             self.known.update(zip(new, (len(a[k]) - len(b[k]) for k in range(len(new))), strict=True))
 
