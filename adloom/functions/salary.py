@@ -27,6 +27,7 @@ SALARY_TEXT = (
 )
 #: What stands where a board tells no salary.
 DEFAULTS = {"jobstreet": "Salary Undisclosed", "glints": "Salary Undisclosed", "dealls": "Negotiable", "kalibrr": "Gaji Tidak Diumumkan"}
+#: How a period is told.
 PERIODS = {
     "month": "/ bulan", "monthly": "/ bulan", "year": "/ tahun", "yearly": "/ tahun", "annual": "/ tahun",
     "week": "/ minggu", "weekly": "/ minggu", "day": "/ hari", "daily": "/ hari", "hour": "/ jam", "hourly": "/ jam",

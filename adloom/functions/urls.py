@@ -12,7 +12,7 @@ from adloom.functions.columns import let
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
-#: (adapter, how, needle) in order: the first that fits a lower-cased host wins.
+#: Fixed values: (adapter, how, needle) in order; the first that fits a lower-cased host wins.
 ROUTES = (
     ("jobstreet", "contains", "jobstreet"), ("glints", "contains", "glints"), ("dealls", "contains", "dealls"), ("kalibrr", "contains", "kalibrr"),
     ("threads", "equals", "threads.com"), ("threads", "equals", "threads.net"),
@@ -29,6 +29,7 @@ JOB_NEEDLES = (
     "/job/", "/jobs/", "/position/", "/positions/", "/vacancy/", "/vacancies/",
     "/career/", "/careers/", "/opening/", "/openings/", "/role/", "/roles/",
 )
+#: Fixed value: the path of a post.
 THREADS_POST = r"(?i)^/@([^/]+)/post/([^/]+)/?$"
 
 

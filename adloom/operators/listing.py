@@ -31,9 +31,11 @@ def listing_prefix(cards: DataFrame, pages: DataFrame, mode: str = "link", cap:
     pages has a row a fetched page with what tells of its end: link: has_next; pages: ok, total_pages; offset: ok, count
     (and page_no is the offset, in steps of size). A page is walked if all before it were and went on: page numbers without a gap (link and
     pages), ok, with cards, and with a link not seen on an earlier page. The walk goes on after a page with has_next
-    (link), below its total_pages (pages), or while the next offset lies below the first page's count (offset).
+    (link), below its total_pages (pages), or while the next offset lies below the first page's count (offset). Of several
+    rows of a page the least counts: one that is not ok, or tells of fewer pages.
     """
-    pages = pages.dropDuplicates(["source_id", "page_no"])
+    known = {"link": "has_next", "pages": "total_pages", "offset": "count"}[mode]
+    pages = first_seen(pages, ["source_id"], ["page_no"], [c for c in ("ok", known) if c in pages.columns])
     new = first_seen(cards, ["source_id"], ["source_url"], ["page_no", "pos"])
     added = new.groupBy("source_id", "page_no").agg(F.count("*").alias("added"))
     by_source = W.partitionBy("source_id").orderBy("page_no")
