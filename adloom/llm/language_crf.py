@@ -7,12 +7,12 @@ sequences, with the marginals that forward-backward gives. The same forward-back
 document's language is that with the largest share of its words.
 
 Training takes about `max_docs` documents of each language (chosen by hash, at a rate set from the counts of all
-documents), and `WINDOWS` runs of `RUN` words of each. Sequences are strung together from runs of several languages. The
+documents) and at most `max_langs` languages, and `WINDOWS` runs of `RUN` words of each. Sequences are strung together from runs of several languages. The
 lexicon counts all words of those documents in Spark and holds the `lexicon` most frequent; while the weights are
 learned each word counts as unknown half of the time, so that the other features learn to do without it.
 
 Cases: null text and text without a letter are `und` with score 0; a null doc_id is neither learned from nor held out;
-null lang is not learned; repeated rows each get a row; with nothing to learn all are `und`; an empty table gives an empty
+null lang is not learned, nor is one beyond the `max_langs` with the most rows; a repeated doc_id is learned from once; repeated rows each get a row; with nothing to learn all are `und`; an empty table gives an empty
 result; other columns are carried by `predict` only.
 """
 
@@ -26,9 +26,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, table
+from adloom.llm.common import TEXT_ROWS, free_name, table, written
 
-MAX_DOCS, WINDOWS, RUN, LENGTH, LEXICON = 400, 4, 40, 60, 20_000
+MAX_DOCS, WINDOWS, RUN, LENGTH, LEXICON, MAX_LANGS = 400, 4, 40, 60, 20_000, 200
 BUCKETS = 1 << 16
 KEEP = 300_000
 UNKNOWN = "und"
@@ -156,7 +156,7 @@ def forward_backward(emission: np.ndarray, step: np.ndarray, sizes: np.ndarray)
     return both / both.sum(axis=1, keepdims=True)
 
 
-def fit(runs: list[tuple[str, list[bytes]]], counts: dict[bytes, dict[str, int]] | None = None, rounds: int = 6, batch: int = 200, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Field:
+def fit(runs: list[tuple[str, list[bytes]]], counts: dict[bytes, dict[str, int]] | None = None, rounds: int = 12, batch: int = 200, rate: float = 0.05, ridge: float = 1e-4, seed: int = 7) -> Field:
     """A field from (language, words) runs, and the occurrences of words by language for its lexicon."""
     runs = [(lang, w) for lang, w in runs if w]
     langs = sorted({lang for lang, _ in runs})
@@ -214,25 +214,25 @@ def fit(runs: list[tuple[str, list[bytes]]], counts: dict[bytes, dict[str, int]]
     return crf
 
 
-def train(docs: DataFrame, use: Column | None = None, max_docs: int = MAX_DOCS, lexicon: int = LEXICON, **shape) -> Field:
-    """A field learned from text and lang of the documents that `use` admits."""
+def train(docs: DataFrame, use: Column | None = None, max_docs: int = MAX_DOCS, lexicon: int = LEXICON, max_langs: int = MAX_LANGS, **shape) -> Field:
+    """A field learned from text and lang of the documents that `use` admits: at most max_langs languages, those with the most rows, and about max_docs documents of each."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.lit(True) if use is None else use))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not counts:
         return fit([])
     rate = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_docs / n))])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (rate[F.col("lang")] * (1 << 30)))
+    chosen = usable.where(F.col("lang").isin(*counts)).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (rate[F.col("lang")] * (1 << 30)))
     words = F.array_remove(F.split(F.lower("text"), r"[\x00-\x60\x7B-\x7F]+"), "")
+    told = chosen.select("doc_id", F.struct("lang", words.alias("w")).alias("r")).where(F.size("r.w") > 0)
+    once = written(told.groupBy("doc_id").agg(F.min("r").alias("r")).select("doc_id", "r.lang", "r.w"), TEXT_ROWS)  # a row a doc_id, however often it is repeated
     last = F.greatest(F.size("w") - RUN, F.lit(0)) + 1
     runs = F.array(*[F.slice("w", F.pmod(F.xxhash64("doc_id", F.lit(k)), last).cast("int") + 1, RUN) for k in range(WINDOWS)])
-    told = chosen.select("doc_id", "lang", words.alias("w")).where(F.size("w") > 0).select("doc_id", F.struct("lang", runs.alias("runs")).alias("r"))
-    once = told.groupBy("doc_id").agg(F.min("r").alias("r"))  # a row a doc_id, however often it is repeated
-    rows = once.select("doc_id", "r.lang", F.explode("r.runs").alias("run")).toPandas()
+    rows = once.select("doc_id", "lang", F.explode(runs).alias("run")).toPandas()
     rows = rows.sort_values(["doc_id", "lang"], kind="stable")
-    seen = chosen.select("lang", F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == k).alias(f"n{i}") for i, k in enumerate(counts)])
+    seen = once.select("lang", F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"), *[F.count_if(F.col("lang") == k).alias(f"n{i}") for i, k in enumerate(counts)])
     often = seen.orderBy(F.desc("n"), "word").limit(lexicon).collect()
-    told = {r["word"].encode(): {k: r[f"n{i}"] for i, k in enumerate(counts)} for r in often}
-    return fit([(lang, [x.encode() for x in run]) for lang, run in zip(rows["lang"], rows["run"], strict=True)], told, **shape)
+    by_word = {r["word"].encode(): {k: r[f"n{i}"] for i, k in enumerate(counts)} for r in often}
+    return fit([(lang, [x.encode() for x in run]) for lang, run in zip(rows["lang"], rows["run"], strict=True)], by_word, **shape)
 
 
 def label(texts: list[str | None], crf: Field) -> list[tuple[str, float]]:

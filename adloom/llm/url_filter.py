@@ -1,9 +1,11 @@
 """URL filter: host rules, and a weighted vocabulary counted by Aho-Corasick with boundary checks.
 
 A rule `host/path` fits its host and all subdomains if the url's path starts with the rule's; the longest rule wins. Urls
-without a fitting rule are judged by words: a term counts once, where no ASCII letter or digit touches it. The weights of
-a url's distinct terms add up, and `limit` rejects it: a strict term has that weight alone, soft ones of strong classes
-reach it in twos, weak ones in threes.
+without a fitting rule are judged by words: a term counts where no ASCII letter touches it, and a stem counts once, however
+many of its forms stand in the url. The weights of its distinct stems add up, and `limit` rejects it: a strict stem has that
+weight alone; soft ones of two classes that innocent sites rarely name reach it in twos, those of everyday words only in
+threes (pharmacy, malware, piracy, scam), fours (ads) or fives (sales), as `/patch/mirror` and `/sale/offer/trial` are
+common paths.
 
 Cases: a null url, or one without `://`, has an empty host and path, so no rule fits; a null url has no terms and is
 allowed; repeated rows each get a row; an empty table gives an empty result; other columns are carried by `judge` only.
@@ -11,6 +13,7 @@ allowed; repeated rows each get a row; an empty table gives an empty result; oth
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,39 +24,64 @@ from adloom.llm.common import free_name, table
 
 #: (verdict, rule) of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Stems of each class: those that reject alone, then those that count as SOFT.
+#: By class: the weight of a soft stem, stems that reject alone, stems that count as soft. A `-` in a stem may be written as `_` or left out.
 CLASSES = {
-    "adult": (("porn", "porno", "pornhub", "xxx", "sexcam", "sextape", "hentai", "camgirl", "milf", "nsfw", "escort", "fetish", "bdsm", "hookup", "striptease", "erotica"),
-              ("adult", "nude", "naked", "sexy", "cam", "webcam", "dating", "singles", "lingerie", "hottest", "babes")),
-    "gambling": (("casino", "roulette", "blackjack", "baccarat", "sportsbook", "bookmaker", "togel", "judi", "lottery", "sweepstake"),
-                 ("bet", "betting", "poker", "slot", "jackpot", "bingo", "odds", "wager", "gamble", "gambling")),
-    "pharmacy": (("viagra", "cialis", "levitra", "xanax", "tramadol", "oxycontin", "steroid", "modafinil"),
-                 ("pill", "pharmacy", "pharma", "prescription", "dosage", "supplement", "slimming", "detox")),
-    "malware": (("malware", "phishing", "keylogger", "ransomware", "trojan", "botnet", "spyware", "exploitkit"),
-                ("exe", "dropper", "payload", "unlocker", "antivirus", "cleaner", "driver-update")),
-    "piracy": (("warez", "torrent", "keygen", "serialz", "nulled", "cracked", "magnet-link", "camrip"),
-               ("crack", "serial", "patch", "rip", "mirror", "streaming", "modapk", "unlocked")),
-    "scam": (("payday-loan", "bitcoin-doubler", "get-rich", "ponzi", "moneymule", "clickbait", "giftcard-generator"),
-             ("loan", "crypto", "forex", "giveaway", "win", "winner", "bonus", "cashback", "prize", "earn", "mining", "airdrop")),
-    "ads": (("adserver", "doubleclick", "popunder", "adclick", "clickbank", "adtracker"),
-            ("ad", "tracker", "tracking", "click", "affiliate", "popup", "banner", "sponsor", "redirect", "utm", "spam")),
-    "sales": ((), ("free", "cheap", "promo", "deal", "discount", "coupon", "offer", "sale", "buy-now", "limited", "trial", "voucher")),
+    "adult": (0.5, """porn porno pornhub pornstar pornofilm pornovideo videoporno xxx xvideos xnxx xhamster redtube youporn brazzers chaturbate sexcam sextape sexchat sexshop
+        sexfilm sexfilme livesex hentai futanari camgirl milf nsfw bdsm striptease erotica blowjob creampie gangbang cumshot deepthroat threesome upskirt bukkake dildo
+        swingerclub fickfilm nutten telefonsex bordell sexkontakte putas culonas tetonas porrno pornodoido bokep ngentot memek bugil film-x""".split(),
+              """adult nude naked sexy sex cam webcam dating single lingerie hottest babe escort fetish hookup voyeur swinger onlyfans erotik erotic erotico erotique sexo sesso nackt
+        nackte nudist topless boobs busty teens playmate strip kinky massage-parlor rencontre flirt casual-dating playboy seitensprung coquine""".split()),
+    "gambling": (0.5, """casino kasino roulette blackjack baccarat sportsbook bookmaker bookie togel judi sbobet slotgacor bandarq dominoqq pokerqq videopoker pokies sweepstake spielbank
+        spielothek sportwetten gluecksspiel spielautomat apuestas apostas tragaperras tragamonedas scommesse paris-sportifs machine-a-sous bwin betway betfair 1xbet bet365 pokerstars
+        casa-de-apuestas kumarhane totobet""".split(),
+                 """bet betting poker slot jackpot bingo odds wager gamble gambling lottery lotto lotterie loteria loterie tombola craps freispiele freespin spins parlay tipster wette
+        wetten toto keno bankroll highroller croupier""".split()),
+    "pharmacy": (0.4, """viagra cialis levitra sildenafil tadalafil vardenafil kamagra xanax tramadol oxycontin oxycodone hydrocodone percocet vicodin modafinil phentermine klonopin ambien valium
+        clomid nolvadex dianabol potenzmittel adderall no-prescription ohne-rezept sin-receta sans-ordonnance""".split(),
+                 """pill pharmacy pharma prescription dosage supplement slimming detox steroid anabolic erectile potency apotheke farmacia pharmacie rezeptfrei medikament generika
+        painkiller opioid testosterone hgh weightloss diet keto garcinia abnehmen adelgazar maigrir nootropic""".split()),
+    "malware": (0.34, """exploitkit keylogger fudcrypter ratbuilder ransomware-builder stealer-logs botnet-rental carding cvv-shop fullz bank-logs ddos-booter stresser skimmer-shop""".split(),
+                """malware phishing ransomware trojan botnet spyware exe dropper payload unlocker antivirus cleaner driver-update pc-repair speedup registry-fix scareware
+        rootkit crypter exploit shellcode backdoor apk-mod toolbar codec-pack flash-update""".split()),
+    "piracy": (0.34, """warez keygen serialz nulled camrip torrentz piratebay thepiratebay 1337x rarbg kickass-torrents putlocker fmovies 123movies solarmovie gomovies streamcloud kinox movie4k
+        cuevana pelisplus repelis filmpalast cracksite getintopc skidrow codex-repack fitgirl-repack iptv-premium dvdscr telesync""".split(),
+               """crack cracked serial patch rip mirror streaming modapk unlocked torrent magnet-link activator repack bluray dvdrip webrip hdrip 1080p x264 subbed dubbed
+        gratis-film pelicula-completa film-complet descargar telecharger kostenlos-ansehen iptv rapidgator uploaded megaupload""".split()),
+    "scam": (0.34, """payday-loan bitcoin-doubler crypto-doubler double-your-bitcoin get-rich-quick moneymule giftcard-generator robux-generator free-robux vbucks-generator
+        money-glitch advance-fee nigerian-prince work-from-home-cash binary-options-robot kredit-ohne-schufa""".split(),
+             """loan crypto forex giveaway win winner bonus cashback prize earn mining airdrop ponzi pyramid binary-options signals investment passive-income rich millionaire
+        kredit darlehen gewinn gewinnspiel prestamo ganar dinero credit-rapide gagner urgent inheritance lucky claim reward token presale doubler""".split()),
+    "ads": (0.25, """adserver doubleclick popunder adclick clickbank adtracker popads propellerads exoclick trafficjunky adsterra adnxs adform taboola outbrain revcontent zedo
+        clickadu hilltopads adcash juicyads plugrush adskeeper""".split(),
+            """ad tracker tracking click affiliate popup banner sponsor redirect utm spam promoted referral impression cpm cpc ppc pixel beacon syndication werbung anzeige
+        publicidad publicite partnerlink clickbait""".split()),
+    "sales": (0.2, (), """free cheap promo deal discount coupon offer sale buy-now limited trial voucher rabatt gutschein angebot billig gratis kostenlos guenstig oferta descuento barato
+        rebajas cupon soldes remise pas-cher promotion sconto offerta murah diskon clearance bargain wholesale replica outlet lowest-price order-now shop-now exclusive hurry""".split()),
 }
-#: Weight of one soft term by class; a url is rejected at LIMIT, which strict terms reach alone and soft ones only together.
-SOFT = {"adult": 0.6, "gambling": 0.6, "pharmacy": 0.5, "malware": 0.5, "piracy": 0.5, "scam": 0.4, "ads": 0.4, "sales": 0.34}
+#: Words that are written together with a strict stem of these classes, before and behind it.
+BEFORE, BEHIND, TOGETHER = ("free", "online", "best", "live", "top", "my"), ("online", "free", "live", "club", "bonus", "hub"), ("adult", "gambling", "pharmacy")
 LIMIT = 1.0
 
 
-def vocabulary(classes: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = CLASSES, soft: dict[str, float] = SOFT) -> dict[str, float]:
-    """Term -> weight: every stem, its plural, and strict stems with what advertises them, written together or with a hyphen."""
-    plural = lambda w: w if w.endswith(("s", "x", "ing", "y")) else w + "s"
-    out: dict[str, float] = {}
-    for name, (strict, weak) in classes.items():
-        for w in weak:
-            out |= dict.fromkeys((w, plural(w)), soft[name])
-        for w in strict:
-            out |= dict.fromkeys((w, plural(w), *(a + gap + w for a in ("free", "online", "best", "live") for gap in ("", "-"))), LIMIT)
-    return out
+def vocabulary(classes: dict[str, tuple] = CLASSES) -> dict[str, tuple[str, float]]:
+    """Term -> (stem, weight): every stem, its plural, and strict stems written together with what advertises them. A stem of several words has each of its joints.
+
+    A term in which another of no less weight stands between bounds is left out: wherever it hits, so does that.
+    """
+    plural = lambda w: w if w.endswith(("s", "x", "z", "ing", "y")) or not w[-1].isalpha() else w + "s"
+    out: dict[str, tuple[str, float]] = {}
+    for name, (weight, strict, soft) in classes.items():
+        for stems, w in ((soft, weight), (strict, LIMIT)):
+            for stem in stems:
+                forms = {stem.replace("-", gap) for gap in ("-", "_", "")}
+                forms |= {plural(f) for f in forms}
+                if w == LIMIT and name in TOGETHER and "-" not in stem:
+                    forms |= {a + stem for a in BEFORE} | {stem + z for z in BEHIND}
+                for f in sorted(forms):
+                    if w >= out.get(f, ("", 0.0))[1]:
+                        out[f] = (stem, w)
+    parts = {t: [p for p in re.split("[^a-z]+", t) if p != t] for t in out}
+    return {t: (stem, w) for t, (stem, w) in out.items() if not any(out.get(p, ("", 0.0))[1] >= w for p in parts[t])}
 
 
 VOCABULARY = vocabulary()
@@ -80,7 +108,7 @@ def rule_of(host_col: Column, path_col: Column, rules: tuple[tuple[str, str], ..
     return out
 
 
-def matcher(words: dict[str, float]):
+def matcher(words: dict[str, tuple[str, float]]):
     """A function of a url: its distinct terms, sorted."""
     import ahocorasick
 
@@ -93,7 +121,7 @@ def matcher(words: dict[str, float]):
         if not url:
             return []
         text, found = url.lower(), set()
-        edge = lambda k: not (0 <= k < len(text) and text[k].isascii() and text[k].isalnum())
+        edge = lambda k: not (0 <= k < len(text) and text[k].isascii() and text[k].isalpha())
         for last, term in automaton.iter(text):
             if edge(last + 1) and edge(last - len(term)):
                 found.add(term)
@@ -102,9 +130,9 @@ def matcher(words: dict[str, float]):
     return terms
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, words: dict[str, float] | None = None, limit: float = LIMIT,
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, words: dict[str, tuple[str, float]] | None = None, limit: float = LIMIT,
           url_col: str = "url", out: str = "url_verdict") -> DataFrame:
-    """pages with one more struct column `out`: host, path, rule, terms, weight (their sum), verdict (allow or block)."""
+    """pages with one more struct column `out`: host, path, rule, terms, weight (that of their stems), verdict (allow or block)."""
     words = VOCABULARY if words is None else words
 
     @F.pandas_udf("terms array<string>, weight double")
@@ -112,7 +140,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, words: d
         find = matcher(words) if words else (lambda u: [])
         for urls in parts:
             found = [find(u) for u in urls]
-            yield pd.DataFrame({"terms": found, "weight": [round(sum(words[t] for t in x), 6) for x in found]})
+            yield pd.DataFrame({"terms": found, "weight": [round(sum(w for _, w in {words[t] for t in x}), 6) for x in found]})
 
     keep = [F.col(f"`{c}`") for c in pages.columns]
     u, names = F.col(f"`{url_col}`"), {k: free_name(pages, k) for k in ("_host", "_path", "_terms", "_rule")}
@@ -130,15 +158,18 @@ def query(spark, sf_dir) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", *[v[c].alias(c) for c in ("host", "path", "rule", "verdict")])
 
 
-_TERMS = ", ".join(f"('{t}', {w})" for t, w in sorted(VOCABULARY.items()))
+_TERMS = ", ".join(f"('{t}', '{stem}', {w})" for t, (stem, w) in sorted(VOCABULARY.items()))
 SQL = rf"""
-WITH v(term, weight) AS (VALUES {_TERMS}), p AS (
+WITH v(term, stem, weight) AS (VALUES {_TERMS}), p AS (
     SELECT page_id, coalesce(url, '') AS url,
         translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
     FROM pages
 ), t AS (
-    SELECT url, sum(weight) AS weight FROM (SELECT DISTINCT url FROM p) JOIN v ON contains(lower(url), term) AND regexp_matches(lower(url), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY url
+    SELECT url, round(sum(weight), 6) AS weight FROM (
+        SELECT url, stem, weight FROM (SELECT DISTINCT url, unnest(string_split_regex(lower(url), '[^a-z]+')) AS term FROM p) JOIN v USING (term)
+        UNION SELECT url, stem, weight FROM (SELECT DISTINCT url FROM p) JOIN (SELECT * FROM v WHERE regexp_matches(term, '[^a-z]')) v
+            ON contains(lower(url), term) AND regexp_matches(lower(url), '(^|[^a-z])' || term || '($|[^a-z])')) GROUP BY url
 ), r AS (
     SELECT p.*, coalesce(weight, 0) AS weight, CASE
         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
