@@ -254,6 +254,16 @@ def test_language(spark, docs, make, edge):
     assert np.mean(p[:len(mixed) // 2] == crf.langs.index("de")) > 0.8 and np.mean(p[len(mixed) // 2:] == crf.langs.index("en")) > 0.8
 
 
+def test_many_languages(spark, make, docs):
+    """Dirty lang values: the most frequent are learned, the driver gets no more of them; repeated ids count once in the lexicon."""
+    plain = docs.where("lang in ('en', 'de')").select("doc_id", "text", "lang")
+    dirty = spark.range(300).selectExpr("id + 100000 as doc_id", "concat('word', id, ' other text here') as text", "concat('x-', id) as lang")
+    crf = language_crf.train(plain.unionByName(dirty).unionByName(plain), max_docs=1000, max_langs=2, rounds=2)
+    assert sorted(crf.langs) == ["de", "en"]
+    once = language_crf.train(plain, max_docs=1000, rounds=2)
+    assert all(np.allclose(getattr(crf, k), getattr(once, k)) for k in ("weight", "step", "entry"))
+
+
 def test_language_of_words_never_seen(spark):
     """Held-out words that neither the lexicon nor the training runs hold are told by their parts; the lexicon tells what parts do not."""
     more = SF.replace("0.001", "0.01")
