@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -27,11 +29,33 @@ DEEPEST = 512
 PAGES = 250
 
 
+#: A tag, comment or doctype whose spelling leaves nothing to guess; attributes are told apart by _ATTR when they are asked for.
+_TOKEN = re.compile(
+    r"<(?:/(?P<end>[a-zA-Z][-.a-zA-Z0-9:_]*)\s*>|(?P<tag>[a-zA-Z][-a-zA-Z0-9:_]*)(?P<attrs>(?:\s+[^\s/>\"'=<]+(?:\s*=\s*(?:'[^']*'|\"[^\"]*\"|[^\s\"'=<>`]+))?)*)\s*(?P<alone>/?)>|!--(?:(?!--\s*>).)*-->|![dD][oO][cC][tT][yY][pP][eE][^>\[]*>)",
+    re.DOTALL)
+_ATTR = re.compile(r"\s+([^\s/>\"'=<]+)(?:\s*=\s*('[^']*'|\"[^\"]*\"|[^\s\"'=<>`]+))?")
+_RAW = {tag: re.compile(rf"</\s*{tag}\s*>", re.IGNORECASE) for tag in ("script", "style")}
+
+
 class Node:
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("_attrs", "children", "parent", "tag")
+
+    def __init__(self, tag: str, attrs: dict[str, str] | str, parent: Node | None) -> None:
+        self.tag, self._attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    @property
+    def attrs(self) -> dict[str, str]:
+        """By name; of a repeated one the first counts."""
+        if isinstance(self._attrs, str):
+            found = {}
+            for name, value in _ATTR.findall(self._attrs):
+                found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+            self._attrs = found
+        return self._attrs
+
+    def has(self, name: str) -> bool:
+        """Is there such an attribute; attributes are told apart only where the name stands among them."""
+        return (not isinstance(self._attrs, str) or name in self._attrs.lower()) and name in self.attrs
 
     def walk(self) -> Iterator[Node]:
         """Elements below, in document order."""
@@ -77,7 +101,7 @@ class _Builder(HTMLParser):
         self.root = self.at = Node("#root", {}, None)
         self.depth = 0
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]] | str) -> None:
         ends, stop = CLOSES.get(tag, (set(), set()))
         if tag in BLOCK:
             ends, stop = ends | {"p"}, stop | {"button", "object"}
@@ -87,7 +111,7 @@ class _Builder(HTMLParser):
                 self.at, self.depth = n.parent, self.depth - up
                 break
             n, up = n.parent, up + 1
-        node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
+        node = Node(tag, attrs if isinstance(attrs, str) else {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
         if tag not in VOID and self.depth < DEEPEST:
             self.at, self.depth = node, self.depth + 1
@@ -103,13 +127,46 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
-def parse(html: str) -> Node:
-    b = _Builder()
-    b.feed(html)
-    b.close()
+def _plainly(html: str) -> Node | None:
+    """The tree of a page that is spelled without doubt, token by token; None for any other."""
+    b, at = _Builder(), 0
+    while (start := html.find("<", at)) >= 0:
+        token = _TOKEN.match(html, start)
+        if token is None:
+            return None
+        if start > at:
+            b.handle_data(unescape(html[at:start]))
+        at = token.end()
+        if end := token["end"]:
+            b.handle_endtag(end.lower())
+        elif tag := token["tag"]:
+            tag = tag.lower()
+            b.handle_starttag(tag, token["attrs"])
+            if token["alone"]:
+                b.handle_endtag(tag)
+            elif tag in _RAW:
+                close = _RAW[tag].search(html, at)
+                if close is None:
+                    return None
+                if close.start() > at:
+                    b.handle_data(html[at:close.start()])
+                at = close.start()
+    if at < len(html):
+        b.handle_data(unescape(html[at:]))
     return b.root
 
 
+def parse(html: str) -> Node:
+    """The tree of a page: plainly if its spelling allows, else by the forgiving reader; both give the same."""
+    root = _plainly(html)
+    if root is None:
+        b = _Builder()
+        b.feed(html)
+        b.close()
+        root = b.root
+    return root
+
+
 def with_breaks(node: Node) -> str:
     """Text with a line for each block, `<br>` and list item; items get `• ` unless they start with a bullet. Not yet cleaned up."""
     out: list[str] = []
@@ -204,11 +261,9 @@ class Page:
         self.html, self.base, self.root = html, base, parse(html)
         self.nodes = list(self.root.walk())
         self.tags: dict[str, list[Node]] = {}
-        self.named: list[Node] = []  # nodes that a selector may know by an attribute
+        self.names: dict[tuple[str, ...], list[Node]] = {}
         for n in self.nodes:
             self.tags.setdefault(n.tag, []).append(n)
-            if n.attrs:
-                self.named.append(n)
 
     def url(self, href: str) -> str | None:
         try:
@@ -219,8 +274,14 @@ class Page:
     def tag(self, *names: str) -> list[Node]:
         return self.tags.get(names[0], []) if len(names) == 1 else [n for n in self.nodes if n.tag in names]
 
+    def having(self, *names: str) -> list[Node]:
+        """Nodes with one of these attributes, in order."""
+        if names not in self.names:
+            self.names[names] = [n for n in self.nodes if n._attrs and any(map(n.has, names))]
+        return self.names[names]
+
     def by_class(self, part: str) -> list[Node]:
-        return [n for n in self.named if part in n.get("class")]
+        return [n for n in self.having("class") if part in n.get("class")]
 
     def title(self):
         return _text(_first(self.tag("title")))
@@ -239,27 +300,29 @@ class Page:
                 for n in self.tag("a") if "href" in n.attrs for h in (n.get("href").strip(),)]
 
     def bodies(self):
-        among = self.named + [n for t in ("article", "main", "body") for n in self.tag(t) if not n.attrs]
-        found = _firsts(BODY_SELECTORS.values(), sorted(among, key=_places(self.nodes)) if len(among) > len(self.named) else among)
-        out = [{"selector": k, "text": _text(n)} for k, n in zip(BODY_SELECTORS, found, strict=True) if n is not None]
+        found = []
+        for name, test in BODY_SELECTORS.items():
+            known = {"article": ("article",), "main": ("main",), "body": ("body",)}.get(name)
+            found.append((name, _first(self.tag(*known) if known else self.having("role", "class", "id"), test)))
+        out = [{"selector": name, "text": _text(n)} for name, n in found if n is not None]
         return out if out and out[-1]["selector"] == "body" else [*out, {"selector": "body", "text": _text(self.root)}]
 
     def salary_nodes(self):
-        return [_text(n) or _squeeze(n.get("content")) for n in _firsts(SALARY_SELECTORS, self.named) if n is not None]
+        return [_text(n) or _squeeze(n.get("content")) for n in _firsts(SALARY_SELECTORS, self.having("itemprop", "class", "id", "data-automation")) if n is not None]
 
     def next_data(self):
         data = _first(self.tag("script"), lambda n: n.get("id") == "__NEXT_DATA__")
         return data.text().strip() if data is not None else None
 
     def automation(self):
-        return {k: _text(_first(self.named, lambda n, k=k: n.get("data-automation") == k)) for k in ("job-detail-title", "advertiser-name", "job-detail-salary")}
+        return {k: _text(_first(self.having("data-automation"), lambda n, k=k: n.get("data-automation") == k)) for k in ("job-detail-title", "advertiser-name", "job-detail-salary")}
 
     def automation_html(self):
-        details = _first(self.named, lambda n: n.get("data-automation") == "jobAdDetails")
+        details = _first(self.having("data-automation"), lambda n: n.get("data-automation") == "jobAdDetails")
         return with_breaks(details) if details is not None else ""
 
     def gtm_company(self):
-        return _company(self.named)
+        return _company(self.having("data-gtm-company-name"))
 
     def glints_salaries(self):
         return [_text(n) for n in self.by_class("Salary")]
@@ -273,7 +336,7 @@ class Page:
 
     def seek_cards(self):
         out = []
-        for card in (n for n in self.named if n.get("data-automation") == "normalJob"):
+        for card in (n for n in self.having("data-automation") if n.get("data-automation") == "normalJob"):
             inner = list(card.walk())
             links = [n for n in inner if n.tag == "a"]
             said = {k: _text(_first(inner, lambda n, k=k: n.get("data-automation") == k)) for k in ("jobTitle", "jobCompany", "jobSalary")}
@@ -283,7 +346,7 @@ class Page:
 
     def glints_cards(self):
         out = []
-        for card in (n for n in self.named if "data-gtm-job-id" in n.attrs):
+        for card in self.having("data-gtm-job-id"):
             inner = list(card.walk())
             links, classed = [n for n in inner if n.tag == "a"], [n for n in inner if "class" in n.attrs]
             texts = lambda part: [_text(n) for n in classed if part in n.get("class")]  # noqa: E731, B023
@@ -295,7 +358,7 @@ class Page:
 
     def dealls_cards(self):
         out = []
-        for box in (n for n in self.named if n.get("id") == "jobs-container"):
+        for box in (n for n in self.having("id") if n.get("id") == "jobs-container"):
             for a in (n for n in box.walk() if n.tag == "a" and "/loker/" in n.get("href")):
                 named = _first(list(a.walk()), lambda n: n.tag in ("h2", "h3") or "JobTitle" in n.get("class") or "job-title" in n.get("class"))
                 href = a.get("href").strip()
@@ -346,11 +409,6 @@ def _firsts(tests, among: list[Node]) -> list[Node | None]:
     return out
 
 
-def _places(nodes: list[Node]):
-    at = {id(n): k for k, n in enumerate(nodes)}
-    return lambda n: at[id(n)]
-
-
 def _company(among: list[Node]) -> str:
     return next((v for n in among if (v := _squeeze(n.get("data-gtm-company-name")))), "")
 

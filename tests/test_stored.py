@@ -87,3 +87,30 @@ def test_parts_of_pages(spark):
 
 def test_shared_folder_of_the_context(spark, tmp_path):
     assert tables.new_folder(spark) != tables.new_folder(spark)
+
+
+def test_both_readers_of_pages_agree(spark):
+    """Whatever is read token by token gives the tree of the forgiving reader, and given pages are."""
+    import random
+
+    def tree(n):
+        return n.tag, dict(n.attrs), [c if isinstance(c, str) else tree(c) for c in n.children]
+
+    def forgiving(text):
+        b = html._Builder()
+        b.feed(text)
+        b.close()
+        return b.root
+
+    bits = ["<", ">", "</", "<p", "<p>", "</p>", "<br/>", '<div class="a b">', "<a href='x'>", "<a href=x/>", "<a b c=d>", '"', "'", "=", " ", "\n", "&amp;", "&lt", "&#65;", "text", "<!-- c -->", "<!--", "-->", "-- >", "<!doctype html>",
+            "<script>", 'var x="<p>";', "</script>", "</script >", "<style>", "</style>", "<li>", "<ul>", "</ul>", "<td>", "<tr>", "<table>", "<input disabled>", '<A HREF="q" href="z">', '<x:y z="&quot;1">', "</ b>", "<![CDATA[x]]>", "<?pi?>", "<1>", "é", "\x00", "<textarea>"]
+    rnd, plain = random.Random(4), 0
+    for _ in range(8000):
+        text = "".join(rnd.choices(bits, k=rnd.randint(1, 9)))
+        root = html._plainly(text)
+        if root is not None:
+            plain += 1
+            assert tree(root) == tree(forgiving(text)), text
+    assert plain > 2000
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
+        assert tree(html._plainly(r.html)) == tree(forgiving(r.html))
