@@ -56,8 +56,8 @@ SMALL = 24
 PIVOTS = 256
 #: Ids that a broadcast may hold (about 16 MB); more are joined by a shuffle of both sides.
 BROADCAST_IDS = 1_000_000
-#: Bytes of shingle sets in a block of a loosely joined group.
-SETS = 4 << 20
+#: Bytes of shingle sets, and members for each of `block`, in a block of a loosely joined group.
+SETS, WIDER = 16 << 20, 8
 #: The bits of a byte, high first, one to a byte of a 64-bit number; sums of up to 255 such numbers are eight counts.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
@@ -380,26 +380,41 @@ def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def joining(sets: list[np.ndarray], root: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Links between sets that join all which similarities of `least` or more join; those of one root are joined already. Any two of different roots are held against each other."""
+    """Links between sets that join all which similarities of `least` or more join; those of one root are joined already.
+
+    Two sets as alike as that share one of the rarest of either: with codes in the order of how many sets hold them, all but
+    ceil(least * size) - 1 of a set's codes, from the rarest on. Only sets that meet there are held against each other, so
+    sets that share a template of frequent codes alone never are; and of two of unlike sizes none.
+    """
     n, size, root, out = len(sets), np.array([len(x) for x in sets], np.int64), root.copy(), []
     stop = np.cumsum(size)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    first = np.append(0, np.cumsum(np.bincount(codes)))  # owners[first[c]:first[c + 1]] hold code c
-    owners = np.repeat(np.arange(n), size)[np.argsort(codes, kind="stable")]
-    for i in range(n - 1):
-        apart = root != root[i]
-        apart[:i] = False  # met at their own turn
-        if not apart.any():
-            continue
-        c = codes[stop[i] - size[i]:stop[i]]
-        many = first[c + 1] - first[c]
-        at = np.arange(many.sum()) + np.repeat(first[c] - np.cumsum(many) + many, many)
-        shared = np.bincount(owners[at], minlength=n)
-        either = size[i] + size - shared
-        for j in np.flatnonzero(apart & (np.where(either > 0, shared / np.maximum(either, 1), 1.0) >= least)).tolist():
-            if root[j] != root[i]:
-                out.append((i, j))
-                root[root == root[j]] = root[i]
+    count = np.bincount(codes)
+    rarity = np.empty(len(count), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
+    own = [np.sort(rarity[codes[e - k:e]]) for e, k in zip(stop.tolist(), size.tolist(), strict=True)]
+    rare = [x[:len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in own]
+    holders: dict[int, list[int]] = {}  # sets before the present one, by the rare codes they hold
+    empty = np.flatnonzero(size == 0).tolist()
+    links = [(empty[0], j) for j in empty[1:]]
+
+    def join(i: int, j: int) -> None:
+        if root[i] != root[j]:
+            out.append((min(i, j), max(i, j)))
+            root[root == root[j]] = root[i]
+
+    for i, j in links:
+        join(i, j)
+    for i in range(n):
+        met = {j for c in rare[i].tolist() for j in holders.get(c, ())} if size[i] else set()
+        for j in sorted(met):
+            if root[i] == root[j] or min(size[i], size[j]) < least * max(size[i], size[j]) - 1e-9:
+                continue
+            shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
+            if shared / (size[i] + size[j] - shared) >= least:
+                join(i, j)
+        for c in rare[i].tolist():
+            holders.setdefault(c, []).append(i)
     return out
 
 
@@ -468,7 +483,7 @@ def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int =
     near = written(link(fps, limit, lanes, upper + LOWER, segments, upper, False, most, block))
     sets = _sets(near, fps, docs, shingle, id_col, text_col)
     joined = components(_similar(_nearest(near), sets, similarity))
-    more = written(_untested(components(near.select("a", "b")), joined, sets, similarity, block, set_bytes))
+    more = written(_untested(components(near.select("a", "b")), joined, sets, similarity, WIDER * block, set_bytes))
     return _named(rows, fps, joined if more.isEmpty() else components(joined.unionByName(more)))
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -187,6 +188,40 @@ def test_joining():
         assert groups(range(40), known + found) == groups(range(40), known + near) and len(found) < 40
 
 
+def test_joining_of_templates():
+    """Sets that share half of their codes with all others: as all pairs say, and in time that grows with their number."""
+    rng = np.random.default_rng(5)
+    shared = rng.integers(0, 1 << 60, 100).astype("<u8")
+    sets = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 60, 100).astype("<u8")])) for _ in range(600)]
+    sets += [np.unique(np.concatenate([x[:-n], rng.integers(0, 1 << 60, n).astype("<u8")])) for x in sets[:100] for n in (5, 30)]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.similarity(sets[i].tobytes(), sets[j].tobytes()) >= 0.8]
+    assert len(near) >= 100
+    assert groups(range(len(sets)), simhash.joining(sets, np.arange(len(sets)), 0.8)) == groups(range(len(sets)), near)
+    many = [np.unique(np.concatenate([shared, rng.integers(0, 1 << 60, 100).astype("<u8")])) for _ in range(20_000)]
+    began = time.process_time()
+    assert simhash.joining(many, np.arange(len(many)), 0.8) == []
+    assert time.process_time() - began < 60
+
+
+def test_recall_where_entries_are_cut(make, monkeypatch):
+    """Table entries beyond a block are cut to blocks with few members in common: of pairs of a family of look-alikes at 0.8 or more, nine of ten are joined still."""
+    monkeypatch.setattr(simhash, "PIVOTS", 2)
+    rng = np.random.default_rng(31)
+    shared, texts = [f"t{k}" for k in range(160)], []
+    for k in range(150):
+        base = shared + [f"o{k}_{x}" for x in range(100)]
+        other = list(base)
+        for at in rng.choice(np.arange(0, 260, 12), 4, replace=False):
+            other[at] = f"e{rng.integers(10**6)}"
+        texts += [" ".join(base), " ".join(other)]
+    near = [(i, i + 1) for i in range(0, 300, 2) if shingle_jaccard(texts[i], texts[i + 1]) >= 0.8]
+    assert len(near) > 100
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(make(list(enumerate(texts))), most=3, block=4).collect()}
+    joined = [got[i] == got[j] for i, j in near]
+    assert np.mean(joined) >= 0.9, np.mean(joined)
+    assert all(got[k] in (k, k - k % 2) for k in range(300))
+
+
 @pytest.mark.parametrize(("bits", "n"), [(2, 2), (3, 3), (4, 1)])
 def test_curve(bits, n):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
