@@ -72,7 +72,7 @@ def test_stages_on_empty_tables(spark, docs, tmp_path):
 def test_registered(spark):
     names = set(entry.queries())
     assert set(registry.QUERIES) | {"pipeline"} <= names and set(registry.ORACLE) <= set(registry.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     assert decontaminate.SIZE == 10
 
 
@@ -80,7 +80,7 @@ def test_queries_match_sql(spark):
     import duckdb
 
     c = duckdb.connect()
-    for n in ("documents", "benchmark", "pages"):
+    for n in ("documents", "benchmark", "pages", "conversations"):
         c.sql(f"create view {n} as select * from '{SF}/{n}.parquet'")
     for name, sql in registry.ORACLE.items():
         df = registry.QUERIES[name](spark, SF)
