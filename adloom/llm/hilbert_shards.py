@@ -1,8 +1,8 @@
 """Sharding by Hilbert curve: rows are ordered along a curve through several metadata dimensions and cut to runs.
 
 Every dimension is a number (strings by their bytes after the prefix that all values share) and is quantised at quantiles
-of all rows. Rows are sorted by the index of their cell on the curve, then by text hash and id, over range partitions; a
-row's rank is its place in its partition plus the rows of the partitions before. Shard s of n gets the ranks from
+of all rows. Rows are sorted by the index of their cell on the curve, then by text hash and id, over range partitions;
+copies of a text all take the least cell that one of them has, so that only groups at a cut part. A row's rank is its place in its partition plus the rows of the partitions before. Shard s of n gets the ranks from
 ceil(s * rows / n) on, so that counts differ by one at most, and each shard's files span few values of every dimension.
 
 Cases: null text has size 1 and CRC 0; null dimensions lie in the first cell; rows equal in every key are dealt in either
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from adloom.llm.common import free_name, table, written
+from adloom.llm.common import free_name, joined_by, table, written
 
 BITS, SHARDS = 5, 8
 
@@ -88,6 +88,10 @@ def shard(docs: DataFrame, dimensions: dict[str, Column], shards: int = SHARDS,
         return pd.Series(curve_index(np.stack([cells(p, np.unique(c or [0.0]), bits) for p, c in zip(parts, cuts, strict=True)], axis=1), bits))
 
     keyed = rows.select("doc_id", "size", "text_crc32", "_hash", curve(*[F.col(f"_d{k}") for k in range(len(numbers))]).alias("curve"))
+    # copies of a text take the least place on the curve that one of them has, so that they are neighbours
+    keyed = written(keyed)
+    groups = written(keyed.groupBy("_hash").agg(F.min("curve").alias("_curve"), F.count("*").alias("_n")))
+    keyed = joined_by(keyed, groups, "_hash", "_n").select("doc_id", "size", "text_crc32", "_hash", F.col("_curve").alias("curve"))
     order = ["curve", "_hash", "doc_id"]
     sorted_ = written(keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "size", "text_crc32", "curve", F.monotonically_increasing_id().alias("_at")))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))

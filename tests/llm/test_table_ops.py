@@ -245,10 +245,22 @@ def test_shards(make, edge, rows):
     assert along == sorted(along)
 
 
+def test_equal_texts_stay_together(spark):
+    """Copies of a text lie in one shard, whatever their metadata, but for those at a cut."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    by = defaultdict(set)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = hilbert_shards.shard(docs, {"lang": F.col("lang"), "source": F.col("source"), "n_chars": F.col("n_chars")}).collect()
+    for r in got:
+        by[texts[r.doc_id]].add(r.shard)
+    assert sum(len(x) > 1 for x in by.values()) <= 7 and len(by) < len(got)
+    assert max(len(x) for x in by.values()) <= 2
+
+
 def test_written_shards_prune(spark, make, tmp_path):
     """Each shard holds a narrow range of every dimension, so that a filter on any of them leaves shards unread."""
     rng = np.random.default_rng(9)
-    rows = [(i, "x" * int(n)) for i, n in enumerate(rng.integers(1, 2000, 4000))]
+    rows = [(i, f"{i:05}".ljust(int(n), "x")) for i, n in enumerate(rng.integers(5, 2000, 4000))]  # no two alike: copies go with their first
     df = make(rows).withColumn("lang", F.element_at(F.array(*map(F.lit, ("de", "en", "fr", "it"))), (F.xxhash64("doc_id") % 4 + 4).cast("int") % 4 + 1))
     hilbert_shards.write_shards(df, {"lang": F.col("lang"), "n_chars": F.col("n_chars")}, str(tmp_path / "s"), 16)
     back = spark.read.parquet(str(tmp_path / "s"))
