@@ -393,28 +393,39 @@ def joining(sets: list[np.ndarray], root: np.ndarray, least: float) -> list[tupl
     rarity = np.empty(len(count), np.int64)
     rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
     own = [np.sort(rarity[codes[e - k:e]]) for e, k in zip(stop.tolist(), size.tolist(), strict=True)]
-    rare = [x[:len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1] for x in own]
-    holders: dict[int, list[int]] = {}  # sets before the present one, by the rare codes they hold
-    empty = np.flatnonzero(size == 0).tolist()
-    links = [(empty[0], j) for j in empty[1:]]
+    kept = np.array([len(x) - int(np.ceil(least * len(x) - 1e-9)) + 1 if len(x) else 0 for x in own], np.int64)
+    rare = np.concatenate([x[:k] for x, k in zip(own, kept.tolist(), strict=True)])
+    ends = np.cumsum(kept)
+    first = np.append(0, np.cumsum(np.bincount(rare, minlength=len(count))))  # holders[first[c]:first[c + 1]] hold the rare code c
+    holders = np.repeat(np.arange(n), kept)[np.argsort(rare, kind="stable")]
+    held = np.zeros(len(count), bool)
 
     def join(i: int, j: int) -> None:
         if root[i] != root[j]:
             out.append((min(i, j), max(i, j)))
             root[root == root[j]] = root[i]
 
-    for i, j in links:
-        join(i, j)
-    for i in range(n):
-        met = {j for c in rare[i].tolist() for j in holders.get(c, ())} if size[i] else set()
-        for j in sorted(met):
-            if root[i] == root[j] or min(size[i], size[j]) < least * max(size[i], size[j]) - 1e-9:
-                continue
-            shared = len(np.intersect1d(own[i], own[j], assume_unique=True))
-            if shared / (size[i] + size[j] - shared) >= least:
-                join(i, j)
-        for c in rare[i].tolist():
-            holders.setdefault(c, []).append(i)
+    empty = np.flatnonzero(size == 0).tolist()
+    for j in empty[1:]:
+        join(empty[0], j)
+    for i in np.flatnonzero(size).tolist():
+        apart = (root != root[i]) & (np.minimum(size, size[i]) >= least * np.maximum(size, size[i]) - 1e-9)
+        apart[:i] = False  # met at their own turn
+        if not apart.any():
+            continue
+        c = rare[ends[i] - kept[i]:ends[i]]
+        many = first[c + 1] - first[c]
+        at = np.arange(many.sum()) + np.repeat(first[c] - np.cumsum(many) + many, many)
+        met = np.zeros(n, bool)
+        met[holders[at]] = True
+        met = np.flatnonzero(met & apart)
+        if not len(met):
+            continue
+        held[own[i]] = True
+        shared = np.add.reduceat(held[np.concatenate([own[j] for j in met])].astype(np.int64), np.cumsum(size[met]) - size[met])
+        held[own[i]] = False
+        for j in met[shared / (size[i] + size[met] - shared) >= least].tolist():
+            join(i, j)
     return out
 
 
