@@ -14,14 +14,16 @@ Two searches use this:
 * `similar_components`: pairs of a Jaccard similarity of shingle sets. Fingerprints are of distinct shingles, as the
   similarity is. Upper bits must agree; `LOWER` bits below them make up the rest of a segment, so that an entry stays as
   small as the corpus grows. The upper bits follow from the number of rows, and the number of segments from those, so that
-  a pair at the threshold is found with the probability `RECALL` at every size. The first `HELD` lanes have their
-  distances counted against a loose limit. Each node's nearest links are then held against the whole shingle sets of both
+  a pair at the threshold shares an entry with the probability `RECALL` at every size. The first `HELD` lanes have their
+  distances counted against a loose limit. Each set's nearest links are then held against the whole shingle sets of both
   texts and go if the similarity is lower. Where that leaves what loose links join in several components, members of different components meet
-  again and are held against each other; so the choice of links decides nothing.
+  again and are held against each other; so the choice of links decides nothing. Pairs that fingerprints keep in different
+  loose groups are found by a prefix join (`_missed`): two sets as alike as that share one of the rarest shingles of both,
+  at places that leave enough behind them. So no pair is lost: fingerprints decide how much work is left, not what is found.
 
 A group beyond `most` fingerprints is dealt finer, by entry: each member goes to the 1 + lower entries it belongs to. An
-entry beyond `block` members is dealt to pairs of blocks where no link may be lost; where links need only join what is
-alike, it is cut to blocks that all hold the same few hundred members drawn by hash, so that the work stays in proportion.
+entry beyond `block` members is dealt to pairs of blocks where no link may be lost; where the prefix join finds the rest,
+it is cut to blocks that all hold the same few hundred members drawn by hash, so that the work stays in proportion.
 
 Components are found by alternating stars in Spark tables.
 
@@ -58,6 +60,8 @@ PIVOTS = 256
 BROADCAST_IDS = 1_000_000
 #: Bytes of shingle sets, and members for each of `block`, in a block of a loosely joined group.
 SETS, WIDER = 16 << 20, 8
+#: Texts whose shingles are counted to put frequent ones last, about, and shingles so put; any order finds the same pairs.
+COUNTED, COMMON = 20_000, 1 << 18
 #: The bits of a byte, high first, one to a byte of a 64-bit number; sums of up to 255 such numbers are eight counts.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 
@@ -121,21 +125,59 @@ def node_of(f: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, distinct: bool = False) -> DataFrame:
-    """(doc_id, text_hash, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of its first HELD lanes with several lanes. With distinct a repeated shingle counts once."""
+def common_shingles(docs: DataFrame, rows: int, shingle: int, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that most of about COUNTED different texts of `rows` hold, ascending, and the rank of each, rarest first: COMMON of them at most, each in two texts or more."""
+    h = text_hash(F.col(f"`{text_col}`"))
+    some = docs.where(F.pmod(h, F.lit(max(1, rows // COUNTED))) == 0).groupBy(h).agg(F.first(F.col(f"`{text_col}`").cast("binary")).alias("t")).select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+            h = np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in b["t"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(h.view(np.int64), return_counts=True)], ["h", "n"])
+
+    counted = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1")
+    h = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()["h"].to_numpy().astype(np.int64).view(np.uint64)  # COMMON rows at most
+    order = np.argsort(h)
+    return h[order], len(h) - order
+
+
+def rarest(h: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of the distinct ascending hashes h in the order that all sets share, common ones last: all but ceil(least * size) - 1."""
+    n = len(h) - ceil(least * len(h) - 1e-9) + 1 if len(h) else 0
+    codes, rank = common
+    at = np.minimum(np.searchsorted(codes, h), len(codes) - 1) if len(codes) else np.zeros(len(h), np.int64)
+    often = codes[at] == h if len(codes) else np.zeros(len(h), bool)
+    first = h[~often]
+    return first[:n] if len(first) >= n else np.concatenate([first, h[often][np.argsort(rank[at[often]])]])[:n]
+
+
+def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, distinct: bool = False,
+                 least: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """(doc_id, text_hash, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of its first HELD lanes with several lanes. With distinct a repeated shingle counts once.
+
+    With least and common also own, a hash of the whole set, the set's size and its `rarest` hashes, in order.
+    """
+    import xxhash
+
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").cast("binary").alias("t"))
+    shared = docs.sparkSession.sparkContext.broadcast(common) if least is not None else None
+    schema = "doc_id long, text_hash long, node long, fp binary" + ", shingles binary" * sets + ", own long, size int, rare binary" * (least is not None)
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
             every = [shingle_hashes(t, shingle) for t in b["t"].to_pylist()]
-            if distinct or sets:
+            if distinct or sets or shared:
                 once = [np.unique(h) for h in every]
             fps = fingerprints_of(once if distinct else every, lanes)
             nodes = node_of(fps.view(">i8").astype(np.int64)[:, :HELD])
             more = [pa.array([h.astype("<u8").tobytes() for h in once], pa.binary())] if sets else []
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(nodes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), *more], ["doc_id", "text_hash", "node", "fp", "shingles"][:4 + len(more)])
+            if shared:
+                own = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in once], np.uint64).view(np.int64)
+                more += [pa.array(own), pa.array([len(h) for h in once], pa.int32()), pa.array([rarest(h, least, shared.value).astype("<u8").tobytes() for h in once], pa.binary())]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(nodes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), *more], names)
 
-    return kind.mapInArrow(run, "doc_id long, text_hash long, node long, fp binary" + ", shingles binary" * sets)
+    return kind.mapInArrow(run, schema)
 
 
 def text_hash(text: Column) -> Column:
@@ -316,6 +358,14 @@ def _block_pairs(b: Column, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda j: F.least(b, j) * n + F.greatest(b, j))
 
 
+def _main_parts(h: Column, main: Column, k: Column, m: Column) -> Column:
+    """Numbers of the parts that a member of hash h goes to: those below k² are pairs of the k blocks of others; beyond, one of the m blocks of main members with a block of others."""
+    own, each = F.pmod(h, k), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    of_main = F.transform(each(k), lambda i: k * k + i * m + F.pmod(h, m))
+    of_other = F.concat(_block_pairs(own, k), F.transform(each(m), lambda j: k * k + own * m + j))
+    return F.when(main, of_main).otherwise(of_other)
+
+
 def link(fps: DataFrame, limit: int, lanes: int, width: int, segments: int, upper: int, exact: bool, most: int = MOST, block: int = BLOCK) -> DataFrame:
     """Links (a, b, gap) of nodes that join what distances of `limit` or less join, within shared entries; fps holds distinct (node, fp). With exact none is lost where segments differ in two bits or fewer."""
     dealt = _dealt(fps, lanes, width, segments, upper, flip_upper=exact)
@@ -355,15 +405,15 @@ def _few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
-def _sets(links: DataFrame, fps: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles) of the ends of links. A node's text is that of its least (doc_id, text_hash); nodes of rows without a doc_id take no part."""
+def _sets(links: DataFrame, whole: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the ends of links. A set's text is that of its least (doc_id, text_hash), or of a row without a doc_id if all are."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    named = written(fps.join(ends, "node", "left_semi").where("least.doc_id is not null").select("node", F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash")))
+    named = written(whole.join(ends, "node", "left_semi").select("node", F.col("least.doc_id").alias("_id"), F.coalesce("least.text_hash", "text_hash").alias("_hash")))
     ids = written(named.select("_id", "_hash").distinct())
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    texts = texts.join(_few(ids), (F.col("doc_id") == F.col("_id")) & (text_hash(F.col("text")) == F.col("_hash")), "left_semi")
+    texts = texts.join(_few(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash(F.col("text")) == F.col("_hash")), "left_semi")
     told = fingerprints(texts, shingle, 1, sets=True).select("doc_id", "text_hash", "shingles")
-    found = told.join(named, (told["doc_id"] == named["_id"]) & (told["text_hash"] == named["_hash"]))
+    found = told.join(named, told["doc_id"].eqNullSafe(named["_id"]) & (told["text_hash"] == named["_hash"]))
     return written(found.groupBy("node").agg(F.min("shingles").alias("shingles")), TEXT_ROWS)
 
 
@@ -443,12 +493,7 @@ def _untested(loose: DataFrame, joined: DataFrame, sets: DataFrame, least: float
     blocks = lambda n, size: F.greatest(F.ceil(n / block), F.ceil(size / set_bytes), F.lit(1)).cast("long")
     apart = written(apart.select("grp", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.bytes")).alias("mains"),
                                  blocks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others")))
-    h, k, m = F.xxhash64("node"), F.col("others"), F.col("mains")
-    own, each = F.pmod(h, k), lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    # parts below others² are pairs of other blocks; beyond, a main block with another one
-    of_main = F.transform(each(k), lambda i: k * k + i * m + F.pmod(h, m))
-    of_other = F.concat(_block_pairs(own, k), F.transform(each(m), lambda j: k * k + own * m + j))
-    parts = F.when(F.col("root") == F.col("main"), of_main).otherwise(of_other)
+    parts = _main_parts(F.xxhash64("node"), F.col("root") == F.col("main"), F.col("others"), F.col("mains"))
     dealt = members.join(apart, "grp").join(sets, "node").select("grp", F.explode(parts).alias("part"), "node", "root", "shingles")
 
     def tell(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,6 +523,133 @@ def _untested(loose: DataFrame, joined: DataFrame, sets: DataFrame, least: float
     return dealt.repartition("grp", "part").sortWithinPartitions("grp", "part").mapInArrow(run, "a long, b long")
 
 
+def crossing(code: np.ndarray, grp: np.ndarray, node: np.ndarray, size: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of nodes of different grp that share a code (ascending) at places `at` which leave enough behind them in both sets for that similarity."""
+    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        shared = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-9)
+        return (grp[i] != grp[j]) & (at[i] + shared <= size[i]) & (at[j] + shared <= size[j])
+
+    starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    sizes = np.diff(np.append(starts, len(code)))
+    left = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= SMALL), sizes))
+    for d in range(1, SMALL):
+        same = np.flatnonzero(code[left[d:]] == code[left[:-d]]) if len(left) > d else left[:0]
+        if not len(same):
+            break
+        i, j = left[same], left[same + d]
+        good = near(i, j)
+        yield node[i[good]], node[j[good]]
+    for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        names, count = np.unique(grp[s:s + n], return_counts=True)
+        main = grp[s:s + n] == names[count.argmax()]  # its members need not meet each other
+        rows = s + np.concatenate([np.flatnonzero(~main), np.flatnonzero(main)])
+        for k, i in enumerate(rows[:n - int(main.sum())].tolist()):
+            j = rows[k + 1:]
+            j = j[near(i, j)]
+            yield np.full(len(j), node[i]), node[j]
+
+
+def _missed(whole: DataFrame, loose: DataFrame, least: float, block: int) -> DataFrame:
+    """Pairs (a, b) of sets of different loose groups that may have that similarity; none that has is left out.
+
+    whole has (node, size, rare), loose (a, b) of components. Sets meet by their rare codes. Codes of more than `block` sets
+    are dealt to pairs of blocks.
+    """
+    grouped = whole.where("size > 0").join(loose.select(F.col("a").alias("node"), F.col("b").alias("grp")), "node", "left").select("node", F.coalesce("grp", "node").alias("grp"), "size", "rare")
+    told = "code long, grp long, node long, size int, at int"
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(k, 500) for x in batches for k in range(0, x.num_rows, 500)):
+            n = np.array([len(x) // 8 for x in b["rare"].to_pylist()], np.int64)
+            code = np.frombuffer(b"".join(b["rare"].to_pylist()), "<i8")
+            at = np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(code), *[pa.array(np.repeat(b[x].to_numpy(), n)) for x in ("grp", "node", "size")], pa.array(at.astype(np.int32))], ["code", "grp", "node", "size", "at"])
+
+    def pairs(rows: dict[str, np.ndarray], run: np.ndarray) -> Iterator[np.ndarray]:
+        """(2, pairs) of rows, some at a time."""
+        some, n = [], 0
+        for a, b in crossing(run, rows["grp"], rows["node"], rows["size"].astype(np.int64), rows["at"].astype(np.int64), least):
+            some.append(np.stack([np.maximum(a, b), np.minimum(a, b)]))
+            n += len(a)
+            if n >= 1 << 18:
+                yield np.unique(np.concatenate(some, axis=1), axis=1)
+                some, n = [], 0
+        if n:
+            yield np.unique(np.concatenate(some, axis=1), axis=1)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of the codes of `block` sets or fewer; the rows of other codes go on, with a and b null."""
+        held, on = [], None  # rows of the last code, whose other rows may come in the next batch, and the last code that goes on
+
+        def tell() -> Iterator[pa.RecordBatch]:
+            rows = {x: np.concatenate([b[x].to_numpy() for b in held]) for x in names}
+            starts = np.flatnonzero(np.append(True, rows["code"][1:] != rows["code"][:-1]))
+            sizes = np.diff(np.append(starts, len(rows["code"])))
+            many = np.repeat((sizes > block) | (rows["code"][starts] == on if on is not None else False), sizes)
+            if many.any():
+                none = pa.nulls(int(many.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, *[pa.array(rows[x][many]) for x in names]], ["a", "b", *names])
+            few = {x: v[~many] for x, v in rows.items()}
+            for a, b in pairs(few, few["code"]) if len(few["code"]) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), t) for t in (pa.int64(),) * 3 + (pa.int32(),) * 2]], ["a", "b", *names])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = batch["code"].to_numpy()
+            cut = int(np.searchsorted(code, code[-1]))
+            if held and (cut or held[0]["code"][0].as_py() != code[0]):
+                if held[0]["code"][0].as_py() == code[0]:
+                    held.append(batch.slice(0, cut))
+                    batch, cut = batch.slice(cut), 0
+                yield from tell()
+                held = []
+            if cut:
+                held = [batch.slice(0, cut)]
+                yield from tell()
+                held = []
+            held.append(batch.slice(cut))
+            if sum(b.num_rows for b in held) > block:
+                yield from tell()
+                held, on = [], code[-1]
+        if held:
+            yield from tell()
+
+    def met_in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of one part
+
+        def tell() -> Iterator[pa.RecordBatch]:
+            rows = {x: np.concatenate([b[x].to_numpy() for b in held]) for x in names}
+            for a, b in pairs(rows, np.zeros(len(rows["code"]), np.int64)):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, part = batch["code"].to_numpy(), batch["part"].to_numpy()
+            starts = [0, *(np.flatnonzero((code[1:] != code[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(code)]
+            for s, e in zip(starts, starts[1:]):
+                if held and (held[0]["code"][0].as_py(), held[0]["part"][0].as_py()) != (code[s], part[s]):
+                    yield from tell()
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from tell()
+
+    names = [x.split()[0] for x in told.split(", ")]
+    dealt = grouped.mapInArrow(codes, told).repartition("code").sortWithinPartitions("code")
+    found = written(dealt.mapInArrow(met, "a long, b long, " + told))
+    few, many = found.where("a is not null").select("a", "b"), found.where("a is null").select(*names)
+    apart = many.groupBy("code", "grp").count().groupBy("code").agg(F.max(F.struct("count", "grp")).alias("main"), F.sum("count").alias("n"), F.count("*").alias("groups")).where("groups > 1")
+    blocks = lambda n: F.greatest(F.ceil(n / block), F.lit(1)).cast("long")
+    apart = written(apart.select("code", F.col("main.grp").alias("main"), blocks(F.col("main.count")).alias("mains"), blocks(F.col("n") - F.col("main.count")).alias("others")))
+    if apart.isEmpty():
+        return written(few.distinct())
+    parts = _main_parts(F.xxhash64("node"), F.col("grp") == F.col("main"), F.col("others"), F.col("mains"))
+    dealt = many.join(apart, "code").select(F.explode(parts).alias("part"), *names).repartition("code", "part").sortWithinPartitions("code", "part")
+    return written(few.unionByName(dealt.mapInArrow(met_in_parts, "a long, b long")).distinct())
+
+
 def near_components(docs: DataFrame, shingle: int = 4, limit: int = 4, id_col: str = "doc_id", text_col: str = "text", most: int = MOST, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest doc_id that links of `limit` (5 at most) differing bits of 64 reach, the row's own included."""
     rows = written(fingerprints(docs, shingle, 1, id_col, text_col), TEXT_ROWS)
@@ -488,14 +660,29 @@ def near_components(docs: DataFrame, shingle: int = 4, limit: int = 4, id_col: s
 def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int = NEAR_SHINGLE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text",
                        most: int = MOST, block: int = BLOCK, set_bytes: int = SETS) -> DataFrame:
     """(doc_id, text_hash, fp, component_id, kept_hash) of every row: as near_components, with links between texts of that Jaccard similarity or more of their distinct shingles; kept_hash is the text_hash of the component's first row by (doc_id, text_hash)."""
-    upper, segments, lanes, limit = shape(docs.count(), similarity, most, recall)
-    rows = written(fingerprints(docs, shingle, lanes, id_col, text_col, distinct=True), TEXT_ROWS)
-    fps = written(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")))
-    near = written(link(fps, limit, lanes, upper + LOWER, segments, upper, False, most, block))
-    sets = _sets(near, fps, docs, shingle, id_col, text_col)
-    joined = components(_similar(_nearest(near), sets, similarity))
-    more = written(_untested(components(near.select("a", "b")), joined, sets, similarity, WIDER * block, set_bytes))
-    return _named(rows, fps, joined if more.isEmpty() else components(joined.unionByName(more)))
+    n = docs.count()
+    upper, segments, lanes, limit = shape(n, similarity, most, recall)
+    common = common_shingles(docs, n, shingle, text_col)
+    rows = written(fingerprints(docs, shingle, lanes, id_col, text_col, distinct=True, least=similarity, common=common), TEXT_ROWS)
+    least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")
+    whole = written(rows.groupBy("own").agg(least, *[F.min(x).alias(x) for x in ("text_hash", "node", "fp", "size", "rare")]))
+    fps = written(whole.groupBy("node").agg(F.min("fp").alias("fp"), F.min("least").alias("least"), F.min("own").alias("first")))
+    near = written(link(fps.select("node", "fp", "least"), limit, lanes, upper + LOWER, segments, upper, False, most, block))
+    # from here on a node is a set: links are those of the first set of each fingerprint, and of the others to that
+    named = lambda x: fps.select(F.col("node").alias(x), F.col("first").alias(f"{x}_"))
+    of_sets = lambda links: links.join(named("a"), "a").join(named("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b"))
+    same = written(whole.join(fps.select("node", "first"), "node").where("own != first").select(F.col("own").alias("a"), F.col("first").alias("b")))
+    whole = whole.drop("node").withColumnRenamed("own", "node")
+    loose = written(of_sets(near).unionByName(same))
+    sets = _sets(loose, whole, docs, shingle, id_col, text_col)
+    joined = components(_similar(of_sets(_nearest(near)).unionByName(same), sets, similarity))
+    loose = components(loose)
+    more = written(_untested(loose, joined, sets, similarity, WIDER * block, set_bytes))
+    missed = _missed(whole, loose, similarity, block)
+    if not missed.isEmpty():
+        more = written(more.unionByName(_similar(missed, _sets(missed, whole, docs, shingle, id_col, text_col), similarity)))
+    rows = rows.select("doc_id", "text_hash", "fp", F.col("own").alias("node"))
+    return _named(rows, whole.select("node", "least"), joined if more.isEmpty() else components(joined.unionByName(more)))
 
 
 def _named(rows: DataFrame, fps: DataFrame, joined: DataFrame) -> DataFrame:

@@ -222,6 +222,58 @@ def test_recall_where_entries_are_cut(make, monkeypatch):
     assert all(got[k] in (k, k - k % 2) for k in range(300))
 
 
+def test_no_short_pair_is_lost(make):
+    """Fingerprints of a few shingles differ in more bits than the similarity tells: all pairs are joined all the same."""
+    rng = np.random.default_rng(41)
+    texts = []
+    for _ in range(600):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    assert all(shingle_jaccard(texts[i], texts[i + 1]) == 0.8 for i in range(0, len(texts), 2))
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(make(list(enumerate(texts)))).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
+def blurred_family(rng):
+    """Texts of one base: many pairs at 0.8 or more, and many a little below; then two joined only by a third."""
+    base, texts = [f"w{k}" for k in range(200)], []
+    for n in [1] * 20 + [4] * 20 + [7] * 20:
+        own = list(base)
+        for at in rng.choice(200, n, replace=False):
+            own[at] = f"z{rng.integers(1e6)}"
+        texts.append(" ".join(own))
+    row = [f"c{k}" for k in range(64)]
+    return [*texts, " ".join(row[:54]), " ".join(row[:60]), " ".join(row[6:])]
+
+
+@pytest.mark.parametrize("cut", [{}, {"block": 5}, {"block": 30}])
+def test_no_pair_without_an_entry_is_lost(spark, make, monkeypatch, cut):
+    """Where fingerprints find nothing, and codes of many sets are dealt to blocks: the same as all pairs, also by way of a row without a doc_id."""
+    texts = blurred_family(np.random.default_rng(43))
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if shingle_jaccard(texts[i], texts[j]) >= 0.8]
+    want, middle = groups(range(len(texts)), near), len(texts) - 2
+    assert len(set(want.values())) > 3 and want[middle + 1] == middle - 1 and (middle + 1, middle - 1) not in near
+    monkeypatch.setattr(simhash, "link", lambda fps, *more: spark.createDataFrame([], "a long, b long, gap long"))
+    rows = [(None if k == middle else k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(make(rows).coalesce(2), **cut).collect()}
+    assert got == {None if k == middle else k: x for k, x in want.items()}
+
+
+def test_crossing():
+    """Random small sets in blocks of any size: every pair of different groups at the similarity shares a code at places that count."""
+    rng = np.random.default_rng(47)
+    for least in (0.5, 0.8):
+        for common in ((np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.arange(3, 9, dtype=np.uint64), np.arange(6)[::-1])):
+            sets = [np.unique(rng.integers(0, 14, rng.integers(1, 12))).astype(np.uint64) for _ in range(120)]
+            grp = rng.integers(0, 100, 120)
+            rows = sorted((int(c), k, at) for k, x in enumerate(sets) for at, c in enumerate(simhash.rarest(x, least, common)))
+            code, node, at = (np.array(x) for x in zip(*rows, strict=True))
+            size = np.array([len(x) for x in sets])[node]
+            found = {(min(p), max(p)) for a, b in simhash.crossing(code, grp[node], node, size, at, least) for p in zip(a.tolist(), b.tolist(), strict=True)}
+            near = {(i, j) for j in range(120) for i in range(j) if grp[i] != grp[j] and simhash.similarity(sets[i].tobytes(), sets[j].tobytes()) >= least}
+            assert near and near <= found and all(grp[i] != grp[j] for i, j in found)
+
+
 @pytest.mark.parametrize(("bits", "n"), [(2, 2), (3, 3), (4, 1)])
 def test_curve(bits, n):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
