@@ -19,7 +19,7 @@ Two searches use this:
   texts and go if the similarity is lower. Where that leaves what loose links join in several components, members of different components meet
   again and are held against each other; so the choice of links decides nothing. Pairs that fingerprints keep in different
   loose groups are found by a prefix join (`_missed`): two sets as alike as that share one of the rarest shingles of both,
-  at places that leave enough behind them. So no pair is lost: fingerprints decide how much work is left, not what is found.
+  at places that leave enough behind them; of such pairs those are held against each other whose parity bits allow it. So no pair is lost: fingerprints decide how much work is left, not what is found.
 
 A group beyond `most` fingerprints is dealt finer, by entry: each member goes to the 1 + lower entries it belongs to. An
 entry beyond `block` members is dealt to pairs of blocks where no link may be lost; where the prefix join finds the rest,
@@ -151,17 +151,31 @@ def rarest(h: np.ndarray, least: float, common: tuple[np.ndarray, np.ndarray]) -
     return first[:n] if len(first) >= n else np.concatenate([first, h[often][np.argsort(rank[at[often]])]])[:n]
 
 
+def parities(h: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls on each bit; one to two bits a hash, 64 at least."""
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def apart_at_least(a: bytes, b: bytes) -> int:
+    """A number of hashes that only one of two sets has, told from their parities; there may be more, never fewer."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text", sets: bool = False, distinct: bool = False,
                  least: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """(doc_id, text_hash, node, fp) of every row, with sets also the distinct hashes of its shingles; node is the fingerprint as a number, or a 64-bit hash of its first HELD lanes with several lanes. With distinct a repeated shingle counts once.
 
-    With least and common also own, a hash of the whole set, the set's size and its `rarest` hashes, in order.
+    With least and common also own, a hash of the whole set, the set's size, its `rarest` hashes in order and its `parities`.
     """
     import xxhash
 
     kind = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text_hash(F.col(f"`{text_col}`")).alias("text_hash"), F.col(f"`{text_col}`").cast("binary").alias("t"))
     shared = docs.sparkSession.sparkContext.broadcast(common) if least is not None else None
-    schema = "doc_id long, text_hash long, node long, fp binary" + ", shingles binary" * sets + ", own long, size int, rare binary" * (least is not None)
+    schema = "doc_id long, text_hash long, node long, fp binary" + ", shingles binary" * sets + ", own long, size int, rare binary, odd binary" * (least is not None)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +188,8 @@ def fingerprints(docs: DataFrame, shingle: int = 4, lanes: int = 1, id_col: str
             more = [pa.array([h.astype("<u8").tobytes() for h in once], pa.binary())] if sets else []
             if shared:
                 own = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in once], np.uint64).view(np.int64)
-                more += [pa.array(own), pa.array([len(h) for h in once], pa.int32()), pa.array([rarest(h, least, shared.value).astype("<u8").tobytes() for h in once], pa.binary())]
+                more += [pa.array(own), pa.array([len(h) for h in once], pa.int32()), pa.array([rarest(h, least, shared.value).astype("<u8").tobytes() for h in once], pa.binary()),
+                         pa.array([parities(h) for h in once], pa.binary())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(nodes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), *more], names)
 
     return kind.mapInArrow(run, schema)
@@ -429,6 +444,20 @@ def _similar(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return links.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _possible(pairs: DataFrame, whole: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) but for those whose sizes and parities tell that they are less alike than that."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch["n"].to_numpy().astype(np.int64) + batch["m"].to_numpy()
+            most = both - 2 * np.ceil(least / (1 + least) * both - 1e-9)
+            good = [apart_at_least(x, y) <= k for x, y, k in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), most.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    x = whole.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("odd").alias("x"))
+    y = whole.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("odd").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def joining(sets: list[np.ndarray], root: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links between sets that join all which similarities of `least` or more join; those of one root are joined already.
 
@@ -665,7 +694,7 @@ def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int =
     common = common_shingles(docs, n, shingle, text_col)
     rows = written(fingerprints(docs, shingle, lanes, id_col, text_col, distinct=True, least=similarity, common=common), TEXT_ROWS)
     least = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("least")
-    whole = written(rows.groupBy("own").agg(least, *[F.min(x).alias(x) for x in ("text_hash", "node", "fp", "size", "rare")]))
+    whole = written(rows.groupBy("own").agg(least, *[F.min(x).alias(x) for x in ("text_hash", "node", "fp", "size", "rare", "odd")]))
     fps = written(whole.groupBy("node").agg(F.min("fp").alias("fp"), F.min("least").alias("least"), F.min("own").alias("first")))
     near = written(link(fps.select("node", "fp", "least"), limit, lanes, upper + LOWER, segments, upper, False, most, block))
     # from here on a node is a set: links are those of the first set of each fingerprint, and of the others to that
@@ -678,7 +707,7 @@ def similar_components(docs: DataFrame, similarity: float = NEAR, shingle: int =
     joined = components(_similar(of_sets(_nearest(near)).unionByName(same), sets, similarity))
     loose = components(loose)
     more = written(_untested(loose, joined, sets, similarity, WIDER * block, set_bytes))
-    missed = _missed(whole, loose, similarity, block)
+    missed = written(_possible(_missed(whole, loose, similarity, block), whole, similarity))
     if not missed.isEmpty():
         more = written(more.unionByName(_similar(missed, _sets(missed, whole, docs, shingle, id_col, text_col), similarity)))
     rows = rows.select("doc_id", "text_hash", "fp", F.col("own").alias("node"))

@@ -274,6 +274,16 @@ def test_crossing():
             assert near and near <= found and all(grp[i] != grp[j] for i, j in found)
 
 
+def test_apart_at_least():
+    """Parities never tell more differences than there are, also of sets of unlike sizes; of sets without a common hash enough to part them."""
+    rng = np.random.default_rng(53)
+    for n, m in ((0, 1), (1, 1), (63, 65), (128, 129), (500, 400), (1000, 1250)):
+        for both in {0, min(n, m) // 2, min(n, m)}:
+            shared, own, other = (np.unique(rng.integers(0, 1 << 60, k)).astype(np.uint64) for k in (both, n - both, m - both))
+            told = simhash.apart_at_least(simhash.parities(np.concatenate([shared, own])), simhash.parities(np.concatenate([shared, other])))
+            assert told <= n + m - 2 * both and (both or n < 60 or told > (n + m) / 9)
+
+
 @pytest.mark.parametrize(("bits", "n"), [(2, 2), (3, 3), (4, 1)])
 def test_curve(bits, n):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
