@@ -13,7 +13,7 @@ from adloom.operators.adapters import ads_of, parse_pages, read_facts, static_fo
 from adloom.sources.html import text_with_breaks
 from adloom.sources.payload import dealls_api_ads, kalibrr_api_ads, sections
 from adloom.sources.tables import staged
-from adloom.streaming.updates import message_links, wanted_messages
+from adloom.streaming.updates import links_by_id, message_links, wanted_messages
 
 _FIELDS = ("source_url", "title", "company", "salary", "description")
 
@@ -71,7 +71,7 @@ def ingest_messages(updates: DataFrame, chat_id: int, pages: DataFrame | Callabl
     pages are those fetched for the links (requested_url, final_url, body), or a function of the distinct links (url) that
     gives them; existing has the stored addresses, or is a function of the found ads that gives those they may meet.
     """
-    links = staged(message_links(wanted_messages(updates, chat_id)))
+    links = staged(links_by_id(message_links(wanted_messages(updates, chat_id))))
     urls_ = links.select("url").distinct()
     asked = pages(urls_) if callable(pages) else pages.join(urls_.withColumnRenamed("url", "requested_url"), "requested_url", "left_semi")
     parts = read_facts(asked, also="static")  # a page may be asked for its board's ads and for its static form

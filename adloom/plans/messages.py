@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from adloom.plans.crawl import ingest_messages
 from adloom.sources.tables import staged, updates_after
 from adloom.streaming import target as store
-from adloom.streaming.updates import check_summary, high_water_mark, message_outcome, wanted_messages
+from adloom.streaming.updates import check_summary, high_water_mark, message_outcome, told_once, wanted_messages
 
 LINKS = "update_id long, pos int, url string, adapter string"
 ADS = "update_id long, pos int, source_url string, title string, company string, salary string, description string"
@@ -31,7 +31,7 @@ def message_unit(updates: DataFrame, number: int, chat_id: int, fetch: Callable[
     done = store.committed(spark, target, number)
     mark = spark.read.schema(COMMITS).parquet(f"{target}/commits/batch={done[-1]}").first()["last_update_id"] if done else None
     above = updates if mark is None else updates_after(updates, mark)
-    seen = staged(above.dropDuplicates(["update_id"]))
+    seen = staged(told_once(above))
     store.fold(spark, target, ADS, number)
     out = ingest_messages(seen, chat_id, lambda links: staged(fetch(links)), lambda rows: store.stored(rows, target, number))
     results, wanted = staged(out["results"]), wanted_messages(seen, chat_id)

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,11 +33,28 @@ def message_links(updates: DataFrame, text: Column | None = None) -> DataFrame:
     return out.withColumn("adapter", route(F.col("url")))
 
 
+def links_by_id(links: DataFrame) -> DataFrame:
+    """message_links where several messages may stand under one update id: a link counts once an id, and places are those of the id's links, by where each first stands in a message."""
+    first = links.groupBy("update_id", "url").agg(F.min("pos").alias("_at"), F.first("adapter").alias("adapter"))
+    place = F.row_number().over(W.partitionBy("update_id").orderBy("_at", "url")) - 1
+    return first.select("update_id", place.alias("pos"), "url", "adapter")
+
+
 def stream_links(updates: DataFrame, chat_id: int) -> DataFrame:
     """The same on a stream: no state; the query's checkpoint hands each update on once."""
     return message_links(wanted_messages(updates, chat_id))
 
 
+def message_key() -> Column:
+    """What tells messages of updates apart: one that is told again has id, chat and number of the first; one id alone may stand for several."""
+    return F.struct("update_id", F.col("message.chat.id").alias("chat"), F.col("message.message_id").alias("number"))
+
+
+def told_once(updates: DataFrame) -> DataFrame:
+    """Updates without those that are told again."""
+    return updates.withColumn("_key", message_key()).dropDuplicates(["_key"]).drop("_key")
+
+
 def message_outcome(messages: DataFrame, results: DataFrame) -> DataFrame:
     """(update_id, outcome, reply): success if a link went well, failure if links all failed, none without links. results is (update_id, url, ok)."""
     by = results.groupBy("update_id").agg(F.bool_or("ok").alias("_ok"))
@@ -47,7 +65,7 @@ def message_outcome(messages: DataFrame, results: DataFrame) -> DataFrame:
 
 def check_summary(messages: DataFrame, results: DataFrame) -> DataFrame:
     """One row: messages_checked, links_found (distinct in each message), links_scraped (inserted), errors. results is (update_id, url, ok, inserted)."""
-    a = messages.agg(F.countDistinct("update_id").alias("messages_checked"))
+    a = messages.agg(F.countDistinct(message_key()).alias("messages_checked"))
     b = results.agg(F.count("*").alias("links_found"), F.count_if(F.col("ok") & F.col("inserted")).alias("links_scraped"), F.count_if(~F.col("ok")).alias("errors"))
     return a.crossJoin(b)
 

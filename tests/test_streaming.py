@@ -200,6 +200,21 @@ def test_unit_stopped_anywhere(spark, tmp_path, monkeypatch):
     assert ends == {2: (1, 2, 1, 1), 3: (1, 2, 1, 0)}
 
 
+def test_messages_under_one_id(spark, tmp_path):
+    """Every message of an id counts and is read; one that is told again counts once."""
+    from adloom.plans import messages as M
+
+    ups = [(1, (1, "https://x.y/none https://x.y/a", (7,))), (1, (2, "https://x.y/b https://x.y/none", (7,))), (1, (2, "https://x.y/b", (7,))), (1, (3, "https://x.y/c", (8,))), (2, None), (2, None)]
+    batch = spark.createDataFrame([*ups[:2], *ups[1:2], *ups[3:]], tables.UPDATE)
+    fetch = lambda links: links.where("url not like '%none'").selectExpr("url requested_url", "url final_url", "'<h1>Cook</h1>' body")
+    M.message_unit(batch, 0, 7, fetch, str(tmp_path))
+    results = sorted(map(tuple, T.read_table(spark, str(tmp_path), "results", M.RESULTS).collect()))
+    assert results == [(1, "https://x.y/a", True, True), (1, "https://x.y/b", True, True), (1, "https://x.y/none", False, False)]
+    assert [tuple(r) for r in T.read_table(spark, str(tmp_path), "commits", M.COMMITS).collect()] == [(2, 3, 2, 1, 2)]
+    again = U.told_once(spark.createDataFrame(ups, tables.UPDATE))
+    assert sorted((r.update_id, r.message and r.message.message_id or 0) for r in again.collect()) == [(1, 1), (1, 2), (1, 3), (2, 0)]
+
+
 def test_handler_is_asked_once(spark, tmp_path):
     ups = spark.createDataFrame([(1, (1, "https://x.y/a", (7,)))], "update_id long, message struct<message_id: long, text: string, chat: struct<id: long>>")
     calls = spark.sparkContext.accumulator(0)
