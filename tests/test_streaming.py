@@ -85,6 +85,18 @@ def test_crawl_and_messages(spark):
     assert sorted((r.url, r.ok, r.inserted) for r in m["results"].collect()) == [("https://x.y/job", True, True), ("https://x.y/none", False, False)]
 
 
+def test_links_of_one_id(spark):
+    """Links of several messages under one id: none takes another's place, each stands once."""
+    from adloom.plans.crawl import ingest_messages
+
+    ups = spark.createDataFrame([(1, (1, "https://x.y/none https://x.y/job", (7,))), (1, (2, "https://x.y/job https://x.y/gone", (7,)))], tables.UPDATE)
+    fetched = spark.createDataFrame([("https://x.y/job", "https://x.y/job", "<h1>Cook</h1>")], "requested_url string, final_url string, body string")
+    m = ingest_messages(ups, 7, fetched, spark.createDataFrame([], "source_url string"))
+    assert sorted((r.url, r.ok, r.inserted) for r in m["results"].collect()) == [("https://x.y/gone", False, False), ("https://x.y/job", True, True), ("https://x.y/none", False, False)]
+    assert sorted((r.pos, r.url, r.adapter) for r in m["links"].collect()) == [(0, "https://x.y/job", "static"), (1, "https://x.y/none", "static"), (2, "https://x.y/gone", "static")]
+    assert [(r.pos, r.title) for r in m["new"].collect()] == [(0, "Cook")]
+
+
 def test_replays_across_runs(spark, tmp_path):
     """An id that was handed on is not handed on again, whatever lane it is in; ids of one batch may come in any order."""
     def run(lanes):
