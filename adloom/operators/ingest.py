@@ -36,11 +36,12 @@ def enrich(stubs: DataFrame, details: DataFrame, fields: tuple[str, ...] = ("sou
 
 
 def pick_requested(candidates: DataFrame, static_ads: DataFrame) -> DataFrame:
-    """One ad a requested_url: the one with that address, else the first by pos. If that has another address and no description,
-    the static parse of the page stands in for it, under the requested address."""
-    w = W.partitionBy("requested_url").orderBy((F.col("source_url") == F.col("requested_url")).desc(), "pos")
-    picked = candidates.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
+    """One ad a requested_url: the one with that address, else the first by pos; of several at one place the least by their fields, so
+    that no run picks another. If that has another address and no description, the static parse of the page stands in for it,
+    under the requested address."""
     fields = ["title", "company", "salary", "description"]
+    w = W.partitionBy("requested_url").orderBy((F.col("source_url") == F.col("requested_url")).desc(), "pos", "source_url", *fields)
+    picked = candidates.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
     static = static_ads.select("requested_url", F.struct(F.col("requested_url").alias("source_url"), *fields).alias("_static"))
     joined = picked.join(static, "requested_url", "left")
     own = F.struct("source_url", *fields)

@@ -89,6 +89,16 @@ def test_enrich_pick_fill(spark):
     assert got == {"r": ("r", "R"), "q": ("q", "ST"), "p": ("z", "Z"), "o": ("w", "W")}
 
 
+def test_pick_of_one_place(spark):
+    """Of several ads at one place the same is picked, in whatever order they come."""
+    ad = "requested_url string, pos int, source_url string, title string, company string, salary string, description string"
+    rows = [("r", 0, "x", "T", "", "", d) for d in ("n", "", "r")] + [("q", 1, u, "T", "", "", "d") for u in ("y", "x")] + [("q", 2, "a", "T", "", "", "d")]
+    static = spark.createDataFrame([("r", "ST", "", "", "static")], "requested_url string, title string, company string, salary string, description string")
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = ingest.pick_requested(spark.createDataFrame(given, ad).coalesce(1), static).select("requested_url", "source_url", "title", "description")
+        assert sorted(map(tuple, got.collect())) == [("q", "x", "T", "d"), ("r", "r", "ST", "static")]
+
+
 def test_upsert_and_ids(spark):
     base = spark.createDataFrame([("k", "old"), ("z", "stay")], "key string, value string")
     changes = spark.createDataFrame([("k", "a", 1), ("k", "b", 2), ("n", "c", 1)], "key string, value string, at int")
